@@ -97,48 +97,57 @@ def _positions(chunks: str) -> str:
     marks = transform(
         chunks, lambda c: struct(nl=newlines(c), tail=f"length(substring_index({c}, '\\n', -1))")
     )
+    blocks = let(marks, lambda m: transform(
+        f"sequence(0, cast(floor((size({m}) - 1) / {BLOCK}) AS int))",
+        lambda b: f"slice({m}, {b} * {BLOCK} + 1, {BLOCK})",
+    ))
 
-    def blocked(m):
-        blocks = transform(
-            f"sequence(0, cast(floor((size({m}) - 1) / {BLOCK}) AS int))",
-            lambda b: f"slice({m}, {b} * {BLOCK} + 1, {BLOCK})",
-        )
-
-        def expand(bs):
-            sums = transform(bs, lambda b: f"aggregate({b}, {_ORIGIN}, (acc, mark) -> {_then('acc', 'mark')})")
-            starts = f"concat(array({_ORIGIN}), {_scan(sums, _ORIGIN)})"
-            pairs = f"zip_with({bs}, slice({starts}, 1, size({bs})), (b, s) -> {struct(marks='b', start='s')})"
-            return f"flatten({transform(pairs, lambda p: _scan(f'{p}.marks', f'{p}.start'))})"
+    def expand(bs):
+        sums = transform(bs, lambda b: f"aggregate({b}, {_ORIGIN}, (acc, mark) -> {_then('acc', 'mark')})")
+        starts = f"concat(array({_ORIGIN}), {_scan(sums, _ORIGIN)})"
+        return f"flatten(zip_with({bs}, slice({starts}, 1, size({bs})), (b, s) -> {_scan('b', 's')}))"
 
-        return let(blocks, expand)
+    return let(blocks, expand)
 
-    return let(marks, lambda m: f"if(size({m}) <= {BLOCK}, {_scan(m, _ORIGIN)}, {blocked(m)})")
 
+def all_hits(text: str, specs) -> str:
+    """Matches of several patterns with 1-based ``line`` and ``col``: array<array<struct<text,line,col>>>.
 
-def hits(text: str, pattern: str, requires=(), scope: str | None = None) -> str:
-    """All matches with 1-based ``line`` and ``col``: array<struct<text,line,col>>.
+    Each spec is (pattern, requires, scope). ``requires`` are literals without which the pattern cannot
+    match: a cheap test before the regex. ``scope`` is a prefix of ``text`` known to hold every match
+    (see the ``upto_*`` cuts); it keeps lazy patterns linear when their closing part is missing.
 
-    ``requires`` are literals without which the pattern cannot match: a cheap test before the regex.
-    ``scope`` is a prefix of ``text`` known to hold every match (see the ``upto_*`` cuts); it keeps
-    lazy patterns linear when their closing part is missing.
+    The position arithmetic is one expression applied to all patterns, which keeps plans small.
     """
 
-    def locate(body):
-        def place(found):
-            chunks = (
-                f"zip_with(concat(array(''), slice({found}, 1, size({found}) - 1)), "
-                f"slice(split({body}, {q(pattern)}, -1), 1, size({found})), (a, b) -> concat(a, b))"
+    def find(pattern, requires, scope):
+        def split(body):
+            return let(
+                f"regexp_extract_all({body}, {q(pattern)}, 0)",
+                lambda found: f"if(size({found}) > 0, "
+                f"{struct(texts=found, pieces=f'split({body}, {q(pattern)}, -1)')}, NULL)",
             )
-            placed = struct(text="t", line="p.nl + 1", col="p.tail + 1")
-            return f"zip_with({found}, {_positions(chunks)}, (t, p) -> {placed})"
 
-        return let(
-            f"regexp_extract_all({body}, {q(pattern)}, 0)",
-            lambda found: f"if(size({found}) > 0, {place(found)}, {NO_HITS})",
+        out = split(text) if scope is None else let(scope, split)
+        return f"if({contains_all(text, requires)}, {out}, NULL)" if requires else out
+
+    def place(found):
+        texts, pieces = f"{found}.texts", f"{found}.pieces"
+        chunks = (
+            f"zip_with(concat(array(''), slice({texts}, 1, size({texts}) - 1)), "
+            f"slice({pieces}, 1, size({texts})), (a, b) -> concat(a, b))"
         )
+        placed = struct(text="t", line="p.nl + 1", col="p.tail + 1")
+        hits = f"zip_with({texts}, {_positions(chunks)}, (t, p) -> {placed})"
+        return f"if({found} IS NULL, {NO_HITS}, {hits})"
 
-    out = locate(text) if scope is None else let(scope, locate)
-    return f"if({contains_all(text, requires)}, {out}, {NO_HITS})" if requires else out
+    found = [find(*spec) for spec in specs]
+    return transform(f"array({', '.join(found)})", place)
+
+
+def hits(text: str, pattern: str, requires=(), scope: str | None = None) -> str:
+    """All matches of one pattern: array<struct<text,line,col>>."""
+    return f"get({all_hits(text, [(pattern, requires, scope)])}, 0)"
 
 
 def count(text: str, pattern: str, requires=(), scope: str | None = None) -> str:

@@ -106,21 +106,28 @@ def is_blank(content: str) -> str:
     return f"NOT {matches(content, rx.NOT_SPACE)}"
 
 
+# What to search for each kind of identifier: (pattern, required literals, scope).
+VARIABLES = (VARIABLE, (), None)
+CONSTANTS = (CONSTANT, ("const",), None)
+IMPORTS = (IMPORT, ("import", "from"), None)
+FUNCTIONS = {k: (p, (), None) for k, p in FUNCTION.items()}
+
+
 def variables(content: str) -> str:
     """array<struct<text,line,col>> of variable declarations."""
-    return rx.hits(content, VARIABLE)
+    return rx.hits(content, *VARIABLES)
 
 
 def functions(content: str, dialect: str) -> str:
-    return rx.hits(content, FUNCTION[dialect])
+    return rx.hits(content, *FUNCTIONS[dialect])
 
 
 def constants(content: str) -> str:
-    return rx.hits(content, CONSTANT, requires=["const"])
+    return rx.hits(content, *CONSTANTS)
 
 
 def imports(content: str) -> str:
-    return rx.hits(content, IMPORT, requires=["import", "from"])
+    return rx.hits(content, *IMPORTS)
 
 
 def variable_name(text: str) -> str:

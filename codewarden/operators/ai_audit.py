@@ -104,13 +104,13 @@ ADVICE_DEFAULT = "AI-generated code follows basic standards. Consider adding hum
 IN_FILE = -1
 ALWAYS = -2
 
-_CANDIDATE = f"struct<ord:int,idx:int,at:int,radius:int,name:string,v:{VIOLATION}>"
+_CANDIDATE = f"struct<ord:int,at:int,radius:int,name:string,v:{VIOLATION}>"
 _NO_CANDIDATES = f"cast(array() AS array<{_CANDIDATE}>)"
 
 
-def _candidate(rule: str, idx: str, at: str, radius, v: str, name: str = "NULL") -> str:
+def _candidate(rule: str, at: str, radius, v: str, name: str = "NULL") -> str:
     return struct(
-        ord=str(RULES.index(rule) + 1), idx=f"cast({idx} AS int)", at=f"cast({at} AS int)",
+        ord=str(RULES.index(rule) + 1), at=f"cast({at} AS int)",
         radius=f"cast({q(radius)} AS int)", name=f"cast({name} AS string)", v=v,
     )
 
@@ -123,10 +123,6 @@ def _violation(rule, category, severity, message, line="NULL", suggestion=None,
     )
 
 
-def _indexed(xs: str, body) -> str:
-    return f"transform({xs}, (h, h_i) -> {body('h', 'h_i')})"
-
-
 def human_reviewed() -> str:
     """SQL text over ``content``: carries a reviewer's comment."""
     tests = [
@@ -138,15 +134,15 @@ def human_reviewed() -> str:
 
 def _human_comments() -> str:
     v = _violation(HUMAN_COMMENTS, "documentation", "medium", q(HUMAN_MESSAGE))
-    found = f"array({_candidate(HUMAN_COMMENTS, '0', str(IN_FILE), None, v)})"
+    found = f"array({_candidate(HUMAN_COMMENTS, str(IN_FILE), None, v)})"
     return f"if({human_reviewed()}, {_NO_CANDIDATES}, {found})"
 
 
-def _unit_tests() -> str:
+def _unit_tests(functions: str) -> str:
     """One candidate per function; they become one violation per file afterwards."""
     v = _violation(UNIT_TESTS, "documentation", "high", q(UNIT_MESSAGE))
-    found = _indexed(text.functions("content", "audit"), lambda h, i: _candidate(
-        UNIT_TESTS, i, f"{h}.line", NEAR[UNIT_TESTS], v, text.function_name(f"{h}.text", "audit")
+    found = transform(functions, lambda h: _candidate(
+        UNIT_TESTS, f"{h}.line", NEAR[UNIT_TESTS], v, text.function_name(f"{h}.text", "audit")
     ))
     return f"if({text.is_audit_test('path')}, {_NO_CANDIDATES}, {found})"
 
@@ -163,9 +159,9 @@ def _windows(rule: str, applies, condition: str, v) -> str:
             lambda w: f"if({condition(w)}, {n}, NULL)",
         ),
     ))
-    found = _indexed(keep(flagged, lambda n: f"{n} IS NOT NULL"), lambda n, i: _candidate(
-        rule, i, n, 0, v(n)
-    ))
+    found = transform(
+        keep(flagged, lambda n: f"{n} IS NOT NULL"), lambda n: _candidate(rule, n, 0, v(n))
+    )
     return f"if({applies('content')}, {found}, {_NO_CANDIDATES})"
 
 
@@ -187,28 +183,23 @@ def _error_handling() -> str:
     )
 
 
-def _placeholders() -> str:
-    found = [
-        transform(
-            rx.hits("content", p.rx, p.requires, p.scope("content")), lambda h: _candidate(
-                PLACEHOLDERS, "0", str(ALWAYS), None, _violation(
-                    PLACEHOLDERS, "quality", "high", q(PLACEHOLDER_MESSAGE), f"{h}.line",
-                    evidence=Sql(f"{h}.text"),
-                )))
-        for p in PLACEHOLDER_PATTERNS
-    ]
-    return f"concat({', '.join(found)})"
+def _placeholders(groups: str) -> str:
+    return transform(f"flatten({groups})", lambda h: _candidate(
+        PLACEHOLDERS, str(ALWAYS), None, _violation(
+            PLACEHOLDERS, "quality", "high", q(PLACEHOLDER_MESSAGE), f"{h}.line",
+            evidence=Sql(f"{h}.text"),
+        )))
 
 
-def _naming() -> str:
+def _naming(functions: str) -> str:
     expected = "profile.recommendations.naming.functions"
-    styled = transform(text.functions("content", "audit"), lambda h: let(
+    styled = transform(functions, lambda h: let(
         text.function_name(f"{h}.text", "audit"),
         lambda n: struct(name=n, style=naming.naming_style(n), line=f"{h}.line"),
     ))
     off = keep(styled, lambda s: f"{s}.style NOT IN ({expected}, 'unknown')")
     found = transform(off, lambda s: _candidate(
-        CONSISTENT_NAMING, "0", f"{s}.line", NEAR[CONSISTENT_NAMING], _violation(
+        CONSISTENT_NAMING, f"{s}.line", NEAR[CONSISTENT_NAMING], _violation(
             CONSISTENT_NAMING, "quality", "medium",
             f"concat('AI-generated function \\'', {s}.name, '\\' should use ', {expected}, "
             "' naming convention')", f"{s}.line",
@@ -218,34 +209,52 @@ def _naming() -> str:
     return f"if({expected} IS NULL, {_NO_CANDIDATES}, {found})"
 
 
-def _reviews(rule, category, severity, message, patterns) -> str:
-    found = [
-        transform(
-            rx.hits("content", p.rx, p.requires, p.scope("content")), lambda h, what=what: _candidate(
-                rule, "0", f"{h}.line", NEAR[rule], _violation(
-                    rule, category, severity, q(message + what), f"{h}.line", evidence=what,
-                )))
-        for p, what in patterns
-    ]
-    return f"concat({', '.join(found)})"
-
-
-_CHECKS = {
-    HUMAN_COMMENTS: _human_comments,
-    UNIT_TESTS: _unit_tests,
-    COMPLEXITY_COMMENTS: _complexity,
-    PLACEHOLDERS: _placeholders,
-    CONSISTENT_NAMING: _naming,
-    SECURITY_REVIEW: lambda: _reviews(SECURITY_REVIEW, "security", "high", SECURITY_MESSAGE, RISKS),
-    PERFORMANCE_REVIEW: lambda: _reviews(
-        PERFORMANCE_REVIEW, "performance", "medium", PERFORMANCE_MESSAGE, SLOW),
-    ERROR_HANDLING: _error_handling,
+def _reviews(rule, category, severity, message, patterns):
+    def build(groups: str) -> str:
+        found = _candidate(rule, "h.line", NEAR[rule], _violation(
+            rule, category, severity, f"concat({q(message)}, what)", "h.line", evidence=Sql("what"),
+        ))
+        whats = "array(" + ", ".join(q(what) for _, what in patterns) + ")"
+        return f"flatten(zip_with({groups}, {whats}, (hs, what) -> transform(hs, h -> {found})))"
+
+    return build
+
+
+# Rules over the places of patterns (function declarations, or a group of patterns), and the others.
+_AUDIT_FUNCTIONS = [text.FUNCTIONS["audit"]]
+_PLACED = {
+    UNIT_TESTS: (_AUDIT_FUNCTIONS, lambda groups: _unit_tests(f"get({groups}, 0)")),
+    PLACEHOLDERS: ([p.spec for p in PLACEHOLDER_PATTERNS], _placeholders),
+    CONSISTENT_NAMING: (_AUDIT_FUNCTIONS, lambda groups: _naming(f"get({groups}, 0)")),
+    SECURITY_REVIEW: (
+        [p.spec for p, _ in RISKS], _reviews(SECURITY_REVIEW, "security", "high", SECURITY_MESSAGE, RISKS)),
+    PERFORMANCE_REVIEW: (
+        [p.spec for p, _ in SLOW],
+        _reviews(PERFORMANCE_REVIEW, "performance", "medium", PERFORMANCE_MESSAGE, SLOW)),
+}
+_WHOLE = {
+    HUMAN_COMMENTS: _human_comments, COMPLEXITY_COMMENTS: _complexity, ERROR_HANDLING: _error_handling,
 }
 
 
 def candidates(rules) -> str:
     """SQL text over (path, content, profile): candidate array of the given rules, in rule order."""
-    return f"cast(concat({', '.join([_CHECKS[r]() for r in rules] + [_NO_CANDIDATES])}) AS array<{_CANDIDATE}>)"
+    specs, places = [], {}
+    for rule in (r for r in rules if r in _PLACED):
+        wanted = _PLACED[rule][0]
+        shared = next((places[r] for r in places if _PLACED[r][0] is wanted), None)
+        places[rule] = shared or (len(specs) + 1, len(wanted))
+        if shared is None:
+            specs += wanted
+
+    def listed(found):
+        parts = [
+            _PLACED[r][1](f"slice({found}, {places[r][0]}, {places[r][1]})") if r in _PLACED else _WHOLE[r]()
+            for r in rules
+        ]
+        return f"cast(concat({', '.join(parts + [_NO_CANDIDATES])}) AS array<{_CANDIDATE}>)"
+
+    return let(rx.all_hits("content", specs), listed) if specs else listed("NULL")
 
 
 def covered_lines(sections: DataFrame) -> DataFrame:
@@ -304,7 +313,7 @@ def findings(
     if sections is None:
         chosen = [r for r in chosen if r == PLACEHOLDERS]
     marker = struct(
-        ord="0", idx="0", at=str(ALWAYS), radius="cast(NULL AS int)", name="cast(NULL AS string)",
+        ord="0", at=str(ALWAYS), radius="cast(NULL AS int)", name="cast(NULL AS string)",
         v=f"cast(NULL AS {VIOLATION})",
     )
     scored = _scored(files, responses, chosen)

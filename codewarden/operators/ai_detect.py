@@ -53,6 +53,10 @@ class Pattern:
         spelled = js(self.regex, self.ignore_case)
         return starting(self.first, spelled) if self.first else spelled
 
+    @property
+    def spec(self) -> tuple:
+        return (self.rx, self.requires, self.scope("content"))
+
     def scope(self, content: str) -> str | None:
         if self.tail is None:
             return None
@@ -127,16 +131,6 @@ _INDICATOR = "struct<type:string,description:string,confidence:double,evidence:s
 _NO_INDICATORS = f"cast(array() AS array<{_INDICATOR}>)"
 
 
-def _indicator(kind: str, evidence: str, line: str = "NULL") -> str:
-    description, confidence, _ = TYPES[kind]
-    size = EVIDENCE.get(kind, EVIDENCE_DEFAULT)
-    cut = evidence if size is None else f"left({evidence}, {size})"
-    return struct(
-        type=q(kind), description=q(description), confidence=q(confidence), evidence=cut,
-        line=f"cast({line} AS int)",
-    )
-
-
 def _named_like_ai(name: str) -> str:
     return "(" + " OR ".join(rx.matches(name, p) for p in NAMING) + ")"
 
@@ -145,35 +139,61 @@ def _gated(pattern: Pattern, value: str, empty: str) -> str:
     return f"if({rx.contains_all('content', pattern.requires)}, {value}, {empty})" if pattern.requires else value
 
 
-def _comment_indicators() -> str:
-    """At most one per pattern, without a line."""
+def _kind(name: str) -> str:
+    """What all indicators of a type share."""
+    description, confidence, _ = TYPES[name]
+    size = EVIDENCE.get(name, EVIDENCE_DEFAULT)
+    return struct(
+        type=q(name), description=q(description), confidence=q(confidence),
+        size=f"cast({q(size)} AS int)",
+    )
+
+
+def _indicator(kind: str, evidence: str, line: str) -> str:
+    return struct(
+        type=f"{kind}.type", description=f"{kind}.description", confidence=f"{kind}.confidence",
+        evidence=f"left({evidence}, coalesce({kind}.size, length({evidence})))", line=line,
+    )
+
+
+def _first_comments() -> str:
+    """At most one hit per comment pattern, without a line."""
     firsts = []
     for p in COMMENTS:
         first = f"regexp_extract({p.scope('content') or 'content'}, {q(p.rx)}, 0)"
         firsts.append(_gated(p, f"nullif({first}, '')", "NULL"))
-    found = keep(f"array({', '.join(firsts)})", lambda e: f"{e} IS NOT NULL")
-    return transform(found, lambda e: _indicator("comment_pattern", e))
+    return transform(
+        keep(f"array({', '.join(firsts)})", lambda e: f"{e} IS NOT NULL"),
+        lambda e: struct(text=e, line="cast(NULL AS int)"),
+    )
 
 
-def _naming_indicators() -> str:
+def _ai_named(hits: str) -> str:
     named = transform(
-        text.functions("content", "detect"),
-        lambda h: struct(name=text.function_name(f"{h}.text", "detect"), line=f"{h}.line"),
-    )
-    return transform(
-        keep(named, lambda x: _named_like_ai(f"{x}.name")),
-        lambda x: _indicator("naming_pattern", f"{x}.name", f"{x}.line"),
+        hits, lambda h: struct(text=text.function_name(f"{h}.text", "detect"), line=f"{h}.line")
     )
+    return keep(named, lambda x: _named_like_ai(f"{x}.text"))
 
 
 def indicators() -> str:
     """SQL text over ``content``: every indicator of the file in detector order."""
-    parts = [_comment_indicators(), _naming_indicators()]
-    for kind, patterns in EVERY_MATCH.items():
-        for p in patterns:
-            found = rx.hits("content", p.rx, p.requires, p.scope("content"))
-            parts.append(transform(found, lambda h, kind=kind: _indicator(kind, f"{h}.text", f"{h}.line")))
-    return f"cast(concat({', '.join(parts)}) AS array<{_INDICATOR}>)"
+    patterns = [(kind, p) for kind, ps in EVERY_MATCH.items() for p in ps]
+    kinds = ["comment_pattern", "naming_pattern", *[kind for kind, _ in patterns]]
+    specs = [text.FUNCTIONS["detect"], *[p.spec for _, p in patterns]]
+
+    def listed(found):
+        plain = transform(
+            f"slice({found}, 2, {len(patterns)})",
+            lambda hs: transform(hs, lambda h: struct(text=f"{h}.text", line=f"{h}.line")),
+        )
+        groups = f"concat(array({_first_comments()}, {_ai_named(f'get({found}, 0)')}), {plain})"
+        types = "array(" + ", ".join(_kind(k) for k in kinds) + ")"
+        return (
+            f"flatten(zip_with({groups}, {types}, "
+            f"(hs, kind) -> transform(hs, h -> {_indicator('kind', 'h.text', 'h.line')})))"
+        )
+
+    return f"cast({let(rx.all_hits('content', specs), listed)} AS array<{_INDICATOR}>)"
 
 
 def counts() -> str:

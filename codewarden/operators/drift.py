@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import naming, scoring, text
-from codewarden.functions.regex import contains
+from codewarden.functions import regex as rx
 from codewarden.functions.sql import case, keep, let, q, struct, transform
 from codewarden.schemas import NO_VIOLATIONS, VIOLATION, Sql, violation
 
@@ -80,9 +80,9 @@ def _identifier_naming(hits: str, name, expected: str, what: str, rule: str) ->
     return f"if({expected} IS NULL, {NO_VIOLATIONS}, {found})"
 
 
-def _constant_naming() -> str:
+def _constant_naming(hits: str) -> str:
     expected = f"{_REC}.naming.constants"
-    styled = _styled(text.constants("content"), text.constant_name)
+    styled = _styled(hits, text.constant_name)
     drifted = keep(styled, lambda s: f"{s}.style <> 'UPPER_CASE'")
     found = transform(drifted, lambda s: _drift(
         "naming", "constant_naming", CONSTANT_NAMING, "low",
@@ -160,28 +160,37 @@ def _comments() -> str:
     return let(text.comment_profile("content"), check)
 
 
-DETECTORS = {
-    "file_naming": _file_naming,
-    "variable_naming": lambda: _identifier_naming(
-        text.variables("content"), text.variable_name, f"{_REC}.naming.variables", "Variable",
-        VARIABLE_NAMING,
-    ),
-    "function_naming": lambda: _identifier_naming(
-        text.functions("content", "drift"), lambda t: text.function_name(t, "drift"),
-        f"{_REC}.naming.functions", "Function", FUNCTION_NAMING,
-    ),
-    "constant_naming": _constant_naming,
-    "imports": lambda: f"flatten({transform(text.imports('content'), _import_checks)})",
-    "folders": _folders,
-    "comments": _comments,
+# Detectors that need the places of a pattern, and those that look at the file as a whole.
+_PLACED = {
+    "variable_naming": (text.VARIABLES, lambda hits: _identifier_naming(
+        hits, text.variable_name, f"{_REC}.naming.variables", "Variable", VARIABLE_NAMING)),
+    "function_naming": (text.FUNCTIONS["drift"], lambda hits: _identifier_naming(
+        hits, lambda t: text.function_name(t, "drift"), f"{_REC}.naming.functions", "Function",
+        FUNCTION_NAMING)),
+    "constant_naming": (text.CONSTANTS, _constant_naming),
+    "imports": (text.IMPORTS, lambda hits: f"flatten({transform(hits, _import_checks)})"),
 }
+_WHOLE = {"file_naming": _file_naming, "folders": _folders, "comments": _comments}
+DETECTORS = [
+    "file_naming", "variable_naming", "function_naming", "constant_naming", "imports", "folders", "comments",
+]
 
 
 def all_violations(detectors=None) -> str:
     """SQL text over (path, content, profile): every violation of the file, info included."""
-    chosen = list(DETECTORS) if detectors is None else list(detectors)
-    parts = ", ".join([DETECTORS[d]() for d in chosen] + [NO_VIOLATIONS])
-    return f"cast(concat({parts}) AS array<{VIOLATION}>)"
+    chosen = [d for d in DETECTORS if detectors is None or d in detectors]
+    placed = [d for d in chosen if d in _PLACED]
+
+    def listed(found):
+        parts = [
+            _PLACED[d][1](f"get({found}, {placed.index(d)})") if d in _PLACED else _WHOLE[d]()
+            for d in chosen
+        ]
+        return f"cast(concat({', '.join(parts + [NO_VIOLATIONS])}) AS array<{VIOLATION}>)"
+
+    if not placed:
+        return listed("NULL")
+    return let(rx.all_hits("content", [_PLACED[d][0] for d in placed]), listed)
 
 
 def detect(

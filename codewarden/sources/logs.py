@@ -15,6 +15,9 @@ DAYS_KEPT = 7
 MARKERS = {"critical": "🔥", "high": "🚨", "medium": "⚠️", "low": "💡", "info": "ℹ️"}
 UNKNOWN_MARKER = "❓"
 
+# Microseconds, so that a timestamp survives the round trip.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def with_date(log: DataFrame) -> DataFrame:
     return log.withColumn("date", F.to_date("ts"))
@@ -35,7 +38,7 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON lines -> log rows; lines that do not parse are dropped."""
     schema = T.StructType.fromDDL(ANALYSIS_LOG).add("_bad", T.StringType())
     parsed = lines.select(
-        F.from_json(F.col(column), schema, {"columnNameOfCorruptRecord": "_bad"}).alias("e")
+        F.from_json(F.col(column), schema, {**_JSON, "columnNameOfCorruptRecord": "_bad"}).alias("e")
     )
     return parsed.where("e IS NOT NULL AND e._bad IS NULL AND e.event IS NOT NULL").select("e.*").drop("_bad")
 
@@ -45,7 +48,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_json_lines(log: DataFrame) -> DataFrame:
-    return log.select(F.to_json(F.struct("*")).alias("value"))
+    return log.select(F.to_json(F.struct("*"), _JSON).alias("value"))
 
 
 def slim_entries(log: DataFrame) -> DataFrame:

@@ -588,8 +588,8 @@ def ai_ctes(policy="drift", source=None):
     base = files(policy) if source is None else source
     return [
         *base, ("inds", " UNION ALL ".join(_AI_ROWS)), ("weights", _WEIGHTS),
-        ("conf", """SELECT f.path, count(i.path)::INT AS n_indicators, coalesce(least(sum(w.confidence * w.w) / sum(w.w)
-        * (1 - exp(-count(i.path) / 3.0)), 0.95), 0) AS confidence
+        ("conf", """SELECT f.path, count(i.path)::INT AS n_indicators, CASE WHEN count(i.path) = 0 THEN 0 ELSE
+        least(sum(w.confidence * w.w) / sum(w.w) * (1 - exp(-count(i.path) / 3.0)), 0.95) END AS confidence
         FROM files f LEFT JOIN inds i USING (path) LEFT JOIN weights w USING (type) GROUP BY f.path"""),
     ]
 
@@ -610,7 +610,7 @@ UNION ALL SELECT path, 1, 'ai_analysis', 'template structure', mc::DOUBLE FROM m
 ORACLE["ai_model_sections"] = with_([_MODEL], "SELECT path, line::INT AS line, 'boilerplate' AS reason, mc::DOUBLE AS confidence FROM model")
 ORACLE["ai_model_confidence"] = with_([*ai_ctes(), _MODEL, ("every", """SELECT path, w.confidence AS c, w.w FROM inds JOIN weights w USING (type)
 UNION ALL SELECT path, mc, 0.8 FROM model, range(2)"""), ("conf2", """SELECT f.path, count(e.path)::INT AS n_indicators,
-coalesce(least(sum(e.c * e.w) / sum(e.w) * (1 - exp(-count(e.path) / 3.0)), 0.95), 0) AS confidence FROM files f LEFT JOIN every e USING (path) GROUP BY f.path""")],
+CASE WHEN count(e.path) = 0 THEN 0 ELSE least(sum(e.c * e.w) / sum(e.w) * (1 - exp(-count(e.path) / 3.0)), 0.95) END AS confidence FROM files f LEFT JOIN every e USING (path) GROUP BY f.path""")],
     "SELECT path, n_indicators, round(confidence, 6) AS confidence, confidence >= 0.6 AS is_likely_ai FROM conf2")
 
 # --- AI audit -----------------------------------------------------------------------------------
