@@ -70,7 +70,8 @@ def upto_close_after(text: str, literal: str, close: str = "*/") -> str:
 
 
 def newlines(text: str) -> str:
-    return f"(length({text}) - length(replace({text}, '\\n', '')))"
+    # a line feed is one byte, and byte lengths are known without walking through the text
+    return f"(octet_length({text}) - octet_length(replace({text}, '\\n', '')))"
 
 
 def _then(a: str, b: str) -> str:
@@ -113,14 +114,14 @@ def _positions(chunks: str) -> str:
 def all_hits(text: str, specs) -> str:
     """Matches of several patterns with 1-based ``line`` and ``col``: array<array<struct<text,line,col>>>.
 
-    Each spec is (pattern, requires, scope). ``requires`` are literals without which the pattern cannot
-    match: a cheap test before the regex. ``scope`` is a prefix of ``text`` known to hold every match
+    Each spec is (pattern, gate, scope). ``gate`` is a cheap condition without which the pattern cannot
+    match, '' for none. ``scope`` is a prefix of ``text`` known to hold every match
     (see the ``upto_*`` cuts); it keeps lazy patterns linear when their closing part is missing.
 
     The position arithmetic is one expression applied to all patterns, which keeps plans small.
     """
 
-    def find(pattern, requires, scope):
+    def find(pattern, gate, scope):
         def split(body):
             return let(
                 f"regexp_extract_all({body}, {q(pattern)}, 0)",
@@ -129,7 +130,7 @@ def all_hits(text: str, specs) -> str:
             )
 
         out = split(text) if scope is None else let(scope, split)
-        return f"if({contains_all(text, requires)}, {out}, NULL)" if requires else out
+        return f"if({gate}, {out}, NULL)" if gate else out
 
     def place(found):
         texts, pieces = f"{found}.texts", f"{found}.pieces"
@@ -145,15 +146,15 @@ def all_hits(text: str, specs) -> str:
     return transform(f"array({', '.join(found)})", place)
 
 
-def hits(text: str, pattern: str, requires=(), scope: str | None = None) -> str:
+def hits(text: str, pattern: str, gate: str = "", scope: str | None = None) -> str:
     """All matches of one pattern: array<struct<text,line,col>>."""
-    return f"get({all_hits(text, [(pattern, requires, scope)])}, 0)"
+    return f"get({all_hits(text, [(pattern, gate, scope)])}, 0)"
 
 
-def count(text: str, pattern: str, requires=(), scope: str | None = None) -> str:
+def count(text: str, pattern: str, gate: str = "", scope: str | None = None) -> str:
     """Number of matches, without their positions."""
     n = f"regexp_count({text if scope is None else scope}, {q(pattern)})"
-    return f"if({contains_all(text, requires)}, {n}, 0)" if requires else n
+    return f"if({gate}, {n}, 0)" if gate else n
 
 
 def group(text: str, pattern: str, *indexes: int) -> str:

@@ -106,28 +106,28 @@ def is_blank(content: str) -> str:
     return f"NOT {matches(content, rx.NOT_SPACE)}"
 
 
-# What to search for each kind of identifier: (pattern, required literals, scope).
-VARIABLES = (VARIABLE, (), None)
-CONSTANTS = (CONSTANT, ("const",), None)
-IMPORTS = (IMPORT, ("import", "from"), None)
-FUNCTIONS = {k: (p, (), None) for k, p in FUNCTION.items()}
+# What to search in ``content`` for each kind of identifier: (pattern, gate, scope).
+VARIABLES = (VARIABLE, "", None)
+CONSTANTS = (CONSTANT, contains("content", "const"), None)
+IMPORTS = (IMPORT, rx.contains_all("content", ["import", "from"]), None)
+FUNCTIONS = {k: (p, "", None) for k, p in FUNCTION.items()}
 
 
-def variables(content: str) -> str:
-    """array<struct<text,line,col>> of variable declarations."""
-    return rx.hits(content, *VARIABLES)
+def variables() -> str:
+    """array<struct<text,line,col>> of variable declarations in ``content``."""
+    return rx.hits("content", *VARIABLES)
 
 
-def functions(content: str, dialect: str) -> str:
-    return rx.hits(content, *FUNCTIONS[dialect])
+def functions(dialect: str) -> str:
+    return rx.hits("content", *FUNCTIONS[dialect])
 
 
-def constants(content: str) -> str:
-    return rx.hits(content, *CONSTANTS)
+def constants() -> str:
+    return rx.hits("content", *CONSTANTS)
 
 
-def imports(content: str) -> str:
-    return rx.hits(content, *IMPORTS)
+def imports() -> str:
+    return rx.hits("content", *IMPORTS)
 
 
 def variable_name(text: str) -> str:
@@ -199,8 +199,8 @@ def comment_profile(content: str) -> str:
         )
 
     return let(rx.upto_last(content, "*/"), lambda closed: let(struct(
-        single=rx.count(content, LINE_COMMENT, requires=["//"]),
-        multi=rx.count(closed, BLOCK_COMMENT, requires=["/*"]),
-        jsdoc=rx.count(closed, DOC_COMMENT, requires=["/**"]),
+        single=rx.count(content, LINE_COMMENT, contains(content, "//")),
+        multi=rx.count(closed, BLOCK_COMMENT, contains(closed, "/*")),
+        jsdoc=rx.count(closed, DOC_COMMENT, contains(closed, "/**")),
         lines=line_count(content),
     ), classify))

@@ -35,9 +35,9 @@ RULES = [
 NEAR = {UNIT_TESTS: 5, CONSISTENT_NAMING: 3, SECURITY_REVIEW: 3, PERFORMANCE_REVIEW: 5}
 WIDEST = 5
 REVIEWED = [
-    Pattern(r"//\s*Reviewed by:", True, ("//",)),
-    Pattern(r"//\s*Human verified:", True, ("//",)),
-    Pattern(r"//\s*@reviewed", True, ("//",)),
+    Pattern(r"//\s*Reviewed by:", True, ("reviewed by:",)),
+    Pattern(r"//\s*Human verified:", True, ("human verified:",)),
+    Pattern(r"//\s*@reviewed", True, ("@reviewed",)),
     Pattern(r"/\*\*[\s\S]*?@human-verified[\s\S]*?\*/", requires=("/**", "@human-verified"),
             tail="@human-verified", closes=True),
 ]
@@ -49,12 +49,12 @@ COMPLEX = [
 ]
 EXPLAINED = r"//\s*(?:This|The|Explanation|Logic|Algorithm|Purpose|Why)"
 PLACEHOLDER_PATTERNS = [
-    Pattern(r"//\s*TODO:", True, ("//",)),
-    Pattern(r"//\s*FIXME:", True, ("//",)),
-    Pattern(r"//\s*Add your.*here", True, ("//",)),
-    Pattern(r"//\s*Implementation.*here", True, ("//",)),
-    Pattern(r"//\s*Your code here", True, ("//",)),
-    Pattern(r"/\*\s*TODO[\s\S]*?\*/", True, ("/*",), tail="*/"),
+    Pattern(r"//\s*TODO:", True, ("todo:",)),
+    Pattern(r"//\s*FIXME:", True, ("fixme:",)),
+    Pattern(r"//\s*Add your.*here", True, ("add your", "here")),
+    Pattern(r"//\s*Implementation.*here", True, ("implementation", "here")),
+    Pattern(r"//\s*Your code here", True, ("your code here",)),
+    Pattern(r"/\*\s*TODO[\s\S]*?\*/", True, ("/*", "todo"), tail="*/"),
 ]
 RISKS = [
     (Pattern(r"eval\s*\(", requires=("eval",)), "Code execution vulnerability"),
@@ -63,7 +63,7 @@ RISKS = [
     (Pattern(r"\.query\s*\(", requires=(".query",)), "SQL injection vulnerability"),
     (Pattern(r"crypto\.createHash", requires=("crypto.createHash",)), "Cryptographic implementation"),
     (Pattern(r"jwt\.sign", requires=("jwt.sign",)), "Authentication token handling"),
-    (Pattern(r"password", True), "Password handling"),
+    (Pattern(r"password", True, ("password",)), "Password handling"),
 ]
 SLOW = [
     (Pattern(r"for\s*\([^)]*\)\s*\{[\s\S]*?for\s*\([^)]*\)", requires=("for",)), "Nested loops"),
@@ -125,11 +125,11 @@ def _violation(rule, category, severity, message, line="NULL", suggestion=None,
 
 def human_reviewed() -> str:
     """SQL text over ``content``: carries a reviewer's comment."""
-    tests = [
-        f"({rx.contains_all('content', p.requires)} AND {rx.matches(p.scope('content') or 'content', p.rx)})"
+    tests = lambda lowered: " OR ".join(
+        f"({p.gate(lowered)} AND {rx.matches(p.scope('content') or 'content', p.rx)})"
         for p in REVIEWED
-    ]
-    return "(" + " OR ".join(tests) + ")"
+    )
+    return let("lower(content)", tests)
 
 
 def _human_comments() -> str:
@@ -221,15 +221,16 @@ def _reviews(rule, category, severity, message, patterns):
 
 
 # Rules over the places of patterns (function declarations, or a group of patterns), and the others.
-_AUDIT_FUNCTIONS = [text.FUNCTIONS["audit"]]
+_FUNCTION_SPECS = lambda lowered: [text.FUNCTIONS["audit"]]
+_specs = lambda patterns: lambda lowered: [p.spec(lowered) for p in patterns]
 _PLACED = {
-    UNIT_TESTS: (_AUDIT_FUNCTIONS, lambda groups: _unit_tests(f"get({groups}, 0)")),
-    PLACEHOLDERS: ([p.spec for p in PLACEHOLDER_PATTERNS], _placeholders),
-    CONSISTENT_NAMING: (_AUDIT_FUNCTIONS, lambda groups: _naming(f"get({groups}, 0)")),
+    UNIT_TESTS: (_FUNCTION_SPECS, lambda groups: _unit_tests(f"get({groups}, 0)")),
+    PLACEHOLDERS: (_specs(PLACEHOLDER_PATTERNS), _placeholders),
+    CONSISTENT_NAMING: (_FUNCTION_SPECS, lambda groups: _naming(f"get({groups}, 0)")),
     SECURITY_REVIEW: (
-        [p.spec for p, _ in RISKS], _reviews(SECURITY_REVIEW, "security", "high", SECURITY_MESSAGE, RISKS)),
+        _specs([p for p, _ in RISKS]), _reviews(SECURITY_REVIEW, "security", "high", SECURITY_MESSAGE, RISKS)),
     PERFORMANCE_REVIEW: (
-        [p.spec for p, _ in SLOW],
+        _specs([p for p, _ in SLOW]),
         _reviews(PERFORMANCE_REVIEW, "performance", "medium", PERFORMANCE_MESSAGE, SLOW)),
 }
 _WHOLE = {
@@ -239,13 +240,17 @@ _WHOLE = {
 
 def candidates(rules) -> str:
     """SQL text over (path, content, profile): candidate array of the given rules, in rule order."""
+    return let("lower(content)", lambda lowered: _candidates(rules, lowered))
+
+
+def _candidates(rules, lowered: str) -> str:
     specs, places = [], {}
     for rule in (r for r in rules if r in _PLACED):
         wanted = _PLACED[rule][0]
         shared = next((places[r] for r in places if _PLACED[r][0] is wanted), None)
-        places[rule] = shared or (len(specs) + 1, len(wanted))
+        places[rule] = shared or (len(specs) + 1, len(wanted(lowered)))
         if shared is None:
-            specs += wanted
+            specs += wanted(lowered)
 
     def listed(found):
         parts = [

@@ -37,7 +37,8 @@ EVIDENCE_DEFAULT = 100
 
 @dataclass(frozen=True)
 class Pattern:
-    """``requires``: literals the match must contain; ``tail``: the literal its lazy part runs to;
+    """``requires``: literals the match must contain, in lower case where case is ignored;
+    ``tail``: the literal its lazy part runs to;
     ``first``: the letters it can start with."""
 
     regex: str
@@ -53,9 +54,12 @@ class Pattern:
         spelled = js(self.regex, self.ignore_case)
         return starting(self.first, spelled) if self.first else spelled
 
-    @property
-    def spec(self) -> tuple:
-        return (self.rx, self.requires, self.scope("content"))
+    def gate(self, lowered: str) -> str:
+        """Condition without which the pattern cannot match; ``lowered`` is the lower-cased content."""
+        return rx.contains_all(lowered if self.ignore_case else "content", self.requires)
+
+    def spec(self, lowered: str) -> tuple:
+        return (self.rx, self.gate(lowered), self.scope("content"))
 
     def scope(self, content: str) -> str | None:
         if self.tail is None:
@@ -68,12 +72,12 @@ class Pattern:
 COMMENTS = [
     Pattern(r"/\*\*\s*\n\s*\*\s*.*\s*\n\s*\*\s*@param.*\s*\n\s*\*\s*@returns.*\s*\n\s*\*/",
             requires=("/**", "@param", "@returns")),
-    Pattern(r"//\s*TODO:\s*Implement", True, ("//",)),
-    Pattern(r"//\s*Helper function", True, ("//",)),
-    Pattern(r"//\s*Main logic", True, ("//",)),
+    Pattern(r"//\s*TODO:\s*Implement", True, ("todo:", "implement")),
+    Pattern(r"//\s*Helper function", True, ("helper function",)),
+    Pattern(r"//\s*Main logic", True, ("main logic",)),
     Pattern(r"/\*\*[\s\S]*?This function[\s\S]*?\*/", requires=("/**", "This function"),
             tail="This function", closes=True),
-    Pattern(r"//\s*Example usage:", True, ("//",)),
+    Pattern(r"//\s*Example usage:", True, ("example usage:",)),
 ]
 NAMING = [
     r"^(helper|util|process|handle|manage|create|get|set|update|delete|validate|format|parse|convert"
@@ -108,15 +112,15 @@ DOCUMENTATION = [
             closes=True),
     Pattern(r"/\*\*[\s\S]*?@description[\s\S]*?\*/", requires=("/**", "@description"),
             tail="@description", closes=True),
-    Pattern(r"//\s*Usage:", requires=("//", "Usage:")),
-    Pattern(r"//\s*Returns:", requires=("//", "Returns:")),
+    Pattern(r"//\s*Usage:", requires=("Usage:",)),
+    Pattern(r"//\s*Returns:", requires=("Returns:",)),
 ]
 SIGNATURES = [
     Pattern(r"function\s+\w+\s*\([^)]*\)\s*\{[\s\S]*?//\s*Implementation",
             requires=("function", "Implementation"), tail="Implementation"),
-    Pattern(r"//\s*Add your.*here", requires=("//", "Add your")),
-    Pattern(r"//\s*Your code here", requires=("//", "Your code here")),
-    Pattern(r"//\s*Implementation goes here", requires=("//", "Implementation goes here")),
+    Pattern(r"//\s*Add your.*here", requires=("Add your",)),
+    Pattern(r"//\s*Your code here", requires=("Your code here",)),
+    Pattern(r"//\s*Implementation goes here", requires=("Implementation goes here",)),
     Pattern(r"(?:let|const|var)\s+(config|options|settings|params|args)\s*=\s*\{", first="lcv"),
 ]
 EVERY_MATCH = {
@@ -135,8 +139,8 @@ def _named_like_ai(name: str) -> str:
     return "(" + " OR ".join(rx.matches(name, p) for p in NAMING) + ")"
 
 
-def _gated(pattern: Pattern, value: str, empty: str) -> str:
-    return f"if({rx.contains_all('content', pattern.requires)}, {value}, {empty})" if pattern.requires else value
+def _gated(pattern: Pattern, lowered: str, value: str, empty: str) -> str:
+    return f"if({pattern.gate(lowered)}, {value}, {empty})"
 
 
 def _kind(name: str) -> str:
@@ -156,12 +160,12 @@ def _indicator(kind: str, evidence: str, line: str) -> str:
     )
 
 
-def _first_comments() -> str:
+def _first_comments(lowered: str) -> str:
     """At most one hit per comment pattern, without a line."""
     firsts = []
     for p in COMMENTS:
         first = f"regexp_extract({p.scope('content') or 'content'}, {q(p.rx)}, 0)"
-        firsts.append(_gated(p, f"nullif({first}, '')", "NULL"))
+        firsts.append(_gated(p, lowered, f"nullif({first}, '')", "NULL"))
     return transform(
         keep(f"array({', '.join(firsts)})", lambda e: f"{e} IS NOT NULL"),
         lambda e: struct(text=e, line="cast(NULL AS int)"),
@@ -177,16 +181,20 @@ def _ai_named(hits: str) -> str:
 
 def indicators() -> str:
     """SQL text over ``content``: every indicator of the file in detector order."""
+    return let("lower(content)", _indicators)
+
+
+def _indicators(lowered: str) -> str:
     patterns = [(kind, p) for kind, ps in EVERY_MATCH.items() for p in ps]
     kinds = ["comment_pattern", "naming_pattern", *[kind for kind, _ in patterns]]
-    specs = [text.FUNCTIONS["detect"], *[p.spec for _, p in patterns]]
+    specs = [text.FUNCTIONS["detect"], *[p.spec(lowered) for _, p in patterns]]
 
     def listed(found):
         plain = transform(
             f"slice({found}, 2, {len(patterns)})",
             lambda hs: transform(hs, lambda h: struct(text=f"{h}.text", line=f"{h}.line")),
         )
-        groups = f"concat(array({_first_comments()}, {_ai_named(f'get({found}, 0)')}), {plain})"
+        groups = f"concat(array({_first_comments(lowered)}, {_ai_named(f'get({found}, 0)')}), {plain})"
         types = "array(" + ", ".join(_kind(k) for k in kinds) + ")"
         return (
             f"flatten(zip_with({groups}, {types}, "
@@ -198,9 +206,13 @@ def indicators() -> str:
 
 def counts() -> str:
     """SQL text over ``content``: struct with the number of indicators of each type."""
+    return let("lower(content)", _counts)
+
+
+def _counts(lowered: str) -> str:
     fields = {}
     comment = [
-        f"if({_gated(p, rx.matches(p.scope('content') or 'content', p.rx), 'false')}, 1, 0)" for p in COMMENTS
+        f"if({_gated(p, lowered, rx.matches(p.scope('content') or 'content', p.rx), 'false')}, 1, 0)" for p in COMMENTS
     ]
     fields["comment_pattern"] = " + ".join(comment)
     names = transform(
@@ -210,7 +222,7 @@ def counts() -> str:
     fields["naming_pattern"] = f"size({keep(names, _named_like_ai)})"
     for kind, patterns in EVERY_MATCH.items():
         fields[kind] = " + ".join(
-            rx.count("content", p.rx, p.requires, p.scope("content")) for p in patterns
+            rx.count("content", *p.spec(lowered)) for p in patterns
         )
     return struct(**fields)
 

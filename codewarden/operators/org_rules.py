@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import naming, scoring, text
-from codewarden.functions.regex import contains
-from codewarden.functions.sql import array, keep, q, struct, transform
+from codewarden.functions.regex import contains, matches
+from codewarden.functions.sql import array, keep, let, q, struct, transform
 from codewarden.operators.registry import registered_rules
 from codewarden.schemas import NO_VIOLATIONS, VIOLATION, Sql, violation
 
@@ -65,19 +65,43 @@ def _feature_folders(rule: str) -> str:
     return f"if({text.in_feature_folder('path')}, {NO_VIOLATIONS}, {found})"
 
 
+def _first_lines(hits: str, found) -> str:
+    """Bind a function giving the line where a hit's text first occurs anywhere in the file.
+
+    That is the first hit of the same text, unless the text also begins a longer hit or follows a name
+    that ends in a keyword; only then the file itself is searched.
+    """
+
+    def bind(h):
+        texts = f"transform({h}, x -> x.text)"
+        sorted_texts = f"array_sort(array_distinct({texts}))"
+        longer = let(sorted_texts, lambda o: f"filter({o}, (t, i) -> startswith(coalesce(get({o}, i + 1), ''), t))")
+        known = struct(
+            texts=texts, longer=longer, chained=f"exists({h}, x -> {matches('x.text', '(?:let|const|var)$')})"
+        )
+        return let(known, lambda k: found(h, lambda t: (
+            f"if({k}.chained OR array_contains({k}.longer, {t}), {text.line_at('content', t)}, "
+            f"get({h}, cast(array_position({k}.texts, {t}) AS int) - 1).line)"
+        )))
+
+    return let(hits, bind)
+
+
 def _camelcase_variables(rule: str) -> str:
     """Reported at the first place where the same declaration text occurs."""
-    declared = transform(
-        f"regexp_extract_all(content, {q(text.VARIABLE)}, 0)",
-        lambda m: struct(text=m, name=text.variable_name(m)),
-    )
-    other = keep(declared, lambda d: f"{naming.naming_style(f'{d}.name')} <> 'camelCase'")
-    found = transform(other, lambda d: _found(
-        rule, f"concat('Variable \\'', {d}.name, '\\' should use camelCase naming')",
-        text.line_at("content", f"{d}.text"),
-    ))
+
+    def found(hits, first_line):
+        declared = transform(
+            hits, lambda h: struct(text=f"{h}.text", name=text.variable_name(f"{h}.text"))
+        )
+        other = keep(declared, lambda d: f"{naming.naming_style(f'{d}.name')} <> 'camelCase'")
+        return transform(other, lambda d: _found(
+            rule, f"concat('Variable \\'', {d}.name, '\\' should use camelCase naming')",
+            first_line(f"{d}.text"),
+        ))
+
     learned = "profile.recommendations.naming.variables <=> 'camelCase'"
-    return f"if({learned}, {found}, {NO_VIOLATIONS})"
+    return f"if({learned}, {_first_lines(text.variables(), found)}, {NO_VIOLATIONS})"
 
 
 BUILDERS = {

@@ -243,7 +243,7 @@ def _hits(source, hits, name):
 
 @query
 def convert_naming(spark, d):
-    names = _hits(files(spark, d), text.variables("content"), text.variable_name).select("name")
+    names = _hits(files(spark, d), text.variables(), text.variable_name).select("name")
     stems = files(spark, d).selectExpr(f"{text.stem('path')} AS name")
     return names.union(stems).distinct().selectExpr(
         "name",
@@ -255,14 +255,14 @@ def convert_naming(spark, d):
 
 @query
 def extract_variables(spark, d):
-    return _hits(files(spark, d), text.variables("content"), text.variable_name)
+    return _hits(files(spark, d), text.variables(), text.variable_name)
 
 
 @query
 def extract_functions(spark, d):
     source = files(spark, d)
     parts = [
-        _hits(source, text.functions("content", k), lambda t, k=k: text.function_name(t, k))
+        _hits(source, text.functions(k), lambda t, k=k: text.function_name(t, k))
         .selectExpr(f"{q(k)} AS dialect", "*")
         for k in text.FUNCTION
     ]
@@ -271,12 +271,12 @@ def extract_functions(spark, d):
 
 @query
 def extract_constants(spark, d):
-    return _hits(files(spark, d), text.constants("content"), text.constant_name)
+    return _hits(files(spark, d), text.constants(), text.constant_name)
 
 
 @query
 def extract_imports(spark, d):
-    found = _hits(files(spark, d), text.imports("content"), text.import_path)
+    found = _hits(files(spark, d), text.imports(), text.import_path)
     return found.selectExpr(
         "path", "i", "name AS import_path", "line", f"{text.is_relative_import('name')} AS relative",
         f"{text.import_library('name')} AS library", f"{text.import_extension('name')} AS extension",
@@ -297,7 +297,7 @@ def comment_profile(spark, d):
 
 @query
 def page_variables(spark, d):
-    return _hits(corpus.pages_as_files(spark, d), text.variables("content"), text.variable_name)
+    return _hits(corpus.pages_as_files(spark, d), text.variables(), text.variable_name)
 
 
 @query
