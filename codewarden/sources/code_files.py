@@ -71,16 +71,16 @@ def scan_code_files(
     """Read a directory tree, one row per file: path (relative to the directory), content, mtime."""
     globs = ",".join(e.lstrip(".") for e in extensions)
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{{{globs}}}").text(directory)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"*.{{{globs}}}").load(directory)
     )
-    # the lookup yields absolute URIs; what follows the directory is the relative path
-    marker = "/" + directory.rstrip("/").lstrip("/").removeprefix("file:").lstrip("/") + "/"
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    files = raw.select(
-        F.substr(full, F.locate(marker, full) + F.lit(len(marker))).alias("path"),
-        F.col("value").alias("content"),
-        F.col("_metadata.file_modification_time").alias("mtime"),
+    # the source yields absolute paths; what follows the directory is the relative path
+    marker = q("/" + directory.removeprefix("file:").strip("/") + "/")
+    files = raw.selectExpr(
+        "path AS full", "content", "modificationTime AS mtime"
+    ).selectExpr(
+        f"substr(full, locate({marker}, full) + length({marker})) AS path",
+        "make_valid_utf8(cast(content AS string)) AS content", "mtime",
     )
     return select_code_files(files, policy, extensions, root=directory, max_files=max_files)
 

@@ -60,7 +60,7 @@ def parse_config(texts: DataFrame, column: str = "value", keep_cols=()) -> DataF
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    return parse_config(spark.read.option("wholetext", True).text(path))
+    return parse_config(spark.read.text(path, wholetext=True))
 
 
 def rules_of(config: DataFrame, keep_cols=()) -> DataFrame:

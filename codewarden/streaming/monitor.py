@@ -68,21 +68,21 @@ def start_monitor(
     A batch replaces its own ``batch`` folder, so a batch repeated after a failure leaves no duplicates.
     """
 
+    bursts = f"{checkpoint}/bursts"
+
     def analyze_batch(batch: DataFrame, batch_id: int) -> None:
+        # the bursts are used twice below; written down, they are read back instead of recomputed
+        batch.write.mode("overwrite").parquet(f"{bursts}/batch={batch_id}")
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            current = changed_files(files(spark), batch)
-            events = analyze_sessions(
-                batch, current,
-                rules(spark) if rules else None, exceptions(spark) if exceptions else None,
-                learned(spark) if learned else None, **options,
-            )
-            with_date(events).write.mode("overwrite").partitionBy("date").parquet(
-                f"{log_path}/batch={batch_id}"
-            )
-        finally:
-            batch.unpersist()
+        finished = spark.read.schema(sessions.schema).parquet(f"{bursts}/batch={batch_id}")
+        events = analyze_sessions(
+            finished, changed_files(files(spark), finished),
+            rules(spark) if rules else None, exceptions(spark) if exceptions else None,
+            learned(spark) if learned else None, **options,
+        )
+        with_date(events).write.mode("overwrite").partitionBy("date").parquet(
+            f"{log_path}/batch={batch_id}"
+        )
 
     writer = sessions.writeStream.foreachBatch(analyze_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
