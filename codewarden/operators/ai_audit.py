@@ -100,6 +100,9 @@ ADVICE_TESTS = "Create comprehensive unit tests for AI-generated functions."
 ADVICE_COMPLEXITY = "Add explanatory comments to complex AI-generated logic sections."
 ADVICE_DEFAULT = "AI-generated code follows basic standards. Consider adding human review comments."
 
+#: Copies of a violation written out at a time.
+COPY_BLOCK = 10_000
+
 #: Line keys that are not lines: anywhere in a file that has sections, and no section needed.
 IN_FILE = -1
 ALWAYS = -2
@@ -311,7 +314,7 @@ def findings(
     """files(path, content, profile) -> one row per audit violation of likely-AI files, plus one row
     with a null rule for each such file, so that clean ones are not lost.
 
-    Columns: path, confidence, ord, idx, then the violation fields. Without sections only the
+    Columns: path, confidence, ord, idx, copies, then the violation fields. Without sections only the
     placeholder rule can fire, and no join happens.
     """
     chosen = [r for r in RULES if (only is None or r in only) and (org_rules or r != ERROR_HANDLING)]
@@ -335,7 +338,7 @@ def findings(
             "OR (radius > 0 AND delta <= radius) OR (radius = 0 AND here > 0)"
         )
     # Function candidates of a file become one violation; the line rules count every section of the
-    # line, so copies of a section give copies. Partitioning by path once serves this grouping and
+    # line, so copies of a section are counted, not multiplied out. Partitioning by path once serves this grouping and
     # the per-file ordering and scoring that follow.
     is_test = f"v.rule <=> {q(UNIT_TESTS)}"
     grouped = (
@@ -351,35 +354,43 @@ def findings(
     names = "array_join(transform(names, n -> coalesce(n.name, '')), ', ')"
     message = f"if({is_test}, concat(v.message, {names}), v.message) AS message"
     return grouped.selectExpr(
-        "path", "confidence", "ord", "idx",
+        "path", "confidence", "ord", "idx", "cast(copies AS bigint) AS copies",
         *[message if f == "message" else f"v.{f} AS {f}" for f in VIOLATION_FIELDS],
-        "explode(array_repeat(1, cast(copies AS int))) AS one",
-    ).drop("one")
+    )
 
 
-def violations(found: DataFrame) -> DataFrame:
-    """Violation rows with ``seq``, most severe first, otherwise in rule order."""
-    rank = scoring.severity_rank("severity")
-    order = Window.partitionBy("path").orderBy(F.expr(rank).desc(), "ord", "idx")
-    return (
-        found.where("rule IS NOT NULL")
-        .withColumn("seq", (F.row_number().over(order) - 1))
-        .select("path", "seq", *VIOLATION_FIELDS)
+def _repeat(rows: DataFrame) -> DataFrame:
+    """One row per copy, numbered by ``copy``; in two steps, so no long array is built for many copies."""
+    blocks = rows.selectExpr("*", f"explode(sequence(0L, (copies - 1) div {COPY_BLOCK})) AS block")
+    size = f"least({COPY_BLOCK}, copies - block * {COPY_BLOCK})"
+    return blocks.selectExpr("*", f"posexplode(array_repeat(1, cast({size} AS int))) AS (i, one)").selectExpr(
+        "*", f"block * {COPY_BLOCK} + i AS copy"
     )
 
 
+def violations(found: DataFrame) -> DataFrame:
+    """Violation rows with ``seq``, most severe first, otherwise in rule order.
+
+    Numbered before copies are multiplied out, so the window of a file holds its lines, not the copies.
+    """
+    order = Window.partitionBy("path").orderBy(F.expr(scoring.severity_rank("severity")).desc(), "ord", "idx")
+    before = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
+    numbered = found.where("rule IS NOT NULL").withColumn("before", before)
+    return _repeat(numbered).selectExpr("path", "cast(before + copy AS int) AS seq", *VIOLATION_FIELDS)
+
+
 def _counted(n: str, words: str) -> str:
     return f"concat({n}, {q(words)})"
 
 
 def report(found: DataFrame) -> DataFrame:
     """One row per likely-AI file: score, counts, recommendations and action plan."""
-    n = lambda cond: F.count_if(F.expr(cond))
+    n = lambda cond: F.sum(F.expr(f"if({cond}, copies, 0L)"))
     org = f"rule = {q(ERROR_HANDLING)}"
     per_file = found.groupBy("path").agg(
         F.max("confidence").alias("confidence"),
         n("rule IS NOT NULL").alias("n_violations"),
-        F.sum(F.expr(scoring.weight("severity", scoring.AUDIT_WEIGHTS))).alias("penalty"),
+        F.sum(F.expr(f"copies * {scoring.weight('severity', scoring.AUDIT_WEIGHTS)}")).alias("penalty"),
         n(f"severity = 'high' AND NOT {org}").alias("n_high"),
         n("category = 'security'").alias("n_security"),
         n("category = 'quality'").alias("n_quality"),

@@ -299,6 +299,11 @@ def indicator_rows(files: DataFrame, first: int | None = None, keep_cols=("path"
     )
 
 
+def above(detected: DataFrame, threshold: float = scoring.LIKELY_AI) -> DataFrame:
+    """Files whose confidence reaches a threshold."""
+    return detected.where(F.col("confidence") >= threshold)
+
+
 def report(detected: DataFrame) -> DataFrame:
     """Files by falling confidence (then path)."""
     return detected.orderBy(F.desc("confidence"), "path")

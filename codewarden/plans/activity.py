@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions import scoring, text
 from codewarden.functions.sql import q
+from codewarden.operators import org_rules
 
 # How far back the readers look, and their messages.
 LAST_LINES = 20
@@ -93,14 +94,11 @@ def organization_context(
     )
 
 
-def improvements(
-    checked: DataFrame, detected: DataFrame, learned: DataFrame | None = None, focus: str = "all"
-) -> DataFrame:
-    """path, suggestions: compliance advice, AI advice and profile hints, each once, in that order."""
-    from codewarden.operators import learn, org_rules
+def improvements(checked: DataFrame, focus: str = "all") -> DataFrame:
+    """path, suggestions: compliance advice, AI advice and profile hints, each once, in that order.
 
-    rows = checked.join(detected.select("path", "is_likely_ai", "recommendation"), "path", "left")
-    rows = learn.with_profile(rows, learned)
+    Takes the result of :func:`codewarden.plans.analysis.check_snippets`; a missing profile gives no hints.
+    """
     hints = []
     if focus in ("naming", "all"):
         naming = "profile.recommendations.naming"
@@ -114,7 +112,7 @@ def improvements(
     parts = [org_rules.recommendations("violations"), ai]
     if hints:
         parts.append(f"filter(array({', '.join(hints)}), h -> h IS NOT NULL)")
-    return rows.selectExpr("path", f"array_distinct(concat({', '.join(parts)})) AS suggestions")
+    return checked.selectExpr("path", f"array_distinct(concat({', '.join(parts)})) AS suggestions")
 
 
 def monitor_stats(log: DataFrame) -> DataFrame:

@@ -94,6 +94,26 @@ def analyze(
     )
 
 
+def check_snippets(
+    files: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, keep_cols=("path",)
+) -> DataFrame:
+    """Rules and AI detection of submitted code in one pass: violations, score, confidence, advice."""
+    counted = files.selectExpr(*_plus(keep_cols, "path", "content", "profile"), f"{ai_detect.counts()} AS counts")
+    rated = counted.selectExpr("*", f"{ai_detect.confidence('counts')} AS confidence")
+    total = " + ".join(f"counts.{t}" for t in ai_detect.TYPES)
+    active = None if exceptions is None else org_rules.active_exceptions(exceptions)
+    checked = org_rules.rule_violations(
+        rated, rules, active, keep_cols=(*_plus(keep_cols, "path", "profile"), "counts", "confidence")
+    )
+    if active is not None:
+        checked = org_rules.suppress(checked, active)
+    return checked.selectExpr(
+        *_plus(keep_cols, "path", "profile"), "violations", f"{scoring.rule_score('violations')} AS score",
+        f"cast({total} AS int) AS n_indicators", "confidence",
+        f"confidence >= {q(scoring.LIKELY_AI)} AS is_likely_ai", f"{scoring.advice('confidence')} AS recommendation",
+    )
+
+
 def _plus(columns, *more):
     return [*columns, *[m for m in more if m not in columns]]
 

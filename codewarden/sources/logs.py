@@ -153,6 +153,13 @@ def violation_reports(analyzed: DataFrame) -> DataFrame:
     return analyzed.where("size(violations) > 0").selectExpr("path", f"array_join({lines}, '\\n') AS entry")
 
 
+def write_text_log(entries: DataFrame, path: str, column: str) -> None:
+    """Append a text rendering; entries with a ``date`` go to one folder per day."""
+    kept = [c for c in ("date",) if c in entries.columns]
+    writer = entries.select(*kept, F.col(column).alias("value")).write.mode("append")
+    (writer.partitionBy(*kept) if kept else writer).text(path)
+
+
 def summary_report(stats: DataFrame, files_watched: int | None = None) -> DataFrame:
     """One row of text from the monitor's counters."""
     watched = "0" if files_watched is None else str(int(files_watched))

@@ -230,11 +230,13 @@ def test_audit_distances(spark):
 def test_audit_counts_repeated_sections_per_section_rule_only(spark):
     files = learn.with_profile(files_of(spark, s__ai_DOT_js=AI), None)
     sections = spark.createDataFrame([("s/ai.js", 9, "r", 0.9)] * 3, "path string, line int, reason string, confidence double")
-    found = ai_audit.findings(files, sections, org_rules=True).where("rule IS NOT NULL")
+    everything = ai_audit.findings(files, sections, org_rules=True)
+    found = ai_audit.violations(everything)
+    assert sorted(r.seq for r in found.collect()) == list(range(found.count()))
+    assert ai_audit.report(everything).first().n_violations == found.count()
     n = {r.rule: r["count"] for r in found.groupBy("rule").count().collect()}
     assert n[ai_audit.COMPLEXITY_COMMENTS] == 3
     assert n[ai_audit.SECURITY_REVIEW] == 1
-    assert n[ai_audit.UNIT_TESTS] if ai_audit.UNIT_TESTS in n else True
 
 
 def test_audit_without_sections_reports_clean_files(spark):
@@ -262,6 +264,15 @@ def test_windows_match_a_direct_slice(spark):
     assert got == want
 
 
+def test_very_many_copies_of_a_section(spark):
+    files = learn.with_profile(files_of(spark, s__ai_DOT_js=AI), None)
+    many = 2 * ai_audit.COPY_BLOCK + 3
+    sections = spark.range(many).selectExpr("'s/ai.js' AS path", "9 AS line", "'r' AS reason", "0.9D AS confidence")
+    found = ai_audit.violations(ai_audit.findings(files, sections, only=[ai_audit.COMPLEXITY_COMMENTS]))
+    got = found.agg(F.count("*").alias("n"), F.count_distinct("seq").alias("d"), F.max("seq").alias("m")).first()
+    assert (got.n, got.d, got.m) == (many, many, many - 1)
+
+
 def test_merged_analysis_and_switches(spark, corpus):
     source = learn.with_profile(corpus, learn.learn(corpus))
     table = rules.initial_rules(spark)

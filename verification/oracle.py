@@ -603,6 +603,7 @@ _ADVICE = "CASE " + " ".join(f"WHEN confidence >= {b} THEN {s(t)}" for b, t in A
 ORACLE["ai_confidence"] = with_(ai_ctes(), f"""SELECT path, n_indicators, round(confidence, 6) AS confidence,
 confidence >= 0.6 AS is_likely_ai, {_ADVICE} AS recommendation FROM conf""")
 ORACLE["ai_report"] = with_(ai_ctes(), "SELECT count(*) AS files_analyzed, count(*) FILTER (WHERE confidence >= 0.6) AS ai_files FROM conf")
+ORACLE["ai_above_threshold"] = with_(ai_ctes(), "SELECT path, round(confidence, 6) AS confidence FROM conf WHERE confidence >= 0.4")
 ORACLE["ai_files_ranked"] = with_(ai_ctes(), "SELECT path, round(confidence, 6) AS confidence FROM conf WHERE confidence >= 0.6")
 _MODEL = ("model", f"SELECT {path_of()} AS path, (5 + doc_id % 5) / 10.0 AS mc, doc_id % 23 + 1 AS line FROM documents WHERE doc_id % 7 <> 0")
 ORACLE["ai_model_indicators"] = with_([_MODEL], """SELECT path, 0 AS seq, 'ai_analysis' AS type, 'generic names' AS description, mc::DOUBLE AS confidence FROM model
@@ -795,6 +796,29 @@ ORACLE["top_violations"] = with_(merged_ctes(), "SELECT rule, count(*) AS n, cou
 ORACLE["stream_monitor"] = with_([*merged_ctes(excepted=False), *SESSIONS], """SELECT path AS file, session_end AS ts, total_issues AS n_violations,
 drift_score, severity FROM sess JOIN ana USING (path) WHERE session_end <= (SELECT max(ts) FROM events)""")
 
+_MARK = "CASE lower(severity) WHEN 'critical' THEN '🔥' WHEN 'high' THEN '🚨' WHEN 'medium' THEN '⚠️' WHEN 'low' THEN '💡' WHEN 'info' THEN 'ℹ️' ELSE '❓' END"
+ORACLE["context_log"] = with_([*log_ctes(), ("nv", "SELECT path, rule, severity, line, message, row_number() OVER (PARTITION BY path ORDER BY src, a, b) AS k FROM mv"),
+    ("vt", f"""SELECT path, string_agg('   ' || k || '. ' || {_MARK} || ' [' || upper(severity) || '] ' || message || CASE WHEN line IS NULL THEN '' ELSE
+chr(10) || '      📍 Line ' || line || ' | Rule: ' || rule END, chr(10) ORDER BY k) AS t FROM nv GROUP BY path""")], """
+SELECT ts, file, concat_ws(chr(10), '📅 TIMESTAMP: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ'), '🎯 EVENT: ' || event, '📁 FILE: ' || file,
+CASE WHEN file IS NOT NULL THEN concat_ws(chr(10), '📊 SUMMARY:', '   • Violations: ' || total_issues, '   • Severity: ' || severity,
+'   • AI Detected: ' || CASE WHEN insights <> '' THEN 'YES' ELSE 'NO' END) END, '🚨 VIOLATIONS:' || chr(10) || t,
+CASE WHEN confidence >= 0.6 THEN '🤖 AI CODE DETECTED:' || chr(10) || '   • Confidence: ' || format('{:.1f}', confidence * 100) || '%' END,
+CASE WHEN insights <> '' THEN '💡 INSIGHTS:' || chr(10) || '   1. ' || replace(insights, '; ', chr(10) || '   2. ') END) AS entry
+FROM lg LEFT JOIN vt ON vt.path = lg.file""")
+
+_FULL = ("fv", f"""
+SELECT path, 0 AS src, row_number() OVER (PARTITION BY path ORDER BY {_RANK} DESC, ord, idx) AS a, 0 AS b, rule, category, severity, line, NULL::INT AS col, message, {s(ai_audit.SUGGEST[ai_audit.PLACEHOLDERS])} AS suggestion FROM av
+UNION ALL SELECT path, 1, ord, idx, rule, category, severity, line, col, message, suggestion FROM dv WHERE severity <> 'info'
+UNION ALL SELECT path, 2, ord, idx, rule, category, severity, line, NULL, message, NULL FROM found""")
+ORACLE["violations_report"] = with_([*merged_ctes(), _FULL,
+    ("nv", "SELECT *, row_number() OVER (PARTITION BY path, severity ORDER BY src, a, b) AS k FROM fv"),
+    ("gr", f"""SELECT path, severity, count(*) AS n, chr(10) || {_MARK} || ' ' || upper(severity) || ' SEVERITY (' || count(*) || ' issues):' || chr(10) || repeat('-', 50)
+|| chr(10) || string_agg(k || '. ' || message || chr(10) || '   📍 Line ' || line || ', Column ' || coalesce(col::VARCHAR, 'N/A') || chr(10) || '   📋 Rule: '
+|| rule || ' (' || category || ')' || coalesce(chr(10) || '   💡 Suggestion: ' || suggestion, '') || chr(10), chr(10) ORDER BY k) AS t FROM nv GROUP BY path, severity""")],
+    f"""SELECT path, repeat('=', 100) || chr(10) || 'VIOLATIONS REPORT' || chr(10) || 'FILE: ' || path || chr(10) || 'TOTAL VIOLATIONS: ' || sum(n)::BIGINT || chr(10)
+|| repeat('=', 100) || chr(10) || string_agg(t, chr(10) ORDER BY {_RANK} DESC) || chr(10) || repeat('=', 100) AS entry FROM gr GROUP BY path""")
+
 # --- review responses ---------------------------------------------------------------------------
 
 ORACLE["review_issues"] = """SELECT 'src/chat' || conv_id || '.js' AS path, turn, 0 AS seq, 'AI' AS source, 'info' AS severity, (turn + 1)::INT AS line,

@@ -469,6 +469,11 @@ def ai_report(spark, d):
     return ai_detect.report_summary(ai_detect.detect(files(spark, d)))
 
 
+@query
+def ai_above_threshold(spark, d):
+    return ai_detect.above(ai_detect.detect(files(spark, d)), 0.4).selectExpr("path", _CONFIDENCE)
+
+
 @query
 def ai_files_ranked(spark, d):
     likely = ai_detect.detect(files(spark, d)).where("is_likely_ai")
@@ -507,7 +512,7 @@ def _audit(spark, d, *only, org=False):
 
 
 def _audit_rows(spark, d, *only, org=False, more=()):
-    return _audit(spark, d, *only, org=org).where("rule IS NOT NULL").select(*_AUDIT_COLUMNS, *more)
+    return ai_audit.violations(_audit(spark, d, *only, org=org)).select(*_AUDIT_COLUMNS, *more)
 
 
 @query
@@ -528,7 +533,7 @@ def audit_complexity(spark, d):
 @query
 def audit_placeholders(spark, d):
     found = ai_audit.findings(learn.with_profile(files(spark, d), None))
-    return found.where("rule IS NOT NULL").select(*_AUDIT_COLUMNS, "evidence")
+    return ai_audit.violations(found).select(*_AUDIT_COLUMNS, "evidence")
 
 
 @query
@@ -737,26 +742,22 @@ def org_context(spark, d):
 
 @query
 def suggest_improvements(spark, d):
-    base = files(spark, d, "compliance")
-    rows = activity.improvements(
-        org_rules.check(learn.with_profile(base, learned(spark, d)), rules(spark)),
-        ai_detect.detect(base), learned(spark, d),
+    checked_files = analysis.check_snippets(profiled(spark, d, "compliance"), rules(spark))
+    return activity.improvements(checked_files).selectExpr(
+        "path", "array_join(suggestions, '; ') AS suggestions"
     )
-    return rows.selectExpr("path", "array_join(suggestions, '; ') AS suggestions")
 
 
 @query
 def snippet_check(spark, d):
-    """Submitted snippets: the assistant turns of conversations, checked and rated in one go."""
+    """Submitted snippets: the turns of conversations, checked and rated in one go."""
     snippets = corpus.table(spark, d, "conversations").selectExpr(
         "concat('temp', conv_id, '_', turn, '.js') AS path",
         "concat('const user_reply = `', text, '`;\\neval(user_reply);') AS content",
     )
-    source = learn.with_profile(snippets, learned(spark, d))
-    scored = org_rules.compliance_by_file(org_rules.check(source, rules(spark)))
-    rated = ai_detect.detect(snippets).select("path", "n_indicators", "confidence")
-    return scored.join(rated, "path").selectExpr(
-        "path", "n_violations", "score", "n_indicators", _CONFIDENCE
+    checked_turns = analysis.check_snippets(learn.with_profile(snippets, learned(spark, d)), rules(spark))
+    return checked_turns.selectExpr(
+        "path", "size(violations) AS n_violations", "score", "n_indicators", _CONFIDENCE
     )
 
 
