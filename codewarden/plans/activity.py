@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codewarden.functions import scoring, text
 from codewarden.functions.sql import q
 from codewarden.operators import org_rules
+from codewarden.schemas import LOG_VIOLATIONS
 
 # How far back the readers look, and their messages.
 LAST_LINES = 20
@@ -17,6 +18,9 @@ NOT_FOUND = "No recent analysis found for this file"
 NOT_FOUND_HINT = "Make a change to the file to trigger analysis (ensure monitoring is running)"
 AI_REVIEW_HINT = "Consider adding human review comments for AI-generated code"
 
+# Keeps a generator's input from being a bare column; see explode_violations.
+_NO_ENTRIES = f"cast(array() AS {LOG_VIOLATIONS})"
+
 
 def last_entries(log: DataFrame, n: int = LAST_LINES) -> DataFrame:
     """The newest n log entries; a distributed top-n, nothing is sorted globally."""
@@ -134,7 +138,7 @@ def violation_trend(log: DataFrame) -> DataFrame:
     """
     daily = (
         log.where("event = 'file_analyzed'")
-        .selectExpr("to_date(ts) AS date", "explode(violations) AS v")
+        .selectExpr("to_date(ts) AS date", f"explode(concat(violations, {_NO_ENTRIES})) AS v")
         .groupBy("date", F.col("v.severity").alias("severity")).agg(F.count("*").alias("n"))
     )
     by_day = Window.partitionBy("severity").orderBy("date")

@@ -7,7 +7,7 @@ its id and the whole text as comments or as a string literal.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from codewarden.functions.sql import array, case
+from codewarden.functions.sql import array, case, let
 from codewarden.sources.code_files import spread
 
 SNIPPETS = [
@@ -132,7 +132,7 @@ def file_path(doc_id: str) -> str:
         ext = f"if({k} % 31 = 0, '.css', {_pick(['.js', '.ts', '.jsx', '.tsx'], f'{k} % 4')})"
         return f"concat({folder}, {base}, {kind}, {ext})"
 
-    return build(f"({doc_id} - if({is_test}, 1, 0))")
+    return let(f"{doc_id} - if({is_test}, 1, 0)", build)
 
 
 def file_content(doc_id: str, text: str) -> str:

@@ -605,10 +605,9 @@ def debounced(spark, d):
 
 
 def log(spark, d):
-    source = files(spark, d, "watch")
-    events = monitor.analyze_sessions(
-        debounced(spark, d), source, rules(spark), exceptions(spark, d), learned(spark, d)
-    )
+    bursts = debounced(spark, d)
+    source = monitor.changed_files(files(spark, d, "watch"), bursts)
+    events = monitor.analyze_sessions(bursts, source, rules(spark), exceptions(spark, d), learned(spark, d))
     return monitor.with_lifecycle(events)
 
 
