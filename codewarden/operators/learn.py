@@ -111,7 +111,7 @@ def _comments() -> str:
 def pattern_counts(files: DataFrame, compat: bool = False, sections=None) -> DataFrame:
     """pattern_counts(section, field, key, n) over all files; ``sections`` limits what is counted.
 
-    ``compat`` counts no function names, as the reference behaviour does.
+    ``compat`` counts no function names, which is the historical behaviour.
     """
     parts = {
         "naming": lambda: _naming(compat), "imports": _imports, "architecture": _architecture,
