@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.llm import wordhash
-from codewarden.llm.common import saved, sized, stored
+from codewarden.llm.common import on_workers, saved, sized, stored
 from codewarden.llm.components import components
 
 #: Fragments in which a pair's overlap is counted.
@@ -250,6 +250,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id of equal sets), component_id."""
+    on_workers(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     every = saved(document_sets(docs, words))
     sets = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))

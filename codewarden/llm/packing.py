@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codewarden.llm.common import stored
+from codewarden.llm.common import on_workers, stored
 from codewarden.llm.wordhash import slices
 
 CAPACITY = 2048
@@ -209,7 +209,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
          capacity: int = CAPACITY) -> DataFrame:
     """Pieces with their sequence_id and offset."""
-    spark = docs.sparkSession
+    spark = on_workers(docs.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = stored(cut(docs, tokenizer, capacity), "pieces")
