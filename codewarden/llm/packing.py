@@ -32,6 +32,8 @@ CAPACITY = 2048
 CLOSING = 0
 #: Words whose ids a worker remembers.
 REMEMBERED = 200_000
+#: Bytes of text whose chunks are told apart at once.
+SLICE_BYTES = 8_000_000
 _state: dict = {}
 
 
@@ -73,9 +75,23 @@ def _words(path: str) -> _Words:
     return _state[path]
 
 
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts of the same ids with fewer different chunks.
+
+    The tokenizer lower-cases anyway and always parts a letter or digit from the full stop or comma behind
+    it. Texts that could hold one of its special strings, which are matched before that, keep their case.
+    """
+    texts = pc.replace_substring(texts, "\n", " ")
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    else:
+        texts = pc.ascii_lower(texts)
+    return pc.replace_substring_regex(texts, r"([a-z0-9])([.,])", r"\1 \2")
+
+
 def document_ids(column: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in a row, each text closed by CLOSING, and each text's beginning."""
-    lists = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+    lists = pc.split_pattern(_plain(pc.fill_null(column, "")), " ")
     chunks = lists.flatten().dictionary_encode()
     ids = words.ids(chunks.dictionary.to_pylist())
     ids.append(np.array([CLOSING], np.uint32))
@@ -98,7 +114,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: boo
     def run(batches):
         words = _words(tokenizer)
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 ids, firsts = document_ids(part.column("text"), words)
                 ids = ids.astype("<u4")
