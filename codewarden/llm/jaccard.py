@@ -75,12 +75,18 @@ def document_sets(docs: DataFrame, words: int, with_grams: bool = False) -> Data
 
 
 def _fragment_rows(docs: DataFrame, words: int, fragments: int) -> DataFrame:
-    """Blocks of documents cut into fragments: (fragment, kind, classes, counts, grams).
+    """Blocks of documents cut into fragments: (fragment, classes, inside, counts, grams, common).
 
-    ``grams`` holds 32 bits per n-gram besides its fragment; a clash only makes an n-gram look shared.
-    Kind 0: n-grams that one class of the block holds, by class. Kind 1: n-grams that several hold (no
-    class). Kind 2: how many n-grams each class shares inside the block.
+    ``grams`` has the n-grams that one class of the block holds, ``counts`` of them for each of
+    ``classes``; ``inside`` tells how many more a class holds that another class of the block holds too,
+    and ``common`` has those once. An n-gram is written in 32 bits besides its fragment; a clash only
+    makes an n-gram look shared.
     """
+    schema = pa.schema([("fragment", pa.int64()), *[(c, pa.binary()) for c in (
+        "classes", "inside", "counts", "grams", "common")]])
+
+    def parts(grams):
+        return ((grams >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64), (grams & _U(0xFFFFFFFF)).astype("<u4")
 
     def run(batches):
         for batch in batches:
@@ -91,78 +97,61 @@ def _fragment_rows(docs: DataFrame, words: int, fragments: int) -> DataFrame:
                         own.setdefault(_digest(s)[0], s)
                 if not own:
                     continue
-                classes = np.array(list(own), dtype=np.int64)
-                sizes = np.array([len(s) for s in own.values()])
+                classes = np.array(list(own), dtype="<i8")
                 grams = np.concatenate(list(own.values()))
-                holder = np.repeat(np.arange(len(classes)), sizes)
+                holder = np.repeat(np.arange(len(classes)), [len(s) for s in own.values()])
                 order = np.argsort(grams, kind="stable")
-                g = grams[order]
-                new = np.r_[True, g[1:] != g[:-1]]
-                starts = np.flatnonzero(new)
-                counts = np.diff(np.r_[starts, len(g)])
-                many = np.repeat(counts > 1, counts)
-                inside = np.bincount(holder[order][many], minlength=len(classes))
-                part = ((grams >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
-                low = (grams & _U(0xFFFFFFFF)).astype(np.uint32)
-                single = np.empty(len(grams), dtype=bool)
-                single[order] = ~many
-                at = np.flatnonzero(single)
-                at = at[np.lexsort((holder[at], part[at]))]
-                shared = g[starts[counts > 1]]
-                shared_part = ((shared >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
-                shared_low = (shared & _U(0xFFFFFFFF)).astype(np.uint32)
-                rows = {"fragment": [], "kind": [], "classes": [], "counts": [], "grams": []}
-
-                def add(fragment, kind, cls, n, values):
-                    for key, v in zip(rows, (fragment, kind, cls.tobytes(), n.astype(np.uint32).tobytes(),
-                                             values.tobytes()), strict=True):
-                        rows[key].append(v)
-
-                none = np.zeros(0, np.uint32)
-                bounds = np.searchsorted(part[at], np.arange(fragments + 1))
-                shared_bounds = np.searchsorted(shared_part, np.arange(fragments + 1))
+                grams, holder = grams[order], holder[order]
+                starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+                sizes = np.diff(np.r_[starts, len(grams)])
+                single = np.repeat(sizes == 1, sizes)
+                part, low = parts(grams)
+                cells = part * len(classes) + holder
+                cell, counts = np.unique(cells, return_counts=True)
+                singles = np.bincount(np.searchsorted(cell, cells[single]), minlength=len(cell))
+                mine = np.flatnonzero(single)[np.argsort(cells[single], kind="stable")]
+                shared_part, shared_low = parts(grams[starts[sizes > 1]])
+                edges = np.arange(fragments + 1)
+                at = np.searchsorted(cell, edges * len(classes))
+                taken = np.r_[0, np.cumsum(singles)]
+                common = np.searchsorted(shared_part, edges)
+                rows = []
                 for f in range(fragments):
-                    mine = at[bounds[f]:bounds[f + 1]]
-                    if len(mine):
-                        who, n = np.unique(holder[mine], return_counts=True)
-                        add(f, 0, classes[who], n, low[mine])
-                    mine = shared_low[shared_bounds[f]:shared_bounds[f + 1]]
-                    if len(mine):
-                        add(f, 1, classes[:0], none, mine)
-                some = np.flatnonzero(inside)
-                if len(some):
-                    add(int(classes[0] % fragments), 2, classes[some], inside[some], none)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
-                    ("fragment", pa.int64()), ("kind", pa.int32()), ("classes", pa.binary()),
-                    ("counts", pa.binary()), ("grams", pa.binary())]))
+                    x, y = at[f], at[f + 1]
+                    if x < y:
+                        rows.append((f, classes[cell[x:y] % len(classes)].tobytes(),
+                                     (counts - singles)[x:y].astype("<u4").tobytes(),
+                                     singles[x:y].astype("<u4").tobytes(),
+                                     low[mine[taken[x]:taken[y]]].tobytes(),
+                                     shared_low[common[f]:common[f + 1]].tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "fragment long, kind int, classes binary, counts binary, grams binary")
+        run, "fragment long, classes binary, inside binary, counts binary, grams binary, common binary")
 
 
 def _shared_in_fragment(rows: pd.DataFrame) -> pd.DataFrame:
-    classes, grams, flags, told = [], [], [], []
-    for kind, c, n, g in zip(rows["kind"], rows["classes"], rows["counts"], rows["grams"], strict=True):
-        c, n, g = np.frombuffer(c, np.int64), np.frombuffer(n, np.uint32), np.frombuffer(g, np.uint32)
-        if kind == 2:
-            told.append((c, n.astype(np.int64)))
-            continue
-        grams.append(g)
-        classes.append(np.repeat(c, n) if kind == 0 else np.zeros(len(g), np.int64))
-        flags.append(np.full(len(g), kind == 1))
-    if grams:
-        grams, classes, flags = map(np.concatenate, (grams, classes, flags))
-        order = np.lexsort((classes, grams))
-        grams, classes, flags = grams[order], classes[order], flags[order]
-        starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        sizes = np.diff(np.r_[starts, len(grams)])
-        low, high = np.minimum.reduceat(classes, starts), np.maximum.reduceat(classes, starts)
-        shared = np.repeat((low != high) | np.logical_or.reduceat(flags, starts), sizes)
-        # copies of a class in several blocks count once
-        again = np.r_[False, (grams[1:] == grams[:-1]) & (classes[1:] == classes[:-1])]
-        told.append(np.unique(classes[shared & ~flags & ~again], return_counts=True))
-    return pd.DataFrame({"k1": np.concatenate([np.zeros(0, np.int64), *[c for c, _ in told]]),
-                         "shared": np.concatenate([np.zeros(0, np.int64), *[n for _, n in told]])})
+    """How many n-grams of a class other classes hold too, for classes that share at least half of theirs."""
+    def whole(column, kind):
+        return np.concatenate([np.frombuffer(x, kind) for x in rows[column]])
+
+    classes, inside, counts = whole("classes", "<i8"), whole("inside", "<u4"), whole("counts", "<u4")
+    common = whole("common", "<u4")
+    record = np.r_[np.repeat(np.arange(len(classes)), counts), np.full(len(common), -1)]
+    grams = np.r_[whole("grams", "<u4"), common]
+    order = np.argsort(grams, kind="stable")
+    grams, record = grams[order], record[order]
+    holder = np.where(record >= 0, classes[record], 0)
+    starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    shared = np.minimum.reduceat(holder, starts) != np.maximum.reduceat(holder, starts)
+    shared |= np.minimum.reduceat(record, starts) < 0
+    shared = np.repeat(shared, np.diff(np.r_[starts, len(grams)]))
+    found = np.bincount(record[shared & (record >= 0)], minlength=len(classes)) + inside
+    some = 2 * found >= counts + inside
+    # copies of a class in several blocks count once
+    out = pd.DataFrame({"k1": classes[some], "shared": found[some].astype(np.int64)})
+    return out.groupby("k1", as_index=False)["shared"].max()
 
 
 def _linked(a, b, both, percent: int):
@@ -182,7 +171,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
         .groupBy("fragment").applyInPandas(_shared_in_fragment, "k1 long, shared long")
         .groupBy("k1").agg(F.sum("shared").alias("shared"))
     )
-    able = saved(classes.join(shared, "k1").where(100 * F.col("shared") >= percent * F.col("n")).select(
+    # a fragment of which a class shares less than half is not told; with at most (1 - t) n n-grams missing
+    # in all, such fragments hide as many shared ones at the most
+    able = saved(classes.join(shared, "k1").where(
+        100 * F.col("shared") >= (2 * percent - 100) * F.col("n")).select(
         F.col("rep").alias("doc_id"), "k1", "k2"))
 
     # the sets of the classes that may link, cut down to the n-grams that two of them hold

@@ -16,6 +16,7 @@ any other; repeated rows are packed each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -37,6 +38,15 @@ SLICE_BYTES = 8_000_000
 _state: dict = {}
 
 
+#: Lower-case letters of Latin-1, which no normalisation changes, and the two characters that stand for
+#: the bytes of each that is not ASCII: bytes that cannot be printed are moved up, in order.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTES = {c: "".join(chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in chr(c).encode())
+          for c in range(0xDF, 0x100)}
+
+
 class _Words:
     """Ids of blank-separated chunks, each tokenised once.
 
@@ -45,6 +55,7 @@ class _Words:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
         self.mark = "|"
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -53,7 +64,12 @@ class _Words:
     def ids(self, chunks: list[str]) -> list[np.ndarray]:
         out = [self.known.get(c) for c in chunks]
         new = [k for k, x in enumerate(out) if x is None]
-        plain = [k for k in new if self.mark not in chunks[k]]
+        for k in new:
+            if _LETTERS.fullmatch(chunks[k]):
+                # one piece for the model, whatever the normaliser and the splitter do
+                out[k] = np.array([x.id for x in self.model.tokenize(chunks[k].translate(_BYTES))], dtype=np.uint32)
+        others = [k for k in new if out[k] is None]
+        plain = [k for k in others if self.mark not in chunks[k]]
         for a in range(0, len(plain), 4096):
             some = plain[a:a + 4096]
             # many chunks in one call, told apart by the id of a mark that none of them holds
@@ -62,7 +78,7 @@ class _Words:
             parts = np.split(ids, np.flatnonzero(ids == self.mark_id[0]))
             for j, (k, x) in enumerate(zip(some, parts, strict=True)):
                 out[k] = x[1:] if j else x
-        for k in set(new) - set(plain):
+        for k in set(others) - set(plain):
             out[k] = np.array(self.tokenizer.encode(chunks[k], add_special_tokens=False).ids, dtype=np.uint32)
         for k in new[:max(0, REMEMBERED - len(self.known))]:
             self.known[chunks[k]] = out[k]
