@@ -184,7 +184,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
     full = stored(full, "grams")
     counts = saved(full.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
     held = full.join(counts, "gram").groupBy("doc_id", "n").agg(
-        F.collect_list(F.struct("df", "gram")).alias("held"), F.avg("df").alias("central"))
+        F.collect_list(F.struct("df", "gram")).alias("held"), (F.avg("df") * F.sum("df")).alias("central"))
     held = held.where(100 * F.size("held") >= percent * F.col("n"))
     held = held.withColumn("held", F.sort_array("held"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1)), lambda f: F.filter(
@@ -200,13 +200,15 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
     lengths = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     parts = held.select("doc_id", "parts")
 
-    def verified(pairs):
-        """Links among distinct (a, na, b, nb): partial overlaps by fragment, summed."""
+    def overlaps(pairs):
+        """Distinct (a, na, b, nb) with their overlap: partial overlaps by fragment, summed."""
         x = parts.select(F.col("doc_id").alias("a"), F.col("parts").alias("pa"))
         y = parts.select(F.col("doc_id").alias("b"), F.col("parts").alias("pb"))
         both = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.size(F.array_intersect(p, q))),
                            F.lit(0).cast("long"), lambda s, n: s + n)
-        counted = pairs.join(x, "a").join(y, "b").select("a", "na", "b", "nb", both.alias("both"))
+        return pairs.join(x, "a").join(y, "b").select("a", "na", "b", "nb", both.alias("both"))
+
+    def links(counted):
         return counted.where(_linked(F.col("na"), F.col("nb"), F.col("both"), percent)).select("a", "b")
 
     band = F.floor(F.log(F.col("n").cast("double")) * 8).alias("band")
@@ -216,27 +218,39 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
         .select("gram", "band", F.col("c.doc_id").alias("b"), F.col("c.n").alias("nb")))
     near = groups.join(centers, ["gram", "band"]).select(
         F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb").where(lengths).distinct()
-    first = saved(verified(near))
+    compared = saved(overlaps(near))
+    first = links(compared)
     labels = components(first)
+    # each set's closest center and their overlap; a center has itself
+    itself = compared.select(F.col("b").alias("doc_id"), F.col("b").alias("pivot"), F.col("nb").alias("with_pivot"))
+    pivots = saved(compared.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), F.col("both").alias("with_pivot"))
+                   .union(itself).groupBy("doc_id").agg(F.max_by(
+                       F.struct("pivot", "with_pivot"), F.struct("with_pivot", "pivot")).alias("p"))
+                   .select(F.col("doc_id").alias("node"), "p.pivot", "p.with_pivot"))
 
     # what may still link two components
     labelled = prefix.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n", "gram", "at", F.coalesce("label", "doc_id").alias("label"))
-    labelled = saved(labelled)
+    labelled = saved(labelled.join(pivots, F.col("doc_id") == F.col("node"), "left").drop("node"))
     mixed = saved(labelled.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(
         "l < h").select("gram"))
     open_rows = saved(labelled.join(mixed, "gram"))
-    a = open_rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "at", "label")])
-    b = open_rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "at", "label")])
+    carried = ("doc_id", "n", "at", "label", "pivot", "with_pivot")
+    a = open_rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in carried])
+    b = open_rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in carried])
     # the smaller set's n-gram stands early enough, and both have room for the overlap a link needs
     smaller = F.struct("n_a", "doc_id_a") < F.struct("n_b", "doc_id_b")
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
+    # of a common pivot both hold a part: inside it they share the smaller part, outside the smaller rest, at most
+    inside = F.least("with_pivot_a", "with_pivot_b")
+    outside = F.least(F.col("n_a") - F.col("with_pivot_a"), F.col("n_b") - F.col("with_pivot_b"))
+    room = F.when(F.col("pivot_a") == F.col("pivot_b"), F.least(room, inside + outside)).otherwise(room)
     pairs = a.join(b, "gram").where(
         smaller & (F.col("label_a") != F.col("label_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
         & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))))
     pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("n_a").alias("na"),
                          F.col("doc_id_b").alias("b"), F.col("n_b").alias("nb")).distinct()
-    return first.union(verified(pairs))
+    return first.union(links(overlaps(pairs)))
 
 
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
