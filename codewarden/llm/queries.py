@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codewarden.llm import chat, decontaminate, jaccard, license_index, line_dedup, packing, pii, quality_hosts
+from codewarden.llm import chat, decontaminate, jaccard, license_index, line_dedup, packing, pii, pitman_yor, quality_hosts
 from codewarden.llm.common import table
 
 QUERIES = {}
@@ -62,6 +62,11 @@ def op3_ngram_jaccard_join(spark, d):
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@query
+def op4_pitman_yor_scoring(spark, d):
+    return pitman_yor.score_texts(table(spark, d, "documents"))
+
+
 @query
 def op5_positional_decontamination(spark, d):
     out = decontaminate.mark(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
