@@ -131,7 +131,26 @@ def _fragment_rows(docs: DataFrame, words: int, fragments: int) -> DataFrame:
         run, "fragment long, classes binary, inside binary, counts binary, grams binary, common binary")
 
 
-def _shared_in_fragment(rows: pd.DataFrame) -> pd.DataFrame:
+def _packed(classes: np.ndarray, shared: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Partial counts by class, one row for each bucket of classes."""
+    bucket = classes.view(np.uint64) % _U(buckets)
+    order = np.argsort(bucket, kind="stable")
+    classes, shared, edge = classes[order], shared[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(edge))
+    return pd.DataFrame({
+        "bucket": some, "classes": [classes[edge[b]:edge[b + 1]].tobytes() for b in some],
+        "shared": [shared[edge[b]:edge[b + 1]].astype("<u4").tobytes() for b in some]})
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The partial counts of a bucket's classes, summed over the fragments."""
+    classes = np.concatenate([np.frombuffer(x, "<i8") for x in rows["classes"]])
+    shared = np.concatenate([np.frombuffer(x, "<u4") for x in rows["shared"]])
+    classes, at = np.unique(classes, return_inverse=True)
+    return pd.DataFrame({"k1": classes, "shared": np.bincount(at, shared).astype(np.int64)})
+
+
+def _shared_in_fragment(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """How many n-grams of a class other classes hold too, for classes that share at least half of theirs."""
     def whole(column, kind):
         return np.concatenate([np.frombuffer(x, kind) for x in rows[column]])
@@ -150,8 +169,8 @@ def _shared_in_fragment(rows: pd.DataFrame) -> pd.DataFrame:
     found = np.bincount(record[shared & (record >= 0)], minlength=len(classes)) + inside
     some = 2 * found >= counts + inside
     # copies of a class in several blocks count once
-    out = pd.DataFrame({"k1": classes[some], "shared": found[some].astype(np.int64)})
-    return out.groupby("k1", as_index=False)["shared"].max()
+    out = pd.Series(found[some]).groupby(classes[some]).max()
+    return _packed(out.index.to_numpy(np.int64), out.to_numpy(np.int64), buckets)
 
 
 def _linked(a, b, both, percent: int):
@@ -168,8 +187,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
     classes = saved(sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     shared = (
         _fragment_rows(docs, words, fragments).repartition(fragments, "fragment")
-        .groupBy("fragment").applyInPandas(_shared_in_fragment, "k1 long, shared long")
-        .groupBy("k1").agg(F.sum("shared").alias("shared"))
+        .groupBy("fragment").applyInPandas(
+            lambda rows: _shared_in_fragment(rows, fragments), "bucket long, classes binary, shared binary")
+        .groupBy("bucket").applyInPandas(_summed, "k1 long, shared long")
     )
     # a fragment of which a class shares less than half is not told; with at most (1 - t) n n-grams missing
     # in all, such fragments hide as many shared ones at the most

@@ -12,7 +12,7 @@ context's partial customers and tables to the fragment of that context, which ad
 the sums back. With them the fragment scores its tokens and sends partial sums per document. Sweeps estimate a
 context's tables from the fragment's share of them; the probabilities use the exact sums, so they add up
 to one. All draws are functions of (word, context, sweep), so a recomputed task draws the same.
-Fragments are half as many as ``spark.sql.shuffle.partitions``. A frequent word's tokens are summed per
+Fragments are three quarters of ``spark.sql.shuffle.partitions``. A frequent word's tokens are summed per
 block before they travel, as one count per context and document.
 
 Defined cases: a null or empty text is one end token; a row without id is held out; repeated rows are
@@ -42,7 +42,7 @@ SWEEPS = 4
 SAMPLES = 2
 #: Customers of a dish that are seated one by one; more come in blocks that double.
 SINGLY = 32
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
 _BLOBS = ["words", "word_pairs", "contexts", "pair_context", "pair_entries", "entry_row", "entry_count", "ids", "tags", "flags"]
@@ -160,17 +160,19 @@ class _Fragment:
             keys.append(of_word.astype(np.int64) * len(self.contexts) + context_at[c0:c0 + size][at])
             pair_n.append(np.frombuffer(entries, "<u4"))
             here = len(i) // 8
-            row.append(np.frombuffer(local, "<u2" if here < 65536 else "<u4").astype(np.int64) + r0)
+            row.append(np.frombuffer(local, "<u2" if here < 65536 else "<u4").astype(np.int32) + np.int32(r0))
             count.append(np.frombuffer(n, "<u4"))
             ids.append(np.frombuffer(i, "<i8"))
             tags.append(np.frombuffer(t, "<u4"))
             flags.append(np.frombuffer(f, "u1"))
             w0, c0, r0 = w0 + len(w), c0 + size, r0 + here
         self.ids, self.tags, self.flags = np.concatenate(ids), np.concatenate(tags), np.concatenate(flags)
-        self.row, self.count = np.concatenate(row), np.concatenate(count).astype(np.int64)
+        self.row, self.count = np.concatenate(row), np.concatenate(count)
+        del words, contexts, word_at, context_at, row, count
         pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-        self.pair = np.repeat(at, np.concatenate(pair_n))
-        self.word, self.context = np.divmod(pairs, len(self.contexts))
+        self.pair = np.repeat(at.astype(np.int32), np.concatenate(pair_n))
+        del keys, at, pair_n
+        self.word, self.context = (x.astype(np.int32) for x in np.divmod(pairs, len(self.contexts)))
         train = (self.flags[self.row] & 1).astype(bool)
         self.customers = np.bincount(self.pair[train], self.count[train], len(pairs)).astype(np.int64)
         self.word_count = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
@@ -279,7 +281,7 @@ def _score(fragments: int):
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = on_workers(docs.sparkSession)
-    fragments = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    fragments = max(1, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # read twice below: for the seatings and for the scores
     tokens = _blocks(docs, fragments).repartition(fragments, "fragment")
