@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codewarden.llm import chat, decontaminate, jaccard, license_index, line_dedup, packing, pii, pitman_yor, quality_hosts
+from codewarden.llm import (
+    chat, decontaminate, jaccard, license_index, line_dedup, packing, pii, pitman_yor, quality_hosts, repeats,
+)
 from codewarden.llm.common import table
 
 QUERIES = {}
@@ -38,6 +40,15 @@ def op1_weak_supervision_pii(spark, d):
     return out.select("doc_id", *counts, sha(listed(base)).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
+@query
+def op7_repeated_passages(spark, d):
+    out = repeats.remove_repeats(table(spark, d, "documents"))
+    lengths = F.transform("spans", lambda s: s["end"] - s["start"])
+    removed = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      sha(F.col("kept")).alias("kept_sha256"))
+
+
 @query
 def op8_chat_windows(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
