@@ -105,3 +105,13 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
     return left.join(renamed, on, "left").drop(*[f"__right_{k}" for k in keys])
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """Columns named like an operator's outputs get other names for a while.
+
+    Returns the renamed frame, its columns, and those columns under their old names.
+    """
+    renamed = {c: f"__own_{c}" for c in docs.columns if c in names}
+    out = docs.withColumnsRenamed(renamed)
+    return out, out.columns, [F.col(renamed.get(c, c)).alias(c) for c in docs.columns]

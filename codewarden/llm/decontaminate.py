@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import alnum_words, left_join, saved, sized, stored
+from codewarden.llm.common import alnum_words, left_join, saved, set_aside, sized, stored
 
 WINDOW = 10
 #: Words of a window that must stand in place for a proximity match.
@@ -126,6 +126,7 @@ def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     """The documents without an exact window of the benchmark, with their own columns."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    docs, columns, own = set_aside(docs, OUTPUTS)
+    row = F.struct(*[F.col(c) for c in columns])
     kept = F.when(~F.col("contaminated"), F.array(row))
-    return mark(docs, items, **names).select(F.inline(kept))
+    return mark(docs, items, **names).select(F.inline(kept)).select(*own)

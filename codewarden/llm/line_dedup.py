@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import WHITE, left_join, lower_ascii, saved
+from codewarden.llm.common import WHITE, left_join, lower_ascii, saved, set_aside
 
 MIN_CHARS = 10
 MIN_DOCUMENTS = 2
@@ -64,3 +64,9 @@ def drop_shared_lines(
         F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+
+
+def clean_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with shared lines removed, with its own columns only."""
+    docs, _, own = set_aside(docs, ["n_lines", "n_dropped"])
+    return drop_shared_lines(docs, **options).select(*own)

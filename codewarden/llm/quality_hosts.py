@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import WHITE_RUN, pieces, saved, sized
+from codewarden.llm.common import WHITE_RUN, pieces, saved, set_aside, sized
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -119,9 +119,9 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> Data
     The figures are computed twice, once for the hosts and once next to the documents, so that no text
     is shuffled or saved.
     """
-    columns = docs.columns
+    docs, columns, own = set_aside(docs, ["base_failed", "host_rejected", "kept"])
     rates = host_rates(text_figures(docs.select(host, text), text, "__figures"), host, "__figures")
     judged = judge(text_figures(docs, text, "__figures"), rates, host, "__figures")
     # a generator, as a filter would be pushed below the join with the whole computation copied into it
     row = F.struct(*[F.col(c) for c in columns])
-    return judged.select(F.inline(F.when(F.col("kept"), F.array(row))))
+    return judged.select(F.inline(F.when(F.col("kept"), F.array(row)))).select(*own)

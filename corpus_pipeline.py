@@ -1,33 +1,62 @@
-"""Preparing a training corpus: quality rules and line dedup, each stage written and read again."""
+"""Preparing a training corpus in five stages, each written and read again."""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codewarden.llm import line_dedup, quality_hosts
+from codewarden.llm import decontaminate, jaccard, line_dedup, packing, quality_hosts
 from codewarden.llm.common import checkpoint_root, table
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or milder ones on a rejected host, go."""
     return quality_hosts.keep_good(docs)
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go."""
-    return line_dedup.drop_shared_lines(docs).select(*docs.columns)
+def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that a document with a smaller id has; ``n_chars`` follows the text."""
+    out = line_dedup.clean_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles the smallest id stays.
+
+    Documents without a word (all their lines went) are linked with nothing and stay.
+    """
+    return jaccard.keep_one(docs, words=5, percent=80)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in the training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", shared_lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("best-fit packing", packed),
+]
+#: Components and packing have no SQL; tests/llm compares the rows with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         path = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
