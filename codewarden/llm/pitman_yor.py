@@ -42,7 +42,7 @@ SWEEPS = 4
 SAMPLES = 2
 #: Customers of a dish that are seated one by one; more come in blocks that double.
 SINGLY = 32
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 5_000_000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
 _BLOBS = ["words", "word_pairs", "contexts", "pair_context", "pair_entries", "entry_row", "entry_count", "ids", "tags", "flags"]
@@ -52,6 +52,17 @@ def _part(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
 
 
+def _pack(contexts: np.ndarray) -> bytes:
+    """40-bit values in five bytes each."""
+    return np.ascontiguousarray(contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def is_training(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS != 0
 
@@ -76,7 +87,8 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
                 context = np.empty(len(tokens), dtype=np.int64)
                 context[1:] = word[:-1]
                 context[starts] = len(vocabulary)
-                known = np.append(vocabulary, BEGIN)
+                # contexts go by 40 bits; a clash lets two contexts share a restaurant
+                known = np.append(vocabulary, BEGIN) >> _U(24)
                 # equal (word, context, row) become one entry with a count
                 key = word * (len(vocabulary) + 1) + context
                 order = np.argsort(key, kind="stable")
@@ -103,7 +115,7 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
                     cs, at = np.unique(pair_context[x:y], return_inverse=True)
                     mine = slice(first[x], first[y])
                     docs_here, local = np.unique(row[mine], return_inverse=True)
-                    blobs = [vocabulary[ws].astype("<u8"), per_word.astype("<u4"), known[cs].astype("<u8"),
+                    blobs = [vocabulary[ws].astype("<u8"), per_word.astype("<u4"), np.frombuffer(_pack(known[cs]), np.uint8),
                              at.astype("<u2" if len(cs) < 65536 else "<u4"), entries[x:y].astype("<u4"),
                              local.astype("<u2" if len(docs_here) < 65536 else "<u4"), count[mine].astype("<u4"),
                              numbers[docs_here], tags[docs_here], flags[docs_here]]
@@ -121,20 +133,20 @@ def _uniform(words: np.ndarray, contexts: np.ndarray, sweep: int, step: int) ->
 
 def seat(counts: np.ndarray, mass: np.ndarray, discount: float, words: np.ndarray, contexts: np.ndarray,
          sweep: int) -> np.ndarray:
-    """Tables of each dish after its customers sat down one after the other.
+    """Tables of dishes with more than one customer, who sat down one after the other.
 
     A customer opens a table with chance mass / (mass + customers - discount * tables); ``mass`` is the
     parent's part of the predictive weight. Beyond SINGLY customers, blocks sit down at once.
     """
-    tables = (counts > 0).astype(np.int64)
-    open_ = np.flatnonzero(counts > 1)
+    tables = np.ones(len(counts), dtype=np.int32)
+    open_ = np.arange(len(counts))
     k = 1
     while len(open_):
         size = 1 if k < SINGLY else k
         many = np.minimum(size, counts[open_] - k)
         new = mass[open_] / (mass[open_] + k + (many - 1) / 2 - discount * tables[open_])
         u = _uniform(words[open_], contexts[open_], sweep, k)
-        tables[open_] += np.minimum(many, np.floor(many * new + u)).astype(np.int64)
+        tables[open_] += np.minimum(many, np.floor(many * new + u)).astype(np.int32)
         k += size
         open_ = open_[counts[open_] > k]
     return tables
@@ -147,14 +159,14 @@ class _Fragment:
         def all_of(column, kind):
             return [np.frombuffer(x, kind) for x in rows[column]]
 
-        words, contexts = all_of("words", "<u8"), all_of("contexts", "<u8")
+        words, contexts = all_of("words", "<u8"), [_unpack(x) for x in rows["contexts"]]
         self.words, word_at = np.unique(np.concatenate(words), return_inverse=True)
         self.contexts, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
         keys, pair_n, row, count, ids, tags, flags = [], [], [], [], [], [], []
         w0 = c0 = r0 = 0
         raw = zip(*[rows[c] for c in _BLOBS[1:]], strict=True)
         for w, (per_word, cs, at, entries, local, n, i, t, f) in zip(words, raw, strict=True):
-            size = len(cs) // 8
+            size = len(cs) // 5
             at = np.frombuffer(at, "<u2" if size < 65536 else "<u4")
             of_word = np.repeat(word_at[w0:w0 + len(w)], np.frombuffer(per_word, "<u4"))
             keys.append(of_word.astype(np.int64) * len(self.contexts) + context_at[c0:c0 + size][at])
@@ -174,7 +186,7 @@ class _Fragment:
         del keys, at, pair_n
         self.word, self.context = (x.astype(np.int32) for x in np.divmod(pairs, len(self.contexts)))
         train = (self.flags[self.row] & 1).astype(bool)
-        self.customers = np.bincount(self.pair[train], self.count[train], len(pairs)).astype(np.int64)
+        self.customers = np.bincount(self.pair[train], self.count[train], len(pairs)).astype(np.int32)
         self.word_count = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
         self.context_count = np.bincount(self.context, self.customers, len(self.contexts)).astype(np.int64)
         self.n, self.known = int(self.word_count.sum()), int((self.word_count > 0).sum())
@@ -184,18 +196,24 @@ class _Fragment:
         total = max(1, self.n * fragments)
         parent = (self.word_count + 0.1) / (total + 0.1 * (self.known * fragments + 1))
         sizes = np.bincount(self.context, self.customers > 0, len(self.contexts))
-        ws, cs = self.words[self.word], self.contexts[self.context]
+        several = np.flatnonzero(self.customers > 1)
+        counts, word, context = self.customers[several], self.word[several], self.context[several]
+        ws, cs = self.words[word], self.contexts[context]
         kept = []
         for sweep in range(SWEEPS):
             # a context's tables over all fragments, from this one's part of them
-            mass = (STRENGTH + DISCOUNT * sizes * fragments)[self.context] * parent[self.word]
-            tables = seat(self.customers, mass, DISCOUNT, ws, cs, sweep)
+            mass = (STRENGTH + DISCOUNT * sizes * fragments)[context] * parent[word]
+            tables = (self.customers > 0).astype(np.int32)
+            tables[several] = seat(counts, mass, DISCOUNT, ws, cs, sweep)
             sizes = np.bincount(self.context, tables, len(self.contexts))
             sent = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
             known = max(1, self.known * fragments)
-            mass = np.full(len(self.words), (PARENT_STRENGTH + PARENT_DISCOUNT * known) / (known + 1))
-            above = seat(sent, mass, PARENT_DISCOUNT, self.words, self.words, sweep)
-            parent = (np.maximum(sent - PARENT_DISCOUNT * above, 0) + mass) / (PARENT_STRENGTH + max(1, sent.sum() * fragments))
+            base = (PARENT_STRENGTH + PARENT_DISCOUNT * known) / (known + 1)
+            above = (sent > 0).astype(np.int32)
+            some = np.flatnonzero(sent > 1)
+            above[some] = seat(sent[some], np.full(len(some), base), PARENT_DISCOUNT, self.words[some], self.words[some], sweep)
+            parent = (np.maximum(sent - PARENT_DISCOUNT * above, 0) + base) / (
+                PARENT_STRENGTH + max(1, sent.sum() * fragments))
             if sweep >= SWEEPS - SAMPLES:
                 kept.append((tables, above))
         return kept
@@ -212,11 +230,11 @@ def _send(fragments: int):
         kept = fragment.seatings(fragments)
         tables = [np.bincount(fragment.context, t, len(fragment.contexts)).astype("<u4") for t, _ in kept]
         totals = [x for t, above in kept for x in (int(t.sum()), int(above.sum()))]
-        edge = np.searchsorted(_part(fragment.contexts, fragments), np.arange(fragments + 1))
+        edge = np.searchsorted(_part(fragment.contexts << _U(24), fragments), np.arange(fragments + 1))
         out = []
         for g in range(fragments):
             mine = slice(edge[g], edge[g + 1])
-            out.append((key[0], g, fragment.contexts[mine].astype("<u8").tobytes(),
+            out.append((key[0], g, _pack(fragment.contexts[mine]),
                         fragment.context_count[mine].astype("<u4").tobytes(),
                         b"".join(t[mine].tobytes() for t in tables), fragment.n, fragment.known, *totals))
         return pd.DataFrame(out, columns=["fragment", "to", "contexts", "customers", "tables", "n", "known", *_SAMPLE_COLUMNS])
@@ -226,7 +244,7 @@ def _send(fragments: int):
 
 def _add(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums per context over all fragments, sent back to each in its own order; totals over fragments."""
-    contexts = [np.frombuffer(x, "<u8") for x in rows["contexts"]]
+    contexts = [_unpack(x) for x in rows["contexts"]]
     known, at = np.unique(np.concatenate(contexts), return_inverse=True)
     customers = np.bincount(at, np.concatenate([np.frombuffer(x, "<u4") for x in rows["customers"]]), len(known))
     tables = [np.frombuffer(x, "<u4").reshape(SAMPLES, -1) for x in rows["tables"]]

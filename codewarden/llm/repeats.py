@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.llm import wordhash
-from codewarden.llm.common import left_join, on_workers
+from codewarden.llm.common import left_join, on_workers, saved
 
 SIZE = 400
 #: Bytes of the k-grams among which anchors are chosen.
@@ -319,7 +319,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("tag"))
     every = anchors(rows, size)
-    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # saved, so that the join below deals out both sides and Spark can split a very common anchor
+    shared = saved(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     lists = every.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
     able = left_join(rows, lists, ["doc_id", "tag"]).where(F.col("anchors").isNotNull())
     contents = _chunk_rows(able, size, places=False).repartition(parts, "core").sortWithinPartitions("core")
