@@ -12,7 +12,7 @@ context's partial customers and tables to the fragment of that context, which ad
 the sums back. With them the fragment scores its tokens and sends partial sums per document. Sweeps estimate a
 context's tables from the fragment's share of them; the probabilities use the exact sums, so they add up
 to one. All draws are functions of (word, context, sweep), so a recomputed task draws the same.
-Fragments are three quarters of ``spark.sql.shuffle.partitions``. A frequent word's tokens are summed per
+Fragments are as many as ``spark.sql.shuffle.partitions``. A frequent word's tokens are summed per
 block before they travel, as one count per context and document.
 
 Defined cases: a null or empty text is one end token; a row without id is held out; repeated rows are
@@ -42,7 +42,7 @@ SWEEPS = 4
 SAMPLES = 2
 #: Customers of a dish that are seated one by one; more come in blocks that double.
 SINGLY = 32
-BLOCK_BYTES = 5_000_000
+BLOCK_BYTES = 4_000_000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
 _BLOBS = ["words", "word_pairs", "contexts", "pair_context", "pair_entries", "entry_row", "entry_count", "ids", "tags", "flags"]
@@ -299,7 +299,7 @@ def _score(fragments: int):
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = on_workers(docs.sparkSession)
-    fragments = max(1, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # read twice below: for the seatings and for the scores
     tokens = _blocks(docs, fragments).repartition(fragments, "fragment")

@@ -78,8 +78,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1] = True
     after[:-1] = white[1:]
     ends = ~white & (after | first[1:])
+    values = _BYTE[data]
+    values *= _power(_BASE, n)[:n]
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, n)[:n], out=sums[1:])
+    np.cumsum(values, out=sums[1:])
+    del values, white, before, after, first
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     hashes = (sums[stops] - sums[starts]) * _power(_INVERSE, n)[starts]
     hashes = mix(hashes + (stops - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
