@@ -84,12 +84,12 @@ def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         .agg(F.collect_list(F.struct("item_id", "__terms", "shift")).alias("__candidates"))
     )
     rows = left_join(docs.select(*keep, F.xxhash64(text).alias("__text")), lists, [doc_id, "__text"])
-    rows = rows.withColumn("__words", alnum_words(F.col(text))).drop("__text")
+    rows = rows.drop("__text")
 
-    def judged(c):
+    def judged(words, c):
         # in place: the item's terms against the document's words, both at their own positions
         return F.struct(c["item_id"], c["shift"], F.transform(c["__terms"], lambda w, i: F.coalesce(
-            (c["shift"] + i >= 0) & (F.get("__words", c["shift"] + i) == w), F.lit(False)).cast("int")).alias("hit"))
+            (c["shift"] + i >= 0) & (F.get(words, c["shift"] + i) == w), F.lit(False)).cast("int")).alias("hit"))
 
     def summed(c):
         size = F.least(F.lit(window), F.size(c["hit"]))
@@ -99,12 +99,15 @@ def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
             c["item_id"], (F.filter(counts, lambda x: x["n"] == size)).alias("exact"), size.alias("size"),
             c["shift"], F.exists(counts, lambda x: (x["n"] >= near) & (x["n"] < size)).alias("near"))
 
-    rows = rows.withColumn("__judged", F.transform("__candidates", judged)).drop("__candidates")
-    rows = rows.withColumn("__found", F.transform("__judged", summed)).drop("__judged")
+    # the words are bound by an outer lambda: as a column they could be computed anew for every place
+    words = F.array(alnum_words(F.col(text)))
+    rows = rows.withColumn("__judged", F.transform(words, lambda ws: F.struct(
+        F.size(ws).alias("n"), F.transform("__candidates", lambda c: judged(ws, c)).alias("found")))[0]).drop("__candidates")
+    rows = rows.withColumn("__found", F.transform("__judged.found", summed))
     spans = F.flatten(F.transform("__found", lambda c: F.transform(c["exact"], lambda x: F.struct(
         (c["shift"] + x["s"]).alias("start"), (c["shift"] + x["s"] + c["size"]).alias("end")))))
     rows = rows.select(
-        *keep, F.size("__words").cast("long").alias("n_words"),
+        *keep, F.col("__judged.n").cast("long").alias("n_words"),
         F.coalesce(F.array_sort(F.array_distinct(spans)), F.array().cast("array<struct<start:int,end:int>>"))
         .alias("hit_spans"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform(

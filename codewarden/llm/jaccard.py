@@ -44,8 +44,7 @@ def _sets(batch: pa.RecordBatch, words: int):
     """(doc ids, sets) of the slices of a batch."""
     for a, b in wordhash.slices(batch, "text"):
         part = batch.slice(a, b - a)
-        data, offsets = wordhash.text_bytes(part.column("text"))
-        hashes, firsts = wordhash.words(data, offsets)
+        hashes, firsts = wordhash.column_words(part.column("text"))
         yield part.column("doc_id"), wordhash.ngrams(hashes, firsts, words)
 
 

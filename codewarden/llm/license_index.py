@@ -135,21 +135,23 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
         keys.append([int(at <= i < at + len(key)) for i in range(len(words))])
     needed = _literal(keys)
 
-    def in_place(c, i, w):
+    def in_place(file, c, i, w):
         at = c["s"] + i
-        return F.coalesce((at >= 0) & (F.get("__words", at) == w), F.lit(False))
+        return F.coalesce((at >= 0) & (F.get(file, at) == w), F.lit(False))
 
-    def matched(c):
+    def matched(file, c):
         here = F.get(texts, c["t"])
         gained = F.aggregate(
-            F.transform(here, lambda w, i: F.when(in_place(c, i, w), F.get(F.get(worth, c["t"]), i)).otherwise(0)),
+            F.transform(here, lambda w, i: F.when(in_place(file, c, i, w), F.get(F.get(worth, c["t"]), i)).otherwise(0)),
             F.lit(0), lambda a, x: a + x)
         key_missed = F.exists(
-            F.transform(here, lambda w, i: (F.get(F.get(needed, c["t"]), i) == 1) & ~in_place(c, i, w)), lambda x: x)
+            F.transform(here, lambda w, i: (F.get(F.get(needed, c["t"]), i) == 1) & ~in_place(file, c, i, w)), lambda x: x)
         return F.struct(c["t"].alias("template"), F.get(labels, c["t"]).alias("label"), c["s"].alias("start"),
                         gained.alias("gained"), key_missed.alias("key_missed"))
 
-    df = df.withColumn("__found", F.transform("__starts", matched)).drop("__starts")
+    # the words are bound by an outer lambda: as a column they could be computed anew for every place
+    df = df.withColumn("__found", F.transform(F.array("__words"), lambda file: F.transform(
+        "__starts", lambda c: matched(file, c)))[0]).drop("__starts")
     full = F.filter("__found", lambda m: ~m["key_missed"] & (
         m["gained"] * 100 >= F.get(totals, m["template"]) * F.get(percents, m["template"])))
     spans = F.transform(full, lambda m: F.struct(

@@ -75,8 +75,7 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
         for batch in batches:
             for a, b in wordhash.slices(batch, "text", BLOCK_BYTES):
                 part = batch.slice(a, b - a)
-                data, offsets = wordhash.text_bytes(part.column("text"))
-                hashes, firsts = wordhash.words(data, offsets)
+                hashes, firsts = wordhash.column_words(part.column("text"))
                 n = len(part)
                 # an end behind each text's words; before a text's first word stands the beginning
                 tokens = np.insert(hashes, firsts[1:], END)

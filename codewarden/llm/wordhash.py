@@ -19,13 +19,15 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(int(_BASE), -1, 2**64))
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 4_000_000
+#: Bytes hashed at once inside a slice, again with a longer text alone.
+HASHED_BYTES = 1_000_000
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        p = np.full(max(n, HASHED_BYTES + 1), base, dtype=np.uint64)
         p[0] = 1
         np.cumprod(p, out=p)
         if len(p) > 4 * SLICE_BYTES:
@@ -89,6 +91,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`words` of all texts of a column, a part after the other."""
+    hashes, firsts, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    for a, b in slices(batch, "text", HASHED_BYTES):
+        h, f = words(*text_bytes(column.slice(a, b - a)))
+        hashes.append(h)
+        firsts.append(f[1:] + n)
+        n += len(h)
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
 def ngrams(hashes: np.ndarray, firsts: np.ndarray, n: int) -> list[np.ndarray]:
     """Per text the distinct word n-grams, sorted; a text of fewer words is one n-gram of its own length."""
     total = len(hashes)
