@@ -282,13 +282,11 @@ def detect(files: DataFrame, responses: DataFrame | None = None, keep_cols=("pat
         counted = counted.join(model, "path", "left").fillna({"model_n": 0, "model_sum": 0.0})
         model_n, model_sum = "model_n", "model_sum"
     total = " + ".join([f"counts.{t}" for t in TYPES] + [model_n])
-    return counted.selectExpr(
-        *keep_cols, f"cast({total} AS int) AS n_indicators",
-        f"{confidence('counts', model_n, model_sum)} AS confidence",
-    ).selectExpr(
-        "*", f"confidence >= {q(scoring.LIKELY_AI)} AS is_likely_ai",
-        f"{scoring.advice('confidence')} AS recommendation",
-    )
+    # a generator: a filter on the verdict stays above it and does not copy the patterns
+    verdict = transform(f"array({confidence('counts', model_n, model_sum)})", lambda c: struct(
+        n_indicators=f"cast({total} AS int)", confidence=c,
+        is_likely_ai=f"{c} >= {q(scoring.LIKELY_AI)}", recommendation=scoring.advice(c)))
+    return counted.selectExpr(*keep_cols, f"inline({verdict})")
 
 
 def indicator_rows(files: DataFrame, first: int | None = None, keep_cols=("path",)) -> DataFrame:

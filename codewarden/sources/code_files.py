@@ -74,13 +74,13 @@ def scan_code_files(
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*.{{{globs}}}").load(directory)
     )
-    # the source yields absolute paths; what follows the directory is the relative path
-    marker = q("/" + directory.removeprefix("file:").strip("/") + "/")
+    # the source yields qualified paths; what follows the directory, qualified alike, is the relative path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.makeQualified(hadoop).toString().rstrip("/") + "/"
     files = raw.selectExpr(
-        "path AS full", "content", "modificationTime AS mtime"
-    ).selectExpr(
-        f"substr(full, locate({marker}, full) + length({marker})) AS path",
-        "make_valid_utf8(cast(content AS string)) AS content", "mtime",
+        f"substr(path, {len(base) + 1}) AS path",
+        "make_valid_utf8(cast(content AS string)) AS content", "modificationTime AS mtime",
     )
     return select_code_files(files, policy, extensions, root=directory, max_files=max_files)
 
@@ -88,13 +88,3 @@ def scan_code_files(
 def scan_js_files(files: DataFrame) -> DataFrame:
     """The review scan: names ending in .js, nothing ignored."""
     return files.where(F.endswith(F.col("path"), F.lit(".js")))
-
-
-def spread(files: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; larger inputs are left where they are.
-
-    An unsplittable file of a few row groups would otherwise be analysed by one task. What moves is at
-    most ``cores`` splits, so the cost does not grow with the data.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from codewarden.functions.sql import array, case, let
-from codewarden.sources.code_files import spread
 
 SNIPPETS = [
     """var user_name = readInput();
@@ -152,7 +151,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code_files(doc_id, path, content) from all of ``documents``."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.selectExpr(
         "doc_id", f"{file_path('doc_id')} AS path", f"{file_content('doc_id', 'text')} AS content"
     )
@@ -245,5 +244,5 @@ def rule_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as code files: the whole HTML with its scripts."""
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pages.selectExpr("page_id", "concat(page_id, ' ', url) AS path", "html AS content")

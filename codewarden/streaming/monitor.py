@@ -14,9 +14,6 @@ from codewarden.plans import analysis
 from codewarden.schemas import ANALYSIS_LOG
 from codewarden.sources.logs import with_date
 
-#: Changed paths of a batch that may be broadcast to the file table (about 100 bytes each).
-BROADCAST_PATHS = 200_000
-
 
 def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
     """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``, else ``default``."""
@@ -27,14 +24,8 @@ def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
 
 
 def changed_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Files named in a batch of sessions.
-
-    The paths are counted first: a small set is broadcast, so contents stay where they are; a large one
-    is joined the ordinary way.
-    """
-    paths = sessions.select("path").distinct()
-    few = paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
-    return files.join(F.broadcast(paths) if few else paths, "path", "left_semi")
+    """Files named in a batch of sessions; Spark broadcasts the paths if they turn out to be few."""
+    return files.join(sessions.select("path").distinct(), "path", "left_semi")
 
 
 def analyze_sessions(

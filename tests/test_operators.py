@@ -359,3 +359,13 @@ def test_directory_scan(spark, tmp_path):
     assert rows(code_files.scan_code_files(spark, root), "path", "content") == [("d e%41+.ts", "z"), ("src/a.js", "let a_b = 1;\n")]
     assert code_files.scan_code_files(spark, root, max_files=1).count() == 1
     assert code_files.scan_code_files(spark, root).first().mtime is not None
+
+
+def test_threshold_does_not_copy_the_patterns(spark):
+    files = spark.createDataFrame([("a.js", "var a = 1; // x")], "path string, content string")
+
+    def patterns(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp")
+
+    detected = ai_detect.detect(files)
+    assert patterns(ai_detect.above(detected)) == patterns(detected)

@@ -791,10 +791,10 @@ def debounce_sessions(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        tempfile.gettempdir(), "codewarden"
-    )
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    # a folder of this machine only where all of Spark runs on it
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-")
+    default = os.path.join(tempfile.gettempdir(), "codewarden") if local else None
+    return f"{monitor.checkpoint_root(spark, default)}/{uuid.uuid4().hex}"
 
 
 def _change_stream(spark: SparkSession, d: str) -> DataFrame:
