@@ -151,6 +151,15 @@ def seat(counts: np.ndarray, mass: np.ndarray, discount: float, words: np.ndarra
     return tables
 
 
+def _sums(index: np.ndarray, values, size: int) -> np.ndarray:
+    """Sums of ``values(part)`` by ``index``, a part of the entries after the other: a frequent word has many."""
+    out = np.zeros(size)
+    for a in range(0, len(index), 1_000_000):
+        part = slice(a, a + 1_000_000)
+        out += np.bincount(index[part], values(part), size)
+    return out
+
+
 class _Fragment:
     """The customers of a fragment's words: pairs (word, context) and entries (pair, row)."""
 
@@ -184,8 +193,8 @@ class _Fragment:
         self.pair = np.repeat(at.astype(np.int32), np.concatenate(pair_n))
         del keys, at, pair_n
         self.word, self.context = (x.astype(np.int32) for x in np.divmod(pairs, len(self.contexts)))
-        train = (self.flags[self.row] & 1).astype(bool)
-        self.customers = np.bincount(self.pair[train], self.count[train], len(pairs)).astype(np.int32)
+        train = self.flags & 1
+        self.customers = _sums(self.pair, lambda p: train[self.row[p]] * self.count[p], len(pairs)).astype(np.int32)
         self.word_count = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
         self.context_count = np.bincount(self.context, self.customers, len(self.contexts)).astype(np.int64)
         self.n, self.known = int(self.word_count.sum()), int((self.word_count > 0).sum())
@@ -277,18 +286,16 @@ def _score(fragments: int):
                 STRENGTH + customers[fragment.context])
         score = np.log10(chance / SAMPLES)
         base = np.log10((fragment.word_count + 0.1) / (int(total["n"]) + 0.1 * (int(total["known"]) + 1)))
-        word = fragment.word[fragment.pair]
-        size = len(fragment.ids)
+        known, ends = (fragment.word_count > 0), fragment.words == END
 
-        def per_row(values):
-            return np.bincount(fragment.row, values * fragment.count, size)
+        def per_row(of_pair):
+            return _sums(fragment.row, lambda p: of_pair[fragment.pair[p]] * fragment.count[p], len(fragment.ids))
 
         out = pd.DataFrame({
             "doc_id": pd.array(fragment.ids, dtype="Int64"), "tag": fragment.tags.astype(np.int64),
-            "n": per_row(np.ones(len(word))).astype(np.int64),
-            "known": per_row((fragment.word_count > 0)[word]).astype(np.int64),
-            "ends": per_row((fragment.words == END)[word]).astype(np.int64),
-            "base": per_row(base[word]), "score": per_row(score[fragment.pair]), "total": int(total["n"])})
+            "n": per_row(np.ones(len(score))).astype(np.int64), "known": per_row(known[fragment.word]).astype(np.int64),
+            "ends": per_row(ends[fragment.word]).astype(np.int64), "base": per_row(base[fragment.word]),
+            "score": per_row(score), "total": int(total["n"])})
         out.loc[(fragment.flags & 2) > 0, "doc_id"] = pd.NA
         return out
 
