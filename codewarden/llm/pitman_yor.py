@@ -71,56 +71,60 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
     """Packed tokens by fragment of their word; see _BLOBS for the arrays of a row."""
     schema = pa.schema([("fragment", pa.int64()), *[(c, pa.binary()) for c in _BLOBS]])
 
+    def block(part):
+        # a function of its own, so that a block's arrays go before the next one is made
+        hashes, firsts = wordhash.column_words(part.column("text"))
+        n = len(part)
+        # an end behind each text's words; before a text's first word stands the beginning
+        tokens = np.insert(hashes, firsts[1:], END)
+        starts = firsts[:-1] + np.arange(n)
+        sizes = np.diff(firsts) + 1
+        row = np.repeat(np.arange(n), sizes)
+        vocabulary, word = np.unique(tokens, return_inverse=True)
+        context = np.empty(len(tokens), dtype=np.int64)
+        context[1:] = word[:-1]
+        context[starts] = len(vocabulary)
+        # contexts go by 40 bits; a clash lets two contexts share a restaurant
+        known = np.append(vocabulary, BEGIN) >> _U(24)
+        # equal (word, context, row) become one entry with a count
+        key = word * (len(vocabulary) + 1) + context
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
+        count = np.diff(np.r_[new, len(key)])
+        key, row = key[new], row[new]
+        pair = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        entries = np.diff(np.r_[pair, len(key)])
+        pair_word, pair_context = np.divmod(key[pair], len(vocabulary) + 1)
+        ids = part.column("doc_id").to_pylist()
+        flags = np.array([(2 if i is None else 0) | is_training(i) for i in ids], dtype=np.uint8)
+        numbers = np.array([0 if i is None else i for i in ids], dtype="<i8")
+        # tells rows of one id apart: sums of a text's token hashes
+        tags = np.add.reduceat(wordhash.mix(tokens), starts).astype("<u4")
+        edge = np.searchsorted(_part(vocabulary[pair_word], fragments), np.arange(fragments + 1))
+        first = np.r_[pair, len(key)]
+        rows = []
+        for f in range(fragments):
+            x, y = edge[f], edge[f + 1]
+            if x == y:
+                continue
+            ws, per_word = np.unique(pair_word[x:y], return_counts=True)
+            cs, at = np.unique(pair_context[x:y], return_inverse=True)
+            mine = slice(first[x], first[y])
+            docs_here, local = np.unique(row[mine], return_inverse=True)
+            blobs = [vocabulary[ws].astype("<u8"), per_word.astype("<u4"), np.frombuffer(_pack(known[cs]), np.uint8),
+                     at.astype("<u2" if len(cs) < 65536 else "<u4"), entries[x:y].astype("<u4"),
+                     local.astype("<u2" if len(docs_here) < 65536 else "<u4"), count[mine].astype("<u4"),
+                     numbers[docs_here], tags[docs_here], flags[docs_here]]
+            rows.append((f, *[v.tobytes() for v in blobs]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches):
         for batch in batches:
             for a, b in wordhash.slices(batch, "text", BLOCK_BYTES):
-                part = batch.slice(a, b - a)
-                hashes, firsts = wordhash.column_words(part.column("text"))
-                n = len(part)
-                # an end behind each text's words; before a text's first word stands the beginning
-                tokens = np.insert(hashes, firsts[1:], END)
-                starts = firsts[:-1] + np.arange(n)
-                sizes = np.diff(firsts) + 1
-                row = np.repeat(np.arange(n), sizes)
-                vocabulary, word = np.unique(tokens, return_inverse=True)
-                context = np.empty(len(tokens), dtype=np.int64)
-                context[1:] = word[:-1]
-                context[starts] = len(vocabulary)
-                # contexts go by 40 bits; a clash lets two contexts share a restaurant
-                known = np.append(vocabulary, BEGIN) >> _U(24)
-                # equal (word, context, row) become one entry with a count
-                key = word * (len(vocabulary) + 1) + context
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
-                count = np.diff(np.r_[new, len(key)])
-                key, row = key[new], row[new]
-                pair = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                entries = np.diff(np.r_[pair, len(key)])
-                pair_word, pair_context = np.divmod(key[pair], len(vocabulary) + 1)
-                ids = part.column("doc_id").to_pylist()
-                flags = np.array([(2 if i is None else 0) | is_training(i) for i in ids], dtype=np.uint8)
-                numbers = np.array([0 if i is None else i for i in ids], dtype="<i8")
-                # tells rows of one id apart: sums of a text's token hashes
-                tags = np.add.reduceat(wordhash.mix(tokens), starts).astype("<u4")
-                edge = np.searchsorted(_part(vocabulary[pair_word], fragments), np.arange(fragments + 1))
-                first = np.r_[pair, len(key)]
-                rows = []
-                for f in range(fragments):
-                    x, y = edge[f], edge[f + 1]
-                    if x == y:
-                        continue
-                    ws, per_word = np.unique(pair_word[x:y], return_counts=True)
-                    cs, at = np.unique(pair_context[x:y], return_inverse=True)
-                    mine = slice(first[x], first[y])
-                    docs_here, local = np.unique(row[mine], return_inverse=True)
-                    blobs = [vocabulary[ws].astype("<u8"), per_word.astype("<u4"), np.frombuffer(_pack(known[cs]), np.uint8),
-                             at.astype("<u2" if len(cs) < 65536 else "<u4"), entries[x:y].astype("<u4"),
-                             local.astype("<u2" if len(docs_here) < 65536 else "<u4"), count[mine].astype("<u4"),
-                             numbers[docs_here], tags[docs_here], flags[docs_here]]
-                    rows.append((f, *[v.tobytes() for v in blobs]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield block(batch.slice(a, b - a))
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "fragment long, " + ", ".join(f"{c} binary" for c in _BLOBS))
 
