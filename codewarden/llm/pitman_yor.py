@@ -155,54 +155,77 @@ def seat(counts: np.ndarray, mass: np.ndarray, discount: float, words: np.ndarra
     return tables
 
 
-def _sums(index: np.ndarray, values, size: int) -> np.ndarray:
-    """Sums of ``values(part)`` by ``index``, a part of the entries after the other: a frequent word has many."""
-    out = np.zeros(size)
-    for a in range(0, len(index), 1_000_000):
-        part = slice(a, a + 1_000_000)
-        out += np.bincount(index[part], values(part), size)
-    return out
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    # the parts are sorted, which a stable sort makes use of; numpy's unique would hash them
+    out = np.concatenate(parts)
+    out.sort(kind="stable")
+    return out[np.flatnonzero(np.r_[True, out[1:] != out[:-1]])] if len(out) else out
+
+
+def _union(parts) -> np.ndarray:
+    """The distinct values of many sorted arrays, sorted; a few of them are held at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > max(2 * len(held[0]), 500_000):
+            held = [_distinct(held)]
+            size = len(held[0])
+    return _distinct(held)
 
 
 class _Fragment:
-    """The customers of a fragment's words: pairs (word, context) and entries (pair, row)."""
+    """The customers of a fragment's words by pair (word, context).
+
+    Entries (pair, row) stay in the blocks that they came in; only pairs are put together, so a word
+    that most documents have takes the room of its contexts.
+    """
 
     def __init__(self, rows: pd.DataFrame):
-        def all_of(column, kind):
-            return [np.frombuffer(x, kind) for x in rows[column]]
-
-        words, contexts = all_of("words", "<u8"), [_unpack(x) for x in rows["contexts"]]
-        self.words, word_at = np.unique(np.concatenate(words), return_inverse=True)
-        self.contexts, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
-        keys, pair_n, row, count, ids, tags, flags = [], [], [], [], [], [], []
-        w0 = c0 = r0 = 0
-        raw = zip(*[rows[c] for c in _BLOBS[1:]], strict=True)
-        for w, (per_word, cs, at, entries, local, n, i, t, f) in zip(words, raw, strict=True):
-            size = len(cs) // 5
-            at = np.frombuffer(at, "<u2" if size < 65536 else "<u4")
-            of_word = np.repeat(word_at[w0:w0 + len(w)], np.frombuffer(per_word, "<u4"))
-            keys.append(of_word.astype(np.int64) * len(self.contexts) + context_at[c0:c0 + size][at])
-            pair_n.append(np.frombuffer(entries, "<u4"))
-            here = len(i) // 8
-            row.append(np.frombuffer(local, "<u2" if here < 65536 else "<u4").astype(np.int32) + np.int32(r0))
-            count.append(np.frombuffer(n, "<u4"))
-            ids.append(np.frombuffer(i, "<i8"))
-            tags.append(np.frombuffer(t, "<u4"))
-            flags.append(np.frombuffer(f, "u1"))
-            w0, c0, r0 = w0 + len(w), c0 + size, r0 + here
-        self.ids, self.tags, self.flags = np.concatenate(ids), np.concatenate(tags), np.concatenate(flags)
-        self.row, self.count = np.concatenate(row), np.concatenate(count)
-        del words, contexts, word_at, context_at, row, count
-        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-        self.pair = np.repeat(at.astype(np.int32), np.concatenate(pair_n))
-        del keys, at, pair_n
+        self.blocks = [dict(zip(_BLOBS, r, strict=True)) for r in zip(*[rows[c] for c in _BLOBS], strict=True)]
+        self.words = _union(np.frombuffer(b["words"], "<u8") for b in self.blocks)
+        self.contexts = _union(_unpack(b["contexts"]) for b in self.blocks)
+        pairs = _union(map(self._keys, self.blocks))
+        self.pairs = [np.searchsorted(pairs, self._keys(b)).astype(np.int32) for b in self.blocks]
         self.word, self.context = (x.astype(np.int32) for x in np.divmod(pairs, len(self.contexts)))
-        train = self.flags & 1
-        self.customers = _sums(self.pair, lambda p: train[self.row[p]] * self.count[p], len(pairs)).astype(np.int32)
+        self.customers = np.zeros(len(pairs), dtype=np.int64)
+        del pairs
+        for block, at in zip(self.blocks, self.pairs, strict=True):
+            entries, row, count = self.entries(block)
+            seated = (self.column(block, "flags", "u1") & 1)[row] * count
+            # a pair stands once in a block, with at least one entry
+            self.customers[at] += np.add.reduceat(seated, np.cumsum(entries) - entries)
+        self.customers = self.customers.astype(np.int32)
         self.word_count = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
         self.context_count = np.bincount(self.context, self.customers, len(self.contexts)).astype(np.int64)
         self.n, self.known = int(self.word_count.sum()), int((self.word_count > 0).sum())
 
+    @staticmethod
+    def column(block: dict, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(block[name], kind)
+
+    def _keys(self, block: dict) -> np.ndarray:
+        """A block's pairs as numbers: place of the word, then of the context."""
+        word = np.searchsorted(self.words, self.column(block, "words", "<u8"))
+        context = np.searchsorted(self.contexts, _unpack(block["contexts"]))
+        at = self.column(block, "pair_context", "<u2" if len(context) < 65536 else "<u4")
+        return np.repeat(word, self.column(block, "word_pairs", "<u4")) * len(self.contexts) + context[at]
+
+    def entries(self, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A block's entries per pair, and each entry's row in the block and count."""
+        kind = "<u2" if len(block["ids"]) // 8 < 65536 else "<u4"
+        return (self.column(block, "pair_entries", "<u4").astype(np.int64), self.column(block, "entry_row", kind),
+                self.column(block, "entry_count", "<u4").astype(np.int64))
+
+    def per_row(self, *of_pair: np.ndarray):
+        """For each block its rows' sums of every given value of the pairs."""
+        for block, at in zip(self.blocks, self.pairs, strict=True):
+            entries, row, count = self.entries(block)
+            yield [np.bincount(row, np.repeat(v[at], entries) * count, len(block["ids"]) // 8) for v in of_pair]
+
+    def all_of(self, name: str, kind: str) -> np.ndarray:
+        return np.concatenate([self.column(b, name, kind) for b in self.blocks])
+
     def seatings(self, fragments: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The kept samples: tables of each pair, and of each word in the parent restaurant."""
         total = max(1, self.n * fragments)
@@ -292,15 +315,14 @@ def _score(fragments: int):
         base = np.log10((fragment.word_count + 0.1) / (int(total["n"]) + 0.1 * (int(total["known"]) + 1)))
         known, ends = (fragment.word_count > 0), fragment.words == END
 
-        def per_row(of_pair):
-            return _sums(fragment.row, lambda p: of_pair[fragment.pair[p]] * fragment.count[p], len(fragment.ids))
-
+        sums = list(fragment.per_row(np.ones(len(score)), known[fragment.word], ends[fragment.word], base[fragment.word], score))
+        counted, knew, ended, plain, scored = (np.concatenate(x) for x in zip(*sums, strict=True))
         out = pd.DataFrame({
-            "doc_id": pd.array(fragment.ids, dtype="Int64"), "tag": fragment.tags.astype(np.int64),
-            "n": per_row(np.ones(len(score))).astype(np.int64), "known": per_row(known[fragment.word]).astype(np.int64),
-            "ends": per_row(ends[fragment.word]).astype(np.int64), "base": per_row(base[fragment.word]),
-            "score": per_row(score), "total": int(total["n"])})
-        out.loc[(fragment.flags & 2) > 0, "doc_id"] = pd.NA
+            "doc_id": pd.array(fragment.all_of("ids", "<i8"), dtype="Int64"),
+            "tag": fragment.all_of("tags", "<u4").astype(np.int64), "n": counted.astype(np.int64),
+            "known": knew.astype(np.int64), "ends": ended.astype(np.int64), "base": plain, "score": scored,
+            "total": int(total["n"])})
+        out.loc[(fragment.all_of("flags", "u1") & 2) > 0, "doc_id"] = pd.NA
         return out
 
     return run

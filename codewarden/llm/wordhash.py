@@ -19,7 +19,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(int(_BASE), -1, 2**64))
 #: Bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 4_000_000
-#: Bytes hashed at once inside a slice, again with a longer text alone.
+#: Bytes hashed at once inside a slice; a longer text is cut at white space.
 HASHED_BYTES = 1_000_000
 _powers: dict[str, np.ndarray] = {}
 
@@ -91,15 +91,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def _cuts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a text of about HASHED_BYTES, each but the last ending in white space."""
+    while len(data) > HASHED_BYTES:
+        stop = HASHED_BYTES
+        while stop < len(data) and not (white := _WHITE[data[stop:stop + HASHED_BYTES]]).any():
+            stop += HASHED_BYTES
+        if stop >= len(data):
+            break
+        stop += int(white.argmax()) + 1
+        yield data[:stop]
+        data = data[stop:]
+    yield data
+
+
 def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """:func:`words` of all texts of a column, a part after the other."""
     hashes, firsts, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
     batch = pa.RecordBatch.from_arrays([column], names=["text"])
     for a, b in slices(batch, "text", HASHED_BYTES):
-        h, f = words(*text_bytes(column.slice(a, b - a)))
-        hashes.append(h)
-        firsts.append(f[1:] + n)
-        n += len(h)
+        data, offsets = text_bytes(column.slice(a, b - a))
+        if b == a + 1:
+            found = [words(part, np.array([0, len(part)]))[0] for part in _cuts(data)]
+            ends = [sum(map(len, found))]
+            hashes.extend(found)
+        else:
+            h, f = words(data, offsets)
+            hashes.append(h)
+            ends = f[1:]
+        firsts.append(np.asarray(ends, dtype=np.int64) + n)
+        n += int(ends[-1])
     return np.concatenate(hashes), np.concatenate(firsts)
 
 
