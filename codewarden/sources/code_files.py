@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,26 @@ def select_code_files(
     return kept if max_files is None else kept.orderBy("path").limit(max_files)
 
 
+def _listed(spark: SparkSession, system: FileSystem, root: str) -> DataFrame:
+    """All files below ``root``, hidden ones too: path (relative), size, mtime. Each of its folders is a task's row."""
+
+    def walk(batches):
+        for batch in batches:
+            for folder, deep in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = [x for x in system.get_file_info(FileSelector(folder, recursive=deep)) if x.is_file]
+                yield pa.RecordBatch.from_pydict({
+                    "path": pa.array([x.path[len(root):].lstrip("/") for x in found], pa.string()),
+                    "size": pa.array([x.size for x in found], pa.int64()),
+                    "micros": pa.array([x.mtime_ns // 1000 for x in found], pa.int64()),
+                })
+
+    folders = [x.path for x in system.get_file_info(FileSelector(root)) if x.type == FileType.Directory]
+    tasks = [(root, False), *[(f, True) for f in folders]]
+    spread = spark.createDataFrame(tasks, "folder string, deep boolean").repartition(len(tasks))
+    return spread.mapInArrow(walk, "path string, size long, micros long").selectExpr(
+        "path", "size", "timestamp_micros(micros) AS mtime")
+
+
 def scan_code_files(
     spark: SparkSession,
     directory: str,
@@ -68,21 +91,30 @@ def scan_code_files(
     extensions=EXTENSIONS,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Read a directory tree, one row per file: path (relative to the directory), content, mtime."""
-    globs = ",".join(e.lstrip(".") for e in extensions)
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{{{globs}}}").load(directory)
-    )
-    # the source yields qualified paths; what follows the directory, qualified alike, is the relative path
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = system.makeQualified(hadoop).toString().rstrip("/") + "/"
-    files = raw.selectExpr(
-        f"substr(path, {len(base) + 1}) AS path",
-        "make_valid_utf8(cast(content AS string)) AS content", "modificationTime AS mtime",
-    )
-    return select_code_files(files, policy, extensions, root=directory, max_files=max_files)
+    """Read a directory tree, one row per file: path (relative to the directory), content, mtime.
+
+    Spark's own file sources hide names that begin with ``_`` or ``.``; here only the policy decides. Files
+    are listed and chosen by path, and their paths dealt out before tasks read the contents.
+    """
+    local = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", directory) is None
+    system, root = (LocalFileSystem(), os.path.abspath(directory)) if local else FileSystem.from_uri(directory)
+    chosen = select_code_files(
+        _listed(spark, system, root), policy, extensions, root=directory, max_files=max_files)
+
+    def read(batches):
+        for batch in batches:
+            for path, mtime in zip(batch.column("path"), batch.column("mtime"), strict=True):
+                with system.open_input_stream(f"{root}/{path.as_py()}", compression=None) as file:
+                    content = file.read()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path.as_py()]), pa.array([content], pa.binary()), pa.array([mtime.as_py()], mtime.type)],
+                    ["path", "content", "mtime"])
+
+    size = chosen.agg(F.sum("size")).first()[0] or 0
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // part))
+    files = chosen.select("path", "mtime").repartition(tasks).mapInArrow(read, "path string, content binary, mtime timestamp")
+    return files.selectExpr("path", "make_valid_utf8(cast(content AS string)) AS content", "mtime")
 
 
 def scan_js_files(files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from codewarden.sources.code_files import EXTENSIONS
 
 # The default quiet gap.
 DEBOUNCE_SECONDS = 1.0
+#: Behind all changes of a replay.
+END = "9999-01-01 00:00:00"
 CHANGES = "path string, ts timestamp, event_type string"
 
 
@@ -58,12 +60,31 @@ def sessions(changes: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS) -> DataF
     )
 
 
-def stream_sessions(
-    changes: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, lateness: str = "0 seconds"
-) -> DataFrame:
+def with_clock(changes: DataFrame) -> DataFrame:
+    """A live stream with a row per second that moves the watermark, so that the last burst closes, too."""
+    ticks = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return changes.unionByName(ticks.select(F.col("timestamp").alias("ts")), allowMissingColumns=True)
+
+
+def with_end(changes: DataFrame, folder: str) -> DataFrame:
+    """A replay with a last row, kept in ``folder``, behind which no burst stays open.
+
+    For a finished set of changes read in one batch (``availableNow`` without a limit of files); further
+    changes under the same checkpoint would be late.
+    """
+    spark = changes.sparkSession
+    end = spark.range(1).select(F.expr(f"timestamp '{END}'").alias("ts"))
+    end.write.mode("overwrite").parquet(folder)
+    rows = spark.readStream.schema(end.schema).parquet(folder)
+    return changes.unionByName(rows, allowMissingColumns=True)
+
+
+def stream_sessions(changes: DataFrame, gap_seconds: float, lateness: str) -> DataFrame:
     """The same bursts on a stream; one is emitted once the watermark has passed its end.
 
-    Changes arriving later than ``lateness`` are dropped, which session windows in append mode require.
+    A change counts if it arrives at most ``lateness`` after a newer one of any file; session windows in
+    append mode have to drop later ones, so choose it by the source. Rows without a path only move the
+    watermark (see :func:`with_clock` and :func:`with_end`).
     Bursts are merged within each input partition before the shuffle, so a hot file sends few rows.
     """
     spark = changes.sparkSession
@@ -72,7 +93,9 @@ def stream_sessions(
     return (
         changes.withWatermark("ts", lateness)
         .groupBy("path", window.alias("w"))
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"),
+        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("path").alias("n"),
              F.max_by("event_type", F.struct("ts", "event_type")).alias("last_event"))
+        # a condition on the path would be moved below the watermark
+        .where("n > 0")
         .select("path", "first_ts", "last_ts", F.col("w.end").alias("session_end"), "n", "last_event")
     )

@@ -361,6 +361,22 @@ def test_directory_scan(spark, tmp_path):
     assert code_files.scan_code_files(spark, root).first().mtime is not None
 
 
+def test_scan_keeps_hidden_names(spark, tmp_path):
+    names = ["src/_app.js", "src/__tests__/b.test.js", ".storybook/main.js", "src/a.js", "_d/.e.ts", "notes.md"]
+    for name in names:
+        p = tmp_path / "tree" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(name)
+    for policy in code_files.POLICIES:
+        got = {r.path: r.content for r in code_files.scan_code_files(spark, str(tmp_path / "tree"), policy).collect()}
+        wanted = {n for n in names[:5] if policy != "watch" or not n.startswith(".")}
+        assert got == {n: n for n in wanted}, policy
+    by_uri = code_files.scan_code_files(spark, (tmp_path / "tree").as_uri(), "learn")
+    assert by_uri.count() == 5
+    (tmp_path / "empty").mkdir()
+    assert code_files.scan_code_files(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_threshold_does_not_copy_the_patterns(spark):
     files = spark.createDataFrame([("a.js", "var a = 1; // x")], "path string, content string")
 

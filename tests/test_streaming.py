@@ -55,7 +55,7 @@ def write_changes(folder, name, rows):
 def test_stream_gives_the_closed_bursts(spark, tmp_path):
     source = tmp_path / "changes"
     write_changes(source, "1.json", [*CASES, ("notes.md", 0), ("z.js", 100)])
-    stream = changes.stream_sessions(changes.read_changes(spark, str(source)), 1.0)
+    stream = changes.stream_sessions(changes.read_changes(spark, str(source)), 1.0, "0 seconds")
     run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option(
         "path", str(tmp_path / "out")).trigger(availableNow=True).start()
     run.awaitTermination(120)
@@ -63,6 +63,32 @@ def test_stream_gives_the_closed_bursts(spark, tmp_path):
     assert got == bursts(changes.sessions(events(spark, CASES), 1.0))
 
 
+def run_sessions(stream, tmp_path):
+    run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option(
+        "path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+
+
+def test_replay_closes_its_last_bursts(spark, tmp_path):
+    source = tmp_path / "changes"
+    write_changes(source, "1.json", CASES)
+    replay = changes.with_end(changes.read_changes(spark, str(source)), str(tmp_path / "end"))
+    run_sessions(changes.stream_sessions(replay, 1.0, "0 seconds"), tmp_path)
+    got = bursts(spark.read.parquet(str(tmp_path / "out")))
+    assert got == bursts(changes.sessions(events(spark, CASES), 1.0))
+
+
+def test_late_changes_within_the_lateness_come_out(spark, tmp_path):
+    source = tmp_path / "changes"
+    for name, rows in [("1.json", [("a.js", 0), ("b.js", 30)]), ("2.json", [("late.js", 28), ("c.js", 31)]),
+                       ("3.json", [("z.js", 500)])]:
+        write_changes(source, name, rows)
+        read = changes.read_changes(spark, str(source))
+        run_sessions(changes.stream_sessions(read, 1.0, "60 seconds"), tmp_path)
+    got = {r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a.js", "b.js", "late.js", "c.js"}
+
+
 def test_monitor_appends_each_burst_once(spark, tmp_path):
     source, log = tmp_path / "changes", str(tmp_path / "log")
     files = lambda s: s.createDataFrame([("a.js", "eval(x)"), ("b.js", "ok()")], "path string, content string")
@@ -70,7 +96,7 @@ def test_monitor_appends_each_burst_once(spark, tmp_path):
     learned.write.parquet(str(tmp_path / "profile"))
 
     def run():
-        stream = changes.stream_sessions(changes.read_changes(spark, str(source)), 1.0)
+        stream = changes.stream_sessions(changes.read_changes(spark, str(source)), 1.0, "0 seconds")
         q = monitor.start_monitor(
             stream, files, log, str(tmp_path / "cp"), rules=rules.initial_rules,
             learned=lambda s: s.read.parquet(str(tmp_path / "profile")), trigger={"availableNow": True})

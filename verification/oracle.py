@@ -726,7 +726,7 @@ SESSIONS = [
              "arg_max(event_type, (ts, event_type)) AS last_event FROM numbered GROUP BY path, b"),
 ]
 ORACLE["debounce_sessions"] = with_(SESSIONS, "SELECT path, first_ts, last_ts, session_end, n, last_event FROM sess")
-ORACLE["stream_debounce"] = with_(SESSIONS, "SELECT path, first_ts, last_ts, session_end, n, last_event FROM sess WHERE session_end <= (SELECT max(ts) FROM events)")
+ORACLE["stream_debounce"] = with_(SESSIONS, "SELECT path, first_ts, last_ts, session_end, n, last_event FROM sess")
 
 
 def log_ctes():
@@ -794,7 +794,7 @@ ORACLE["org_dashboard"] = with_(merged_ctes(), "SELECT (SELECT count(*) FROM ana
     + ", (SELECT count(*) FROM ana WHERE confidence >= 0.6) AS ai_files, (SELECT round(avg((confidence >= 0.6)::INT) * 100, 1) FROM ana) AS ai_percent")
 ORACLE["top_violations"] = with_(merged_ctes(), "SELECT rule, count(*) AS n, count(DISTINCT path) AS files FROM mv GROUP BY rule")
 ORACLE["stream_monitor"] = with_([*merged_ctes(excepted=False), *SESSIONS], """SELECT path AS file, session_end AS ts, total_issues AS n_violations,
-drift_score, severity FROM sess JOIN ana USING (path) WHERE session_end <= (SELECT max(ts) FROM events)""")
+drift_score, severity FROM sess JOIN ana USING (path)""")
 
 _MARK = "CASE lower(severity) WHEN 'critical' THEN '🔥' WHEN 'high' THEN '🚨' WHEN 'medium' THEN '⚠️' WHEN 'low' THEN '💡' WHEN 'info' THEN 'ℹ️' ELSE '❓' END"
 ORACLE["context_log"] = with_([*log_ctes(), ("nv", "SELECT path, rule, severity, line, message, row_number() OVER (PARTITION BY path ORDER BY src, a, b) AS k FROM mv"),

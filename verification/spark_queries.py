@@ -807,7 +807,7 @@ def _change_stream(spark: SparkSession, d: str) -> DataFrame:
 def stream_debounce(spark, d):
     """Bursts closed by the end of the change stream, through Structured Streaming."""
     out = _scratch(spark)
-    stream = changes.stream_sessions(_change_stream(spark, d), GAP_SECONDS)
+    stream = changes.stream_sessions(changes.with_end(_change_stream(spark, d), f"{out}/end"), GAP_SECONDS, "0 seconds")
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
         "path", f"{out}/sessions").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -820,7 +820,7 @@ def stream_monitor(spark, d):
     out = _scratch(spark)
     learned(spark, d).write.parquet(f"{out}/profile")
     run = monitor.start_monitor(
-        changes.stream_sessions(_change_stream(spark, d), GAP_SECONDS),
+        changes.stream_sessions(changes.with_end(_change_stream(spark, d), f"{out}/end"), GAP_SECONDS, "0 seconds"),
         lambda s: files(s, d, "watch"), f"{out}/log", f"{out}/checkpoint",
         rules=rules, learned=lambda s: s.read.parquet(f"{out}/profile"),
         trigger={"availableNow": True},
