@@ -57,9 +57,10 @@ def _pack(contexts: np.ndarray) -> bytes:
     return np.ascontiguousarray(contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+def _unpack(packed: bytes | pa.Buffer) -> np.ndarray:
+    values = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(values), 8), dtype=np.uint8)
+    out[:, :5] = values
     return out.view("<u8").ravel()
 
 
@@ -181,8 +182,11 @@ class _Fragment:
     that most documents have takes the room of its contexts.
     """
 
-    def __init__(self, rows: pd.DataFrame):
-        self.blocks = [dict(zip(_BLOBS, r, strict=True)) for r in zip(*[rows[c] for c in _BLOBS], strict=True)]
+    def __init__(self, rows: pa.Table):
+        pa.default_memory_pool().release_unused()
+        # views of Arrow's own memory: a copy as Python bytes would double a fragment
+        columns = [[x.as_buffer() for x in rows.column(c)] for c in _BLOBS]
+        self.blocks = [dict(zip(_BLOBS, r, strict=True)) for r in zip(*columns, strict=True)]
         self.words = _union(np.frombuffer(b["words"], "<u8") for b in self.blocks)
         self.contexts = _union(_unpack(b["contexts"]) for b in self.blocks)
         pairs = _union(map(self._keys, self.blocks))
@@ -213,7 +217,7 @@ class _Fragment:
 
     def entries(self, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A block's entries per pair, and each entry's row in the block and count."""
-        kind = "<u2" if len(block["ids"]) // 8 < 65536 else "<u4"
+        kind = "<u2" if block["ids"].size // 8 < 65536 else "<u4"
         return (self.column(block, "pair_entries", "<u4").astype(np.int64), self.column(block, "entry_row", kind),
                 self.column(block, "entry_count", "<u4").astype(np.int64))
 
@@ -221,7 +225,7 @@ class _Fragment:
         """For each block its rows' sums of every given value of the pairs."""
         for block, at in zip(self.blocks, self.pairs, strict=True):
             entries, row, count = self.entries(block)
-            yield [np.bincount(row, np.repeat(v[at], entries) * count, len(block["ids"]) // 8) for v in of_pair]
+            yield [np.bincount(row, np.repeat(v[at], entries) * count, block["ids"].size // 8) for v in of_pair]
 
     def all_of(self, name: str, kind: str) -> np.ndarray:
         return np.concatenate([self.column(b, name, kind) for b in self.blocks])
@@ -260,7 +264,7 @@ _SAMPLE_COLUMNS = [f"{name}{s}" for s in range(SAMPLES) for name in ("sent", "ab
 def _send(fragments: int):
     """A fragment's part of every context: customers, and tables per sample; with the fragment's totals."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         fragment = _Fragment(rows)
         kept = fragment.seatings(fragments)
         tables = [np.bincount(fragment.context, t, len(fragment.contexts)).astype("<u4") for t, _ in kept]
@@ -269,10 +273,11 @@ def _send(fragments: int):
         out = []
         for g in range(fragments):
             mine = slice(edge[g], edge[g + 1])
-            out.append((key[0], g, _pack(fragment.contexts[mine]),
+            out.append((key[0].as_py(), g, _pack(fragment.contexts[mine]),
                         fragment.context_count[mine].astype("<u4").tobytes(),
                         b"".join(t[mine].tobytes() for t in tables), fragment.n, fragment.known, *totals))
-        return pd.DataFrame(out, columns=["fragment", "to", "contexts", "customers", "tables", "n", "known", *_SAMPLE_COLUMNS])
+        names = ["fragment", "to", "contexts", "customers", "tables", "n", "known", *_SAMPLE_COLUMNS]
+        return pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
     return run
 
@@ -296,9 +301,9 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _score(fragments: int):
-    def run(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table, received: pa.Table) -> pa.Table:
         fragment = _Fragment(rows)
-        sums = sums.sort_values("to")
+        sums = received.to_pandas().sort_values("to")
         total = sums.iloc[0]
         customers = np.concatenate([np.frombuffer(x, "<u8") for x in sums["customers"]]).astype(np.float64)
         tables = np.concatenate([np.frombuffer(x, "<u8").reshape(SAMPLES, -1) for x in sums["tables"]], axis=1)
@@ -317,13 +322,12 @@ def _score(fragments: int):
 
         sums = list(fragment.per_row(np.ones(len(score)), known[fragment.word], ends[fragment.word], base[fragment.word], score))
         counted, knew, ended, plain, scored = (np.concatenate(x) for x in zip(*sums, strict=True))
-        out = pd.DataFrame({
-            "doc_id": pd.array(fragment.all_of("ids", "<i8"), dtype="Int64"),
+        unnamed = (fragment.all_of("flags", "u1") & 2) > 0
+        return pa.table({
+            "doc_id": pa.array(fragment.all_of("ids", "<i8"), mask=unnamed),
             "tag": fragment.all_of("tags", "<u4").astype(np.int64), "n": counted.astype(np.int64),
             "known": knew.astype(np.int64), "ends": ended.astype(np.int64), "base": plain, "score": scored,
-            "total": int(total["n"])})
-        out.loc[(fragment.all_of("flags", "u1") & 2) > 0, "doc_id"] = pd.NA
-        return out
+            "total": np.full(len(unnamed), int(total["n"]))})
 
     return run
 
@@ -336,11 +340,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # read twice below: for the seatings and for the scores
     tokens = _blocks(docs, fragments).repartition(fragments, "fragment")
     totals = ", ".join(f"{c} long" for c in ("n", "known", *_SAMPLE_COLUMNS))
-    sent = tokens.groupBy("fragment").applyInPandas(
+    sent = tokens.groupBy("fragment").applyInArrow(
         _send(fragments), f"fragment long, to long, contexts binary, customers binary, tables binary, {totals}")
     sums = sent.groupBy("to").applyInPandas(
         _add, f"fragment long, to long, customers binary, tables binary, {totals}")
-    parts = tokens.groupBy("fragment").cogroup(sums.groupBy("fragment")).applyInPandas(
+    parts = tokens.groupBy("fragment").cogroup(sums.groupBy("fragment")).applyInArrow(
         _score(fragments), "doc_id long, tag long, n long, known long, ends long, base double, score double, total long")
     summed = parts.groupBy("doc_id", "tag").agg(
         *[F.sum(c).alias(c) for c in ("n", "known", "ends", "base", "score")], F.max("total").alias("total"))
