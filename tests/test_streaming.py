@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -89,6 +90,27 @@ def test_late_changes_within_the_lateness_come_out(spark, tmp_path):
     assert got == {"a.js", "b.js", "late.js", "c.js"}
 
 
+def test_clock_closes_the_last_burst_of_a_live_stream(spark, tmp_path):
+    source, out = tmp_path / "changes", tmp_path / "out"
+    source.mkdir()
+    now = dt.datetime.now(dt.timezone.utc)
+    (source / "1.json").write_text(json.dumps({"path": "a.js", "ts": now.isoformat(), "event_type": "change"}))
+    live = changes.with_clock(changes.read_changes(spark, str(source)))
+    run = changes.stream_sessions(live, 1.0, "0 seconds").writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "cp")).option("path", str(out)).trigger(processingTime="1 second").start()
+    try:
+        got, stop = [], time.time() + 90
+        while not got and time.time() < stop:
+            time.sleep(1)
+            got = spark.read.schema(SESSION).parquet(str(out)).collect() if (out / "_spark_metadata").exists() else []
+    finally:
+        run.stop()
+    assert [(r.path, r.n) for r in got] == [("a.js", 1)]
+
+
+SESSION = "path string, first_ts timestamp, last_ts timestamp, session_end timestamp, n long, last_event string"
+
+
 def test_monitor_appends_each_burst_once(spark, tmp_path):
     source, log = tmp_path / "changes", str(tmp_path / "log")
     files = lambda s: s.createDataFrame([("a.js", "eval(x)"), ("b.js", "ok()")], "path string, content string")
