@@ -2,16 +2,16 @@
 
 Every context (the word before, or the beginning of a text) is a restaurant; all share one parent
 restaurant of single words, whose base is uniform over the training words and one unknown word. Customers
-are training tokens, dishes are words. Seatings are drawn by Gibbs sweeps of Chinese-restaurant
+are training tokens, dishes are words. Seatings are drawn by sweeps of Chinese-restaurant
 draws, several samples are kept, and a token's probability is the mean of the samples' predictive
 probabilities; a text's score is the sum of their logarithms.
 
 How it is spread: tokens go once to fragments by their own word, as packed blocks of (word, context,
-document). A fragment holds all customers of its words, draws their tables, and sends each
-context's partial customers and tables to the fragment of that context, which adds them up and sends
-the sums back. With them the fragment scores its tokens and sends partial sums per document. Sweeps estimate a
-context's tables from the fragment's share of them; the probabilities use the exact sums, so they add up
-to one. All draws are functions of (word, context, sweep), so a recomputed task draws the same.
+document). A fragment holds all customers of its words. Before the first sweep and after every sweep it sends each
+context's partial tables to the fragment of that context, which adds them up and sends the sums back, with
+the parent restaurant's totals; the next sweep seats with them. With the sums of the kept sweeps the fragment
+scores its tokens and sends partial sums per document. All sums are exact and all draws are functions of
+(word, context, sweep), so a recomputed task draws the same, and so does any number of fragments.
 Fragments are as many as ``spark.sql.shuffle.partitions``. A frequent word's tokens are summed per
 block before they travel, as one count per context and document.
 
@@ -230,106 +230,122 @@ class _Fragment:
     def all_of(self, name: str, kind: str) -> np.ndarray:
         return np.concatenate([self.column(b, name, kind) for b in self.blocks])
 
-    def seatings(self, fragments: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The kept samples: tables of each pair, and of each word in the parent restaurant."""
-        total = max(1, self.n * fragments)
-        parent = (self.word_count + 0.1) / (total + 0.1 * (self.known * fragments + 1))
-        sizes = np.bincount(self.context, self.customers > 0, len(self.contexts))
+    def unseated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What stands before the first sweep, one table for every dish; as :meth:`sweep` returns it."""
+        tables = (self.customers > 0).astype(np.int32)
+        return tables, np.bincount(self.word, tables, len(self.words)).astype(np.int64), (self.word_count > 0).astype(np.int32)
+
+    def sweep(self, number: int, before: _Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A sweep given the sums of the one before: tables of each pair, and each word's customers and
+        tables in the parent restaurant."""
+        if number == 0:
+            parent = (self.word_count + 0.1) / (before.n + 0.1 * (before.known + 1))
+        else:
+            parent = before.parent(*before.own)
         several = np.flatnonzero(self.customers > 1)
-        counts, word, context = self.customers[several], self.word[several], self.context[several]
-        ws, cs = self.words[word], self.contexts[context]
-        kept = []
-        for sweep in range(SWEEPS):
-            # a context's tables over all fragments, from this one's part of them
-            mass = (STRENGTH + DISCOUNT * sizes * fragments)[context] * parent[word]
-            tables = (self.customers > 0).astype(np.int32)
-            tables[several] = seat(counts, mass, DISCOUNT, ws, cs, sweep)
-            sizes = np.bincount(self.context, tables, len(self.contexts))
-            sent = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
-            known = max(1, self.known * fragments)
-            base = (PARENT_STRENGTH + PARENT_DISCOUNT * known) / (known + 1)
-            above = (sent > 0).astype(np.int32)
-            some = np.flatnonzero(sent > 1)
-            above[some] = seat(sent[some], np.full(len(some), base), PARENT_DISCOUNT, self.words[some], self.words[some], sweep)
-            parent = (np.maximum(sent - PARENT_DISCOUNT * above, 0) + base) / (
-                PARENT_STRENGTH + max(1, sent.sum() * fragments))
-            if sweep >= SWEEPS - SAMPLES:
-                kept.append((tables, above))
-        return kept
-
-
-_SAMPLE_COLUMNS = [f"{name}{s}" for s in range(SAMPLES) for name in ("sent", "above")]
-
-
-def _send(fragments: int):
-    """A fragment's part of every context: customers, and tables per sample; with the fragment's totals."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        word, context = self.word[several], self.context[several]
+        mass = (STRENGTH + DISCOUNT * before.tables)[context] * parent[word]
+        tables = (self.customers > 0).astype(np.int32)
+        tables[several] = seat(self.customers[several], mass, DISCOUNT, self.words[word], self.contexts[context], number)
+        sent = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+        above = (sent > 0).astype(np.int32)
+        some = np.flatnonzero(sent > 1)
+        above[some] = seat(sent[some], np.full(len(some), before.base), PARENT_DISCOUNT, self.words[some], self.words[some], number)
+        return tables, sent, above
+
+
+class _Sums:
+    """Sums over all fragments, in the order of a fragment's contexts, and the fragment's own words."""
+
+    def __init__(self, rows: pd.DataFrame):
+        # each row has the contexts of one receiver, in their order
+        rows = rows.sort_values("to")
+        self.customers = np.frombuffer(b"".join(rows["customers"]), "<u8")
+        self.tables = np.frombuffer(b"".join(rows["tables"]), "<u8")
+        #: Customers and tables of the words in the parent restaurant.
+        self.own = np.frombuffer(b"".join(rows["own"]), "<i8").reshape(2, -1)
+        self.n, self.known, self.sent, self.above = (int(rows[c].iloc[0]) for c in _TOTALS)
+        #: The parent's weight of any word, from the base.
+        self.base = (PARENT_STRENGTH + PARENT_DISCOUNT * self.above) / (self.known + 1)
+
+    def parent(self, sent: np.ndarray, above: np.ndarray) -> np.ndarray:
+        return (sent - PARENT_DISCOUNT * above + self.base) / (PARENT_STRENGTH + self.sent)
+
+
+#: Training tokens, words among them, customers and tables of the parent restaurant.
+_TOTALS = ["n", "known", "sent", "above"]
+_PARTS = "step long, fragment long, to long, contexts binary, customers binary, tables binary, own binary, n long, known long, sent long, above long"
+_SUMS = _PARTS.replace("contexts binary, ", "")
+
+
+def _send(step: int, fragments: int):
+    """A fragment's part of every context's tables, after a sweep or (step 0) before the first; with the fragment's totals."""
+
+    def run(key: tuple, rows: pa.Table, received: pa.Table | None = None) -> pa.Table:
         fragment = _Fragment(rows)
-        kept = fragment.seatings(fragments)
-        tables = [np.bincount(fragment.context, t, len(fragment.contexts)).astype("<u4") for t, _ in kept]
-        totals = [x for t, above in kept for x in (int(t.sum()), int(above.sum()))]
+        if step == 0:
+            tables, sent, above = fragment.unseated()
+        else:
+            tables, sent, above = fragment.sweep(step - 1, _Sums(received.to_pandas()))
+        me = key[0].as_py()
+        own = np.stack([sent, above]).astype("<i8").tobytes()
+        sizes = np.bincount(fragment.context, tables, len(fragment.contexts)).astype("<u4")
+        customers = fragment.context_count.astype("<u4")
         edge = np.searchsorted(_part(fragment.contexts << _U(24), fragments), np.arange(fragments + 1))
         out = []
         for g in range(fragments):
             mine = slice(edge[g], edge[g + 1])
-            out.append((key[0].as_py(), g, _pack(fragment.contexts[mine]),
-                        fragment.context_count[mine].astype("<u4").tobytes(),
-                        b"".join(t[mine].tobytes() for t in tables), fragment.n, fragment.known, *totals))
-        names = ["fragment", "to", "contexts", "customers", "tables", "n", "known", *_SAMPLE_COLUMNS]
+            out.append((step, me, g, _pack(fragment.contexts[mine]), customers[mine].tobytes() if step == 0 else b"",
+                        sizes[mine].tobytes(), own if g == me else b"", fragment.n, fragment.known, int(sent.sum()), int(above.sum())))
+        names = [c.split()[0] for c in _PARTS.split(", ")]
         return pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
-    return run
+    # Spark tells by the arguments whether the key is asked for
+    return (lambda key, rows: run(key, rows)) if step == 0 else (lambda key, rows, received: run(key, rows, received))
 
 
 def _add(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums per context over all fragments, sent back to each in its own order; totals over fragments."""
     contexts = [_unpack(x) for x in rows["contexts"]]
     known, at = np.unique(np.concatenate(contexts), return_inverse=True)
-    customers = np.bincount(at, np.concatenate([np.frombuffer(x, "<u4") for x in rows["customers"]]), len(known))
-    tables = [np.frombuffer(x, "<u4").reshape(SAMPLES, -1) for x in rows["tables"]]
-    sums = [np.bincount(at, np.concatenate([t[s] for t in tables]), len(known)) for s in range(SAMPLES)]
     ends = np.cumsum([0, *map(len, contexts)])
-    totals = rows[["n", "known", *_SAMPLE_COLUMNS]].sum()
-    out = pd.DataFrame({"fragment": rows["fragment"], "to": rows["to"]})
-    out["customers"] = [customers[at[a:b]].astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    out["tables"] = [b"".join(s[at[a:b]].astype("<u8").tobytes() for s in sums)
-                     for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    for c in totals.index:
-        out[c] = int(totals[c])
+    out = rows[["step", "fragment", "to", "own"]].copy()
+    for c in ("customers", "tables"):
+        parts = np.concatenate([np.frombuffer(x, "<u4") for x in rows[c]])
+        if len(parts):
+            sums = np.bincount(at, parts, len(known)).astype("<u8")
+            out[c] = [sums[at[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            out[c] = [b""] * len(rows)
+    for c in _TOTALS:
+        out[c] = int(rows[c].sum())
     return out
 
 
-def _score(fragments: int):
-    def run(rows: pa.Table, received: pa.Table) -> pa.Table:
-        fragment = _Fragment(rows)
-        sums = received.to_pandas().sort_values("to")
-        total = sums.iloc[0]
-        customers = np.concatenate([np.frombuffer(x, "<u8") for x in sums["customers"]]).astype(np.float64)
-        tables = np.concatenate([np.frombuffer(x, "<u8").reshape(SAMPLES, -1) for x in sums["tables"]], axis=1)
-        chance = np.zeros(len(fragment.word))
-        for s, (seated, above) in enumerate(fragment.seatings(fragments)):
-            sent = np.bincount(fragment.word, seated, len(fragment.words))
-            spare = PARENT_STRENGTH + PARENT_DISCOUNT * int(total[f"above{s}"])
-            parent = (sent - PARENT_DISCOUNT * above + spare / (int(total["known"]) + 1)) / (
-                PARENT_STRENGTH + int(total[f"sent{s}"]))
-            back = STRENGTH + DISCOUNT * tables[s].astype(np.float64)
-            chance += (fragment.customers - DISCOUNT * seated + back[fragment.context] * parent[fragment.word]) / (
-                STRENGTH + customers[fragment.context])
-        score = np.log10(chance / SAMPLES)
-        base = np.log10((fragment.word_count + 0.1) / (int(total["n"]) + 0.1 * (int(total["known"]) + 1)))
-        known, ends = (fragment.word_count > 0), fragment.words == END
-
-        sums = list(fragment.per_row(np.ones(len(score)), known[fragment.word], ends[fragment.word], base[fragment.word], score))
-        counted, knew, ended, plain, scored = (np.concatenate(x) for x in zip(*sums, strict=True))
-        unnamed = (fragment.all_of("flags", "u1") & 2) > 0
-        return pa.table({
-            "doc_id": pa.array(fragment.all_of("ids", "<i8"), mask=unnamed),
-            "tag": fragment.all_of("tags", "<u4").astype(np.int64), "n": counted.astype(np.int64),
-            "known": knew.astype(np.int64), "ends": ended.astype(np.int64), "base": plain, "score": scored,
-            "total": np.full(len(unnamed), int(total["n"]))})
-
-    return run
+def _score(rows: pa.Table, received: pa.Table) -> pa.Table:
+    fragment = _Fragment(rows)
+    sums = {step: _Sums(part) for step, part in received.to_pandas().groupby("step")}
+    total = sums[0]
+    chance = np.zeros(len(fragment.word))
+    for sweep in range(SWEEPS - SAMPLES, SWEEPS):
+        after = sums[sweep + 1]
+        seated, sent, above = fragment.sweep(sweep, sums[sweep])
+        parent = after.parent(sent, above)
+        back = STRENGTH + DISCOUNT * after.tables.astype(np.float64)
+        chance += (fragment.customers - DISCOUNT * seated + back[fragment.context] * parent[fragment.word]) / (
+            STRENGTH + total.customers.astype(np.float64)[fragment.context])
+    score = np.log10(chance / SAMPLES)
+    base = np.log10((fragment.word_count + 0.1) / (total.n + 0.1 * (total.known + 1)))
+    known, ends = (fragment.word_count > 0), fragment.words == END
+
+    sums = list(fragment.per_row(np.ones(len(score)), known[fragment.word], ends[fragment.word], base[fragment.word], score))
+    counted, knew, ended, plain, scored = (np.concatenate(x) for x in zip(*sums, strict=True))
+    unnamed = (fragment.all_of("flags", "u1") & 2) > 0
+    return pa.table({
+        "doc_id": pa.array(fragment.all_of("ids", "<i8"), mask=unnamed),
+        "tag": fragment.all_of("tags", "<u4").astype(np.int64), "n": counted.astype(np.int64),
+        "known": knew.astype(np.int64), "ends": ended.astype(np.int64), "base": plain, "score": scored,
+        "total": np.full(len(unnamed), total.n)})
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,15 +353,19 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = on_workers(docs.sparkSession)
     fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # read twice below: for the seatings and for the scores
+    # read by every step below and for the scores: one shuffle, which Spark uses again
     tokens = _blocks(docs, fragments).repartition(fragments, "fragment")
-    totals = ", ".join(f"{c} long" for c in ("n", "known", *_SAMPLE_COLUMNS))
-    sent = tokens.groupBy("fragment").applyInArrow(
-        _send(fragments), f"fragment long, to long, contexts binary, customers binary, tables binary, {totals}")
-    sums = sent.groupBy("to").applyInPandas(
-        _add, f"fragment long, to long, customers binary, tables binary, {totals}")
-    parts = tokens.groupBy("fragment").cogroup(sums.groupBy("fragment")).applyInArrow(
-        _score(fragments), "doc_id long, tag long, n long, known long, ends long, base double, score double, total long")
+    steps = []
+    for step in range(SWEEPS + 1):
+        rows = tokens.groupBy("fragment")
+        if step:
+            rows = rows.cogroup(steps[-1].groupBy("fragment"))
+        steps.append(rows.applyInArrow(_send(step, fragments), _PARTS).groupBy("to").applyInPandas(_add, _SUMS))
+    needed = steps[0]
+    for step in range(max(1, SWEEPS - SAMPLES), SWEEPS + 1):
+        needed = needed.unionByName(steps[step])
+    parts = tokens.groupBy("fragment").cogroup(needed.groupBy("fragment")).applyInArrow(
+        _score, "doc_id long, tag long, n long, known long, ends long, base double, score double, total long")
     summed = parts.groupBy("doc_id", "tag").agg(
         *[F.sum(c).alias(c) for c in ("n", "known", "ends", "base", "score")], F.max("total").alias("total"))
     # equal rows have been added up; each has one end

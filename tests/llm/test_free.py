@@ -88,6 +88,20 @@ def test_language_model(spark):
     assert pitman_yor.score_texts(docs(spark, [])).count() == 0
 
 
+def test_language_model_is_the_same_in_any_number_of_fragments(spark):
+    # pairs that come often, in contexts with one follower and with many
+    rows = [(i, f"{t} " + "only follower " * 40 + f"the w{i} the w{i % 7} of w{i}") for i, t in copies()]
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in (1, 5, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({r["doc_id"]: r["score"] for r in pitman_yor.score_texts(docs(spark, rows)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in found[1:]:
+        assert all(math.isclose(s, other[i], rel_tol=1e-9) for i, s in found[0].items())
+
+
 def test_repeats(spark):
     draw = random.Random(9)
     shared = "".join(draw.choice("abcd é") for _ in range(700))
