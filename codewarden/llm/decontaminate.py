@@ -1,9 +1,10 @@
 """Benchmark decontamination by a positional inverted index.
 
 The training side's index holds a posting (term, document, position) for every occurrence of a term of
-the benchmark; it is written to shared storage once. Every window of an item is looked up through its
-rarest term: that term's postings, moved by its place in the item, give (document, item, offset)
-candidates, and only there are the lists of the item's other terms intersected, at their relative
+the benchmark; it is written to shared storage once. A window of an item that may miss m words is looked up
+through its m + 2 rarest places, terms that occur nowhere counting as the rarest: any match has two of them in
+place. Their postings, moved by their place in the item, give (document, item, offset) candidates, and only where
+two meet are the lists of the item's other terms intersected, at their relative
 positions. Exact windows mark the words they cover; windows with most words in place are proximity
 matches and are reported apart.
 
@@ -46,24 +47,26 @@ def build_index(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return stored(tokens.join(sized(terms), "term").select("doc_id", "__text", "pos", "term"), "postings")
 
 
-def rarest_terms(items: DataFrame, postings: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each window of each item the place of its rarest term: distinct (__item, at, term)."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+def rarest_terms(items: DataFrame, postings: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """The rarest places of the items' windows that have postings: distinct (__item, at, term, need).
+
+    A window of n words that matches with m of them out of place has ``need`` of its m + ``need`` rarest
+    places in place; places of terms that occur nowhere are the rarest.
+    """
+    counts = saved(postings.groupBy("term").agg(F.count("*").alias("n")))
     placed = items.select("__item", F.posexplode(F.transform("__terms", lambda w: F.xxhash64(w))).alias("at", "term"))
-    listed = placed.join(counts, "term").groupBy("__item").agg(
-        F.sort_array(F.collect_list(F.struct("at", "n", "term"))).alias("__have"))
-    listed = listed.join(items.select("__item", F.size("__terms").alias("__size")), "__item")
-    # places of terms that occur nowhere are missing, and a window over such a place cannot match
-    size = F.least(F.lit(window), F.col("__size"))
-    by_place = listed.select("__item", size.alias("__window"), "__size", F.map_from_entries(F.transform(
-        "__have", lambda x: F.struct(x["at"], F.struct(x["n"], x["at"], x["term"])))).alias("__by"))
-    windows = by_place.select("__item", "__window", "__by", F.explode(
-        F.sequence(F.lit(0), F.col("__size") - F.col("__window"))).alias("__from"))
-    terms = F.transform(F.sequence(F.col("__from"), F.col("__from") + F.col("__window") - 1),
-                        lambda p: F.element_at("__by", p))
-    rare = windows.select("__item", terms.alias("__t")).where(~F.exists("__t", lambda x: x.isNull()))
-    rare = rare.select("__item", F.array_min("__t").alias("r"))
-    return saved(rare.select("__item", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct())
+    listed = placed.join(sized(counts), "term", "left").groupBy("__item").agg(F.sort_array(F.collect_list(F.struct(
+        "at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("__have"))
+    size = F.least(F.lit(window), F.size("__have"))
+    windows = listed.select("__item", "__have", size.alias("__window"), F.explode(
+        F.sequence(F.lit(0), F.size("__have") - size)).alias("__from"))
+    missed = F.greatest(F.col("__window") - near, F.lit(0))
+    need = F.least(F.lit(2), F.col("__window") - missed)
+    places = F.array_sort(F.transform(F.slice("__have", F.col("__from") + 1, F.col("__window")), lambda x: F.struct(
+        x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term"))))
+    rare = windows.select("__item", need.alias("need"), F.explode(F.slice(places, F.lit(1), missed + need)).alias("r"))
+    return saved(rare.where("r.n > 0").select(
+        "__item", F.col("r.at").alias("at"), F.col("r.term").alias("term"), "need").distinct())
 
 
 def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -75,9 +78,12 @@ def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     keep = [c for c in docs.columns if c not in OUTPUTS]
     chosen = benchmark_items(items, item_id, item_text)
     postings = build_index(docs, chosen, doc_id, text)
-    anchors = rarest_terms(chosen, postings, window)
-    candidates = postings.join(sized(anchors), "term").select(
-        "doc_id", "__text", "__item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    anchors = rarest_terms(chosen, postings, window, near)
+    # repeated documents have the same postings, and places are counted once
+    met = postings.join(sized(anchors), "term").groupBy(
+        "doc_id", "__text", "__item", (F.col("pos") - F.col("at")).alias("shift"))
+    candidates = met.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("need").alias("need")).where(
+        "need < 2 or low < high").select("doc_id", "__text", "__item", "shift")
     lists = (
         candidates.join(sized(chosen), "__item")
         .groupBy(F.col("doc_id").alias(doc_id), "__text")

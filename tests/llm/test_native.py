@@ -165,3 +165,20 @@ def test_decontamination_cases(spark):
     assert decontaminate.mark(docs(spark, rows), items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.mark(docs(spark, []), items).count() == 0
     assert out[0]["lang"] is None
+
+
+def test_near_items_without_their_rarest_words(spark):
+    item = [f"w{k}" for k in range(10)]
+
+    def changed(*places):
+        return " ".join("other" if k in places else w for k, w in enumerate(item))
+
+    # w0, w1 and w2 occur nowhere else; w9 is the rarest of the others
+    common = [(100 + k, " ".join(reversed(item[3:9]))) for k in range(20)]
+    rows = [(1, changed(0)), (2, changed(0, 9)), (3, changed(0, 1)), (4, changed(0, 1, 2)), (5, changed(3, 9)), *common]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join([*item[:4], "lacking", *item[5:]])),
+                                   (3, " ".join(["none", *item[1:8]])), (4, " ".join(item[1:9] + ["none"]))], "item_id long, text string")
+    got = {r["doc_id"]: (r["near_items"], r["hit_items"]) for r in decontaminate.mark(docs(spark, rows), items).collect()}
+    assert got[1] == (["1", "2", "4"], []) and got[2] == (["1", "4"], [])
+    assert got[3] == (["1"], []) and got[4] == ([], []) and got[5] == (["1"], [])
+    assert not any(a or b for i, (a, b) in got.items() if i >= 100)
