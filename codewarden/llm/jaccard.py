@@ -10,7 +10,7 @@ The global order of n-grams is cut into fragments, and each fragment is handled
    n-gram in common in their rare prefixes, at places that leave enough room (prefix, length and positional
    filter). First every class is compared with the most central member of each n-gram's group, which joins
    large groups of near copies without forming their pairs; then pairs are formed only between
-   different components.
+   different components, or, where links are counted, of all sets.
 4. A pair's overlap is counted fragment by fragment and summed, on 64-bit hashes of whole n-grams.
 
 Sets, links and components stay distributed. Fragments are as many as ``spark.sql.shuffle.partitions``,
@@ -176,9 +176,10 @@ def _linked(a, b, both, percent: int):
     return 100 * both >= percent * (a + b - both)
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, every: bool = False) -> DataFrame:
     """Links (a, b) between class representatives that connect all classes that any links connect.
 
+    With ``every`` all links, each once and with the smaller representative first.
     ``sets`` is the saved result of :func:`document_sets`, without rows that have no id or no n-gram.
     """
     spark = docs.sparkSession
@@ -239,7 +240,6 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
         F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb").where(lengths).distinct()
     compared = saved(overlaps(near))
     first = links(compared)
-    labels = components(first)
     # each set's closest center and their overlap; a center has itself
     itself = compared.select(F.col("b").alias("doc_id"), F.col("b").alias("pivot"), F.col("nb").alias("with_pivot"))
     pivots = saved(compared.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), F.col("both").alias("with_pivot"))
@@ -248,8 +248,11 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
                    .select(F.col("doc_id").alias("node"), "p.pivot", "p.with_pivot"))
 
     # what may still link two components
-    labelled = prefix.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n", "gram", "at", F.coalesce("label", "doc_id").alias("label"))
+    if every:
+        labelled = prefix.select("doc_id", "n", "gram", "at", F.col("doc_id").alias("label"))
+    else:
+        labelled = prefix.join(components(first), F.col("doc_id") == F.col("node"), "left").select(
+            "doc_id", "n", "gram", "at", F.coalesce("label", "doc_id").alias("label"))
     labelled = saved(labelled.join(pivots, F.col("doc_id") == F.col("node"), "left").drop("node"))
     mixed = saved(labelled.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(
         "l < h").select("gram"))
@@ -269,30 +272,44 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
         & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))))
     pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("n_a").alias("na"),
                          F.col("doc_id_b").alias("b"), F.col("n_b").alias("nb")).distinct()
-    return first.union(links(overlaps(pairs)))
+    found = first.union(links(overlaps(pairs)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if every else found
 
 
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id of equal sets), component_id."""
+                 words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id of equal sets), component_id, n_links.
+
+    ``n_links`` is the number of other rows that the row is linked with, copies included. It needs all pairs
+    of a group of near copies; without ``count_links`` it is left out, and they are not formed.
+    """
     on_workers(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     every = saved(document_sets(docs, words))
     sets = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = saved(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
-    labels = components(similar_links(docs, sets, words, percent))
-    named = saved(classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
-        "k1", "k2", "class_id", F.coalesce("label", "class_id").alias("component_id")))
+    classes = saved(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")))
+    found = saved(similar_links(docs, sets, words, percent, every=count_links))
+    labels = components(found)
+    named = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
+        "k1", "k2", "class_id", F.coalesce("label", "class_id").alias("component_id"), "rows")
+    if count_links:
+        sizes = classes.select(F.col("class_id").alias("b"), F.col("rows").alias("others"))
+        others = found.union(found.select("b", "a")).join(sizes, "b").groupBy(F.col("a").alias("one")).agg(
+            F.sum("others").alias("others"))
+        named = named.join(others, F.col("class_id") == F.col("one"), "left").select(
+            "k1", "k2", "class_id", "component_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    named = saved(named)
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     out = every.join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(linkable, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-                      F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      *[F.when(linkable, F.col("n_links")).otherwise(0).alias("n_links")][:count_links])
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest id of each component; rows without id stay, repeated rows go."""
-    found = join_similar(docs, doc_id, text, words, percent)
+    found = join_similar(docs, doc_id, text, words, percent, count_links=False)
     gone = saved(found.where(F.col("doc_id") != F.col("component_id")).select(
         F.col("doc_id").alias("__gone")).distinct())
     kept = docs.where(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")

@@ -70,7 +70,7 @@ def op2_best_fit_packing(spark, d, tokenizer=None):
 @query
 def op3_ngram_jaccard_join(spark, d):
     out = jaccard.join_similar(table(spark, d, "documents"), words=4, percent=85)
-    return out.select("doc_id", "n_shingles", "component_id", "class_id")
+    return out.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 @query

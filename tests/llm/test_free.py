@@ -7,7 +7,7 @@ from collections import Counter
 import public_tokenizers
 
 from codewarden.llm import jaccard, packing, pitman_yor, repeats
-from tests.llm.brute import LOWER, WHITE, held_out, linked
+from tests.llm.brute import LOWER, WHITE, held_out, linked, shingles
 from tests.llm.brute import repeats as plain_repeats
 from tests.llm.test_pipeline import check_packing
 
@@ -69,6 +69,18 @@ def test_jaccard_join(spark):
     assert jaccard.join_similar(docs(spark, [])).count() == 0
 
 
+def test_jaccard_links_are_all_counted(spark):
+    rows = copies()
+    sets = {i: shingles(t, 4) for i, t in rows}
+    want = dict.fromkeys(sets, 0)
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a != b and x and y and 100 * len(x & y) >= 85 * len(x | y):
+                want[a] += 1
+    found = jaccard.join_similar(docs(spark, [*rows, (None, rows[0][1])]), words=4, percent=85).collect()
+    assert {r["doc_id"]: r["n_links"] for r in found} == want | {None: 0}
+
+
 def test_language_model(spark):
     rows = [*copies(), (None, "no id")]
     tokens = {i: [*WHITE.findall((t or "").translate(LOWER)), None] for i, t in rows}
