@@ -2,7 +2,7 @@
 
 A conversation's turns get running token sums; the sums choose spans of whole turns that fit a budget.
 Every window after the first repeats the system turn and as much history as its share of the budget
-allows, and the loss mask covers the assistant turns that are new in the window only, so every target is
+allows and the turn behind it leaves room for, and the loss mask covers the assistant turns that are new in the window only, so every target is
 learned once. A turn that exceeds the budget alone gets a window of its own and is never cut.
 
 The template writes a turn as ``<s>[INST] role [/INST]text</s>``. Control strings inside texts and roles get
@@ -77,7 +77,8 @@ def format_windows(
 
     def history(i):
         """Turns before the i-th that a window starting there repeats."""
-        fits = [((i >= h) & (before(i) - before(i - h) <= history_tokens), h) for h in range(history_turns, 0, -1)]
+        room = F.least(F.lit(history_tokens), budget - F.col("sys_tokens") - F.get("ts", i)["tokens"])
+        fits = [((i >= h) & (before(i) - before(i - h) <= room), h) for h in range(history_turns, 0, -1)]
         out = F.lit(0)
         for condition, h in reversed(fits):
             out = F.when(condition, F.lit(h)).otherwise(out)
@@ -94,7 +95,7 @@ def format_windows(
     first = F.struct(F.array(F.lit(0)).alias("starts"), F.col("sys_tokens").alias("used"))
     numbered = F.transform("ts", lambda t, i: F.struct(t["tokens"].alias("tokens"), i.alias("i")))
     convs = convs.withColumn("starts", F.aggregate(numbered, first, lambda s, t: step(s, t, t["i"]))["starts"])
-    windows = convs.select("conv_id", "sys", "ts", "starts", F.posexplode("starts").alias("window", "start"))
+    windows = convs.select("conv_id", "sys", "sys_tokens", "ts", "starts", F.posexplode("starts").alias("window", "start"))
     windows = windows.withColumn("stop", F.coalesce(F.get("starts", F.col("window") + 1), F.size("ts")))
     windows = windows.withColumn("h", F.when(F.col("window") > 0, history(F.col("start"))).otherwise(0))
     mine = F.concat("sys", F.slice("ts", F.col("start") - F.col("h") + 1, F.col("h") + F.col("stop") - F.col("start")))

@@ -85,6 +85,23 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark):
+    sizes = [450, 60, 400, 120, 500, 30, 508, 90, 380, 20, 470, 110, 497, 495, 100, 600, 10]
+    rows = [(c, k, ("user", "assistant")[k % 2], "x " * sizes[(k + c) % len(sizes)]) for c in range(17) for k in range(1, 30)]
+    rows += [(c, 0, "system", "be brief and kind") for c in range(0, 17, 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    repeated = 0
+    for w in chat.format_windows(df).collect():
+        turns = [t.split(chat.MIDDLE)[1] for t in w["text"].split(chat.CLOSE)[:-1]]
+        tokens = sum(len(t.split()) + chat.MARKERS for t in turns)
+        system = w["conv_id"] % 2 == 0
+        history, new = (w["n_repeated"] - system, w["n_new"]) if w["window"] else (0, w["n_new"] - system)
+        # more than the budget only where a new turn does not fit behind the system turn alone
+        assert tokens <= chat.BUDGET or (new <= 1 and history == 0), (w["conv_id"], w["window"], tokens)
+        repeated += history
+    assert repeated > 0
+
+
 def test_chat_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select(
         "conv_id", "turn", "role", "text").collect()]
