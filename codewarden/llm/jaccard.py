@@ -308,9 +308,16 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each component; rows without id stay, repeated rows go."""
-    found = join_similar(docs, doc_id, text, words, percent, count_links=False)
-    gone = saved(found.where(F.col("doc_id") != F.col("component_id")).select(
-        F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.where(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    """The row with the smallest id of each component; rows without id stay, repeated rows (of equal id and text) go.
+
+    Of several texts under one id, each is judged as a row of its own.
+    """
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn("__node", F.xxhash64(doc_id, text))
+    found = join_similar(named, "__node", text, words, percent, count_links=False)
+    found = saved(found.select(F.col("doc_id").alias("__node"), "component_id").distinct())
+    ids = named.select("__node", F.col(doc_id).alias("id")).distinct()
+    grouped = saved(found.join(ids, "__node").select("component_id", F.struct("id", "__node").alias("row")))
+    chosen = grouped.groupBy("component_id").agg(F.min("row").alias("first"))
+    gone = saved(grouped.join(chosen, "component_id").where("row <> first").select("row.__node"))
+    kept = named.join(gone, "__node", "left_anti").dropDuplicates([doc_id, "__node"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -81,6 +81,15 @@ def test_jaccard_links_are_all_counted(spark):
     assert {r["doc_id"]: r["n_links"] for r in found} == want | {None: 0}
 
 
+def test_keep_one_judges_each_text_of_an_id(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abc"}
+    rows = [(1, text["a"]), (2, text["a"] + " more"), (2, text["b"]), (2, text["b"]), (3, text["b"] + " more"), (3, text["c"]),
+            (3, None), (None, text["a"])]
+    kept = jaccard.keep_one(docs(spark, rows), words=4, percent=85).collect()
+    want = [(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, None), (None, text["a"])]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_language_model(spark):
     rows = [*copies(), (None, "no id")]
     tokens = {i: [*WHITE.findall((t or "").translate(LOWER)), None] for i, t in rows}
