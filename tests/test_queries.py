@@ -1,6 +1,9 @@
 """Every registered query against its SQL at the smallest scale."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -29,3 +32,10 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(driver.oracle_sql())))
 def test_query_runs(spark, name):
     assert driver.queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_entry_without_tokenizers():
+    hidden = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as d; print(len(d.queries()))"
+    out = subprocess.run([sys.executable, "-c", hidden], capture_output=True, text=True, check=True,
+                         cwd=Path(__file__).parents[1])
+    assert int(out.stdout) == len(QUERIES)

@@ -742,7 +742,7 @@ def last_n(n):
 _RECENT = ("recent", f"SELECT * FROM {last_n(20)} WHERE event = 'file_analyzed' ORDER BY ts DESC, file DESC LIMIT 10")
 ORACLE["analysis_log"] = with_(log_ctes(), """SELECT event, file, ts, CASE WHEN file IS NOT NULL THEN total_issues END AS n_violations, insights,
 round(confidence, 6) AS confidence, drift_score, total_issues, severity FROM lg""")
-ORACLE["log_json_roundtrip"] = with_(log_ctes(), "SELECT event, file, ts, total_issues AS n_violations, severity FROM lg WHERE file IS NULL OR length(file) % 7 <> 0")
+ORACLE["log_json_roundtrip"] = with_(log_ctes(), "SELECT event, file, ts, total_issues AS n_violations, severity FROM lg")
 ORACLE["slim_log"] = with_(log_ctes(), """SELECT ts AS timestamp, file, total_issues AS n_violations,
 (CASE WHEN confidence >= 0.6 THEN 1 ELSE 0 END + CASE WHEN drift_score < 80 THEN 1 ELSE 0 END)::INT AS n_insights,
 confidence >= 0.6 AS ai_detected, total_issues > 0 AS has_list FROM lg WHERE event = 'file_analyzed'""")
@@ -832,4 +832,4 @@ UNION ALL SELECT path, 'issue', 0, 'loop-inefficiency', (doc_id % 40 + 1)::INT,
 UNION ALL SELECT path, 'issue', 1, NULL, 2, 'heavy call in ' || source, '', 'Review performance issue: heavy call in ' || source FROM r
 UNION ALL SELECT path, 'suggestion', 0, NULL, NULL, 'cache results', '', NULL FROM r
 UNION ALL SELECT path, 'suggestion', 1, NULL, NULL, 'use a map', 'new Map()', NULL FROM r""")
-ORACLE["reviewable_files"] = f"SELECT doc_id FROM documents WHERE doc_id % 9 <> 0 AND regexp_matches(text, {s(NOT_SPACE)})"
+ORACLE["reviewable_files"] = f"SELECT doc_id FROM documents WHERE regexp_matches(text, {s(NOT_SPACE)})"
