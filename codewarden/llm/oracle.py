@@ -156,3 +156,12 @@ FROM doc_words d LEFT JOIN summed USING (doc_id)"""
 
 
 ORACLE["op10_license_scan"] = _licenses()
+
+ORACLE["op13_exact_dedup"] = r"""
+WITH keyed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+ranked AS (
+  SELECT *, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept
+  FROM keyed WINDOW g AS (PARTITION BY text_sha256))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from codewarden.llm import (
-    chat, decontaminate, jaccard, license_index, line_dedup, packing, pii, pitman_yor, quality_hosts, repeats,
+    chat, decontaminate, digest_merge, jaccard, license_index, line_dedup, packing, pii, pitman_yor, quality_hosts, repeats,
 )
 from codewarden.llm.common import table
 
@@ -117,3 +117,8 @@ def op10_license_scan(spark, d):
                       F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
                       listed(F.col("base")).alias("base_labels"), listed(F.col("licenses")).alias("labels"),
                       best.alias("score"))
+
+
+@query
+def op13_exact_dedup(spark, d):
+    return digest_merge.mark_copies(table(spark, d, "documents"))
