@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from codewarden.llm import (
-    chat, decontaminate, digest_merge, jaccard, license_index, line_dedup, packing, pii, pitman_yor, quality_hosts, repeats,
+    alignment, chat, decontaminate, digest_merge, jaccard, license_index, line_dedup, packing, pii, pitman_yor,
+    quality_hosts, repeats,
 )
 from codewarden.llm.common import table
 
@@ -119,6 +120,13 @@ def op10_license_scan(spark, d):
                       best.alias("score"))
 
 
+@query
+def op11_tokenizer_alignment(spark, d, path_a=None, path_b=None):
+    out = alignment.align(table(spark, d, "documents"), path_a or public_tokenizers.path("byte_bpe_50k.json"),
+                          path_b or public_tokenizers.path("piece_bpe_32k.model"), whole_groups=False)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op13_exact_dedup(spark, d):
     return digest_merge.mark_copies(table(spark, d, "documents"))
