@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codewarden.llm import (
     alignment, chat, decontaminate, digest_merge, jaccard, license_index, line_dedup, packing, pii, pitman_yor,
-    quality_hosts, repeats,
+    quality_hosts, repeats, turn_repair,
 )
 from codewarden.llm.common import table
 
@@ -127,6 +127,12 @@ def op11_tokenizer_alignment(spark, d, path_a=None, path_b=None):
     return out.withColumnRenamed("groups", "groups_sha256")
 
 
+@query
+def op12_conversation_repair(spark, d):
+    turns = table(spark, d, "conversations")
+    return turn_repair.repair_all(turns, turn_repair.damage(turns))
+
+
 @query
 def op13_exact_dedup(spark, d):
     return digest_merge.mark_copies(table(spark, d, "documents"))
