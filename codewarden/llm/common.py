@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -35,12 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; where that is unset and all of Spark runs on this
+    machine, a temporary one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = sc.getCheckpointDir()
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="codewarden-checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)

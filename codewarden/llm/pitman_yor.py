@@ -100,8 +100,9 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
         ids = part.column("doc_id").to_pylist()
         flags = np.array([(2 if i is None else 0) | is_training(i) for i in ids], dtype=np.uint8)
         numbers = np.array([0 if i is None else i for i in ids], dtype="<i8")
-        # tells rows of one id apart: sums of a text's token hashes
-        tags = np.add.reduceat(wordhash.mix(tokens), starts).astype("<u4")
+        # tells rows of one id apart: sums of a text's tokens, each mixed with its place
+        place = np.arange(len(tokens), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+        tags = np.add.reduceat(wordhash.mix(tokens ^ wordhash.mix(place + _U(1))), starts).astype("<u8")
         edge = np.searchsorted(_part(vocabulary[pair_word], fragments), np.arange(fragments + 1))
         first = np.r_[pair, len(key)]
         rows = []
@@ -343,7 +344,7 @@ def _score(rows: pa.Table, received: pa.Table) -> pa.Table:
     unnamed = (fragment.all_of("flags", "u1") & 2) > 0
     return pa.table({
         "doc_id": pa.array(fragment.all_of("ids", "<i8"), mask=unnamed),
-        "tag": fragment.all_of("tags", "<u4").astype(np.int64), "n": counted.astype(np.int64),
+        "tag": fragment.all_of("tags", "<u8").view(np.int64), "n": counted.astype(np.int64),
         "known": knew.astype(np.int64), "ends": ended.astype(np.int64), "base": plain, "score": scored,
         "total": np.full(len(unnamed), total.n)})
 

@@ -138,3 +138,17 @@ def test_repeats(spark):
     same = repeats.remove_repeats(docs(spark, [(1, shared), (1, shared), (None, "q" * 99)])).collect()
     assert sorted(len(r["kept"]) for r in same) == [0, 0, 99]
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_are_scored_apart(spark):
+    training = [i for i in range(60) if not held_out(i)]
+    unseen = [i for i in range(400) if held_out(i)]
+    texts = ["a b c d a b c d", "d c b a d c b a", "b a c d a b c d", "a b c d a b c d"]
+    rows = [(i, "a b c d a b c d e f") for i in training]
+    alone = {r.doc_id: r.score for r in pitman_yor.score_texts(docs(spark, rows + list(zip(unseen, texts)))).collect()}
+    want = sorted(alone[i] for i in unseen[:4])
+    for shared in (None, unseen[0]):
+        got = pitman_yor.score_texts(docs(spark, rows + [(shared, t) for t in texts])).where("held_out").collect()
+        scores = sorted(r.score for r in got if r.doc_id == shared)
+        assert len(scores) == 4 and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(scores, want))
+    assert want[0] < want[-1] - 5
