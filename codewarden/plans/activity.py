@@ -64,18 +64,32 @@ def file_analysis(log: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
-def monitor_status(log: DataFrame) -> DataFrame:
-    """One row: running, last lifecycle event, counts over the last entries."""
+def monitor_status(log: DataFrame, lifecycle: DataFrame | None = None, listed: int = LAST_EVENTS) -> DataFrame:
+    """One row: running, last lifecycle event, counts over the last entries, and the last ``listed`` analyses.
+
+    The latest start or stop counts however far back it lies, if ``lifecycle`` has them; else the last entries
+    are searched. ``recent`` runs from the oldest to the newest.
+    """
     entries = last_entries(log)
     analyzed = "event = 'file_analyzed'"
-    lifecycle = "event IN ('monitor_started', 'monitor_stopped')"
-    return entries.agg(
-        F.expr(f"coalesce(max_by(event, ts) FILTER (WHERE {lifecycle}) = 'monitor_started', false)")
-        .alias("is_running"),
-        F.expr(f"max(ts) FILTER (WHERE {lifecycle})").alias("last_update"),
+    changed = "event IN ('monitor_started', 'monitor_stopped', 'monitor_failed')"
+    found = (entries if lifecycle is None else lifecycle).where(changed).agg(
+        F.struct(F.max_by("event", "ts").alias("event"), F.max("ts").alias("ts")).alias("s")).scalar()
+    # at most LAST_LINES structs
+    lines = F.expr(
+        "array_sort(collect_list(struct(ts, file, coalesce(summary.totalIssues, 0) AS total_issues, "
+        "coalesce(summary.severity, 'info') AS severity, coalesce(summary.hasInsights, false) AS has_insights)) "
+        f"FILTER (WHERE {analyzed}))")
+    out = entries.agg(
         F.count_if(F.expr(analyzed)).alias("files_analyzed"),
         F.expr(f"coalesce(sum(summary.totalIssues) FILTER (WHERE {analyzed}), 0)").alias("total_violations"),
         F.count_if(F.expr(f"{analyzed} AND coalesce(ai.isLikelyAI, false)")).alias("ai_code_detected"),
+        lines.alias("lines"),
+    ).withColumn("life", found)
+    return out.select(
+        F.coalesce(F.col("life.event") == "monitor_started", F.lit(False)).alias("is_running"),
+        F.col("life.ts").alias("last_update"), "files_analyzed", "total_violations", "ai_code_detected",
+        F.expr(f"slice(lines, greatest(size(lines) - {listed - 1}, 1), {listed})").alias("recent"),
     )
 
 
@@ -141,8 +155,13 @@ def violation_trend(log: DataFrame) -> DataFrame:
         .selectExpr("to_date(ts) AS date", f"explode(concat(violations, {_NO_ENTRIES})) AS v")
         .groupBy("date", F.col("v.severity").alias("severity")).agg(F.count("*").alias("n"))
     )
+    return trend_of_days(daily)
+
+
+def trend_of_days(daily: DataFrame) -> DataFrame:
+    """The same from counts per day and severity, as the log's daily summary has them."""
     by_day = Window.partitionBy("severity").orderBy("date")
-    return daily.select(
+    return daily.where("severity IS NOT NULL").select(
         "date", "severity", "n",
         (F.col("n") - F.lag("n").over(by_day)).alias("change"),
         F.avg("n").over(by_day.rowsBetween(-6, 0)).alias("moving_avg"),

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from codewarden.functions import text
 from codewarden.functions.sql import case, keep, q
 from codewarden.schemas import ANALYSIS_LOG
+from codewarden.sources import storage
 
 # Default retention, layout of the text logs and their severity markers.
 DAYS_KEPT = 7
@@ -74,11 +75,8 @@ def drop_expired(spark: SparkSession, path: str, today, days: int = DAYS_KEPT, f
     cutoff = F.date_sub(F.lit(today).cast("date"), days)
     # one value per expired folder: bounded by the days logged, not by the rows
     expired = [r["date"] for r in log.where(F.col("date") < cutoff).select("date").distinct().collect()]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for day in expired:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
-        folder.getFileSystem(conf).delete(folder, True)
+        storage.delete(spark, f"{path}/date={day}")
     return read_log(spark, path, fmt)
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from codewarden.operators import learn
 from codewarden.plans import analysis
 from codewarden.schemas import ANALYSIS_LOG
-from codewarden.sources.logs import with_date
+from codewarden.sources.analysis_log import AnalysisLog
+from codewarden.sources.file_table import FileTable
 
 
 def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
@@ -23,8 +26,10 @@ def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
     return root.rstrip("/")
 
 
-def changed_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Files named in a batch of sessions; Spark broadcasts the paths if they turn out to be few."""
+def changed_files(files: DataFrame | FileTable, sessions: DataFrame) -> DataFrame:
+    """Files named in a batch of sessions. A file table opens their buckets only; a plain table is scanned."""
+    if isinstance(files, FileTable):
+        return files.select(sessions)
     return files.join(sessions.select("path").distinct(), "path", "left_semi")
 
 
@@ -42,9 +47,42 @@ def analyze_sessions(
     return analysis.as_events(rows)
 
 
+class Lifecycle(StreamingQueryListener):
+    """Writes down when the monitor of a log starts, stops and fails."""
+
+    def __init__(self, log: AnalysisLog, spark: SparkSession):
+        self.log, self.spark = log, spark
+        self.run_id: str | None = None
+
+    def _add(self, event: str, detail: str | None) -> None:
+        self.log.add_lifecycle(self.spark, event, dt.datetime.now(dt.timezone.utc), detail)
+
+    def onQueryStarted(self, event) -> None:
+        # called while the query is being started, whose name says which log it writes
+        if event.name == query_name(self.log):
+            self.run_id = str(event.runId)
+            self._add("monitor_started", self.run_id)
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run_id:
+            self._add("monitor_failed" if event.exception else "monitor_stopped", event.exception or self.run_id)
+            self.run_id = None
+            self.spark.streams.removeListener(self)
+
+
+def query_name(log: AnalysisLog) -> str:
+    return f"monitor of {log.root}"
+
+
 def start_monitor(
     sessions: DataFrame,
-    files: Callable[[SparkSession], DataFrame],
+    files: FileTable | Callable[[SparkSession], DataFrame],
     log_path: str,
     checkpoint: str,
     rules: Callable[[SparkSession], DataFrame] | None = None,
@@ -53,42 +91,42 @@ def start_monitor(
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """Analyse each finished burst and append it to the log.
+    """Analyse each finished burst and append it to the log (:class:`AnalysisLog`), with starts and stops.
 
-    Files, rules, exceptions and profile are callables, read anew per batch so that edits take effect.
-    A batch replaces its own ``batch`` folder, so a batch repeated after a failure leaves no duplicates.
+    A file table is read in the buckets of the changed files; ``files`` may also be a callable, whose table
+    is scanned per batch. Rules, exceptions and profile are callables, read anew per batch so that edits take
+    effect. A batch replaces its own entries and summary, so one repeated after a failure leaves no duplicates.
     """
 
-    bursts = f"{checkpoint}/bursts"
+    bursts, log, spark = f"{checkpoint}/bursts", AnalysisLog(log_path), sessions.sparkSession
 
     def analyze_batch(batch: DataFrame, batch_id: int) -> None:
-        # the bursts are used twice below; written down, they are read back instead of recomputed
+        # the bursts are used several times below; written down, they are read back instead of recomputed
         batch.write.mode("overwrite").parquet(f"{bursts}/batch={batch_id}")
         spark = batch.sparkSession
         finished = spark.read.schema(sessions.schema).parquet(f"{bursts}/batch={batch_id}")
+        source = files if isinstance(files, FileTable) else files(spark)
         events = analyze_sessions(
-            finished, changed_files(files(spark), finished),
+            finished, changed_files(source, finished),
             rules(spark) if rules else None, exceptions(spark) if exceptions else None,
             learned(spark) if learned else None, **options,
         )
-        with_date(events).write.mode("overwrite").partitionBy("date").parquet(
-            f"{log_path}/batch={batch_id}"
-        )
+        log.write_batch(events, batch_id)
 
+    spark.streams.addListener(Lifecycle(log, spark))
     writer = sessions.writeStream.foreachBatch(analyze_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    return writer.queryName(query_name(log)).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def read_monitor_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """The log written by :func:`start_monitor`."""
-    schema = T.StructType.fromDDL(ANALYSIS_LOG).add("batch", T.LongType()).add("date", T.DateType())
-    return spark.read.schema(schema).parquet(log_path)
+    """The entries written by :func:`start_monitor`."""
+    return AnalysisLog(log_path).entries(spark)
 
 
 def with_lifecycle(log: DataFrame) -> DataFrame:
     """Add the monitor's own events: started with the first entry, stopped a second after the last.
 
-    For logs rebuilt in batch; a live monitor appends the rows of :func:`lifecycle_event` itself.
+    For logs rebuilt in batch; a live monitor's starts and stops are written by :class:`Lifecycle`.
     """
     bounds = log.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).where("first IS NOT NULL")
     rows = bounds.selectExpr(

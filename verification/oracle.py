@@ -763,6 +763,10 @@ ORACLE["monitor_status"] = with_([*log_ctes(), ("l20", f"SELECT * FROM {last_n(2
 SELECT coalesce((SELECT event FROM l20 WHERE event <> 'file_analyzed' ORDER BY ts DESC LIMIT 1) = 'monitor_started', false) AS is_running,
 (SELECT max(ts) FROM l20 WHERE event <> 'file_analyzed') AS last_update, count(*) FILTER (WHERE event = 'file_analyzed') AS files_analyzed,
 coalesce(sum(total_issues), 0)::BIGINT AS total_violations, count(*) FILTER (WHERE confidence >= 0.6) AS ai_code_detected FROM l20""")
+ORACLE["monitor_status_list"] = with_([*log_ctes(), ("l20", f"SELECT * FROM {last_n(20)}"), ("newest", """
+SELECT * FROM l20 WHERE event = 'file_analyzed' ORDER BY ts DESC, file DESC LIMIT 10""")], """
+SELECT coalesce((SELECT event FROM l20 WHERE event <> 'file_analyzed' ORDER BY ts DESC LIMIT 1) = 'monitor_started', false) AS is_running,
+(row_number() OVER (ORDER BY ts, file) - 1)::INT AS pos, ts, file, total_issues, severity, insights <> '' AS has_insights FROM newest""")
 _STATS = """SELECT count(*) FILTER (WHERE event = 'file_analyzed') AS changes_detected, coalesce(sum(total_issues), 0)::BIGINT AS violations_found,
 count(*) FILTER (WHERE confidence >= 0.6) AS ai_code_detected,
 (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts) FILTER (WHERE event = 'monitor_started'))))::BIGINT AS uptime_seconds FROM lg"""

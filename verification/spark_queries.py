@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,16 @@ from codewarden.functions.sql import q
 from codewarden.operators import ai_audit, ai_detect, drift, learn, org_rules, review
 from codewarden.plans import activity, analysis
 from codewarden.schemas import explode_violations
-from codewarden.sources import code_files, corpus, logs
+from codewarden.sources import code_files, corpus, logs, profile, storage
 from codewarden.sources import rules as rule_source
+from codewarden.sources.analysis_log import AnalysisLog
+from codewarden.sources.file_table import FileTable
 from codewarden.streaming import changes, monitor
 
 AS_OF = "2024-06-01"
 GAP_SECONDS = 1800
+#: Buckets of the monitor's file table: some 64 MB each at the sizes tested here.
+FILE_BUCKETS = 8
 QUERIES = {}
 
 
@@ -604,11 +609,44 @@ def debounced(spark, d):
     return changes.sessions(corpus.changes(spark, d), GAP_SECONDS)
 
 
-def log(spark, d):
+def _events(spark, d):
     bursts = debounced(spark, d)
     source = monitor.changed_files(files(spark, d, "watch"), bursts)
-    events = monitor.analyze_sessions(bursts, source, rules(spark), exceptions(spark, d), learned(spark, d))
-    return monitor.with_lifecycle(events)
+    return monitor.analyze_sessions(bursts, source, rules(spark), exceptions(spark, d), learned(spark, d))
+
+
+def log(spark, d):
+    return monitor.with_lifecycle(_events(spark, d))
+
+
+_WRITTEN: dict[tuple[str, str], AnalysisLog] = {}
+
+
+def written_log(spark, d) -> AnalysisLog:
+    """The log of the given tables as a monitor keeps it: written once per application, read by the queries below."""
+    key = spark.sparkContext.applicationId, d
+    log = _WRITTEN.get(key)
+    if log is None or not storage.exists(spark, f"{log.root}/summary/batch=0"):
+        log = AnalysisLog(f"{_scratch(spark)}/log")
+        log.write_batch(_events(spark, d), 0)
+        times = log.daily(spark).agg(F.min("first_ts"), F.max("last_ts")).first()
+        if times[0] is not None:
+            log.add_lifecycle(spark, "monitor_started", times[0])
+            log.add_lifecycle(spark, "monitor_stopped", times[1] + timedelta(seconds=1))
+        _WRITTEN[key] = log
+    return log
+
+
+def recent_log(spark, d):
+    return written_log(spark, d).recent(spark, activity.LAST_LINES)
+
+
+def saved_profile(spark, d):
+    """The learned profile, saved beside the written log and loaded again."""
+    path = f"{written_log(spark, d).root}/profile"
+    if not storage.exists(spark, path):
+        profile.save_profile(learned(spark, d), path)
+    return profile.load_profile(spark, path)
 
 
 @query
@@ -691,46 +729,55 @@ def log_retention(spark, d):
 
 @query
 def recent_analysis(spark, d):
-    return activity.recent_analysis(log(spark, d)).selectExpr("file", "ts", "summary.totalIssues AS total_issues")
+    return activity.recent_analysis(recent_log(spark, d)).selectExpr("file", "ts", "summary.totalIssues AS total_issues")
 
 
 @query
 def recent_activity(spark, d):
-    return activity.recent_activity(log(spark, d)).selectExpr(
+    return activity.recent_activity(recent_log(spark, d)).selectExpr(
         "file", "ts", "summary.totalIssues AS total_issues", "summary.severity AS severity"
     )
 
 
 @query
 def recent_violations(spark, d):
-    return activity.recent_violations(log(spark, d), limit=10, severity="high").select(
+    return activity.recent_violations(recent_log(spark, d), limit=10, severity="high").select(
         "file", "ts", "rule", "line", "message", "total"
     )
 
 
 @query
 def file_analysis(spark, d):
-    return activity.file_analysis(log(spark, d), files(spark, d, "watch").select("path"))
+    return activity.file_analysis(recent_log(spark, d), files(spark, d, "watch").select("path"))
 
 
 @query
 def monitor_status(spark, d):
-    return activity.monitor_status(log(spark, d))
+    status = activity.monitor_status(recent_log(spark, d), written_log(spark, d).lifecycle(spark))
+    return status.drop("recent")
+
+
+@query
+def monitor_status_list(spark, d):
+    """The status' last ten analyses, oldest first."""
+    status = activity.monitor_status(recent_log(spark, d), written_log(spark, d).lifecycle(spark))
+    return status.selectExpr("is_running", "posexplode(recent) AS (pos, r)").selectExpr(
+        "is_running", "pos", "r.ts", "r.file", "r.total_issues", "r.severity", "r.has_insights")
 
 
 @query
 def monitor_stats(spark, d):
-    return activity.monitor_stats(log(spark, d))
+    return written_log(spark, d).stats(spark)
 
 
 @query
 def summary_report(spark, d):
-    return logs.summary_report(activity.monitor_stats(log(spark, d)))
+    return logs.summary_report(written_log(spark, d).stats(spark))
 
 
 @query
 def org_context(spark, d):
-    return activity.organization_context(log(spark, d), learned(spark, d), rules(spark)).selectExpr(
+    return activity.organization_context(recent_log(spark, d), saved_profile(spark, d), rules(spark)).selectExpr(
         "confidence", "variables", "functions", "import_style", "import_extensions",
         "array_join(categories, ',') AS categories", "array_join(recent_activity, ',') AS recent_activity",
     )
@@ -759,7 +806,7 @@ def snippet_check(spark, d):
 
 @query
 def violation_trend(spark, d):
-    return activity.violation_trend(log(spark, d)).selectExpr(
+    return activity.trend_of_days(written_log(spark, d).daily(spark)).selectExpr(
         "date", "severity", "n", "change", "round(moving_avg, 6) AS moving_avg"
     )
 
@@ -816,9 +863,10 @@ def stream_monitor(spark, d):
     """The whole monitor on the change stream: debounce, analyse changed files, append to the log."""
     out = _scratch(spark)
     learned(spark, d).write.parquet(f"{out}/profile")
+    table = FileTable.create(files(spark, d, "watch"), f"{out}/files", FILE_BUCKETS)
     run = monitor.start_monitor(
         changes.stream_sessions(changes.with_end(_change_stream(spark, d), f"{out}/end"), GAP_SECONDS, "0 seconds"),
-        lambda s: files(s, d, "watch"), f"{out}/log", f"{out}/checkpoint",
+        table, f"{out}/log", f"{out}/checkpoint",
         rules=rules, learned=lambda s: s.read.parquet(f"{out}/profile"),
         trigger={"availableNow": True},
     )
