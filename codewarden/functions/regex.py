@@ -52,6 +52,24 @@ def matches(text: str, pattern: str) -> str:
     return f"({text} RLIKE {q(pattern)})"
 
 
+def called(key: str, then: str = "") -> str:
+    """``key\\s*\\([^)]*\\)`` followed by ``then``, found in one pass over the text.
+
+    A search from every ``key(`` walks to the same closing parenthesis again and again. Here the stretch since
+    the parenthesis before is walked once, and of the ``key(`` in it the first one stands for all.
+    """
+    return rf"(?<![^)])(?>[^)]*?{key}\s*\()[^)]*+\){then}"
+
+
+def in_order(text: str, parts) -> str:
+    """Whether matches of all patterns stand behind each other: the first of the first, then on from its end."""
+    first, *rest = parts
+    if not rest:
+        return matches(text, js(first))
+    behind = f"get(split({text}, {q(js(first))}, 2), 1)"
+    return let(behind, lambda b: f"({b} IS NOT NULL AND {in_order(b, rest)})")
+
+
 def upto_last(text: str, literal: str, extra: int = 0) -> str:
     """Text up to and including the last ``literal`` (plus ``extra`` characters); '' without one."""
     rest = f"length(substring_index({text}, {q(literal)}, -1))"
@@ -114,19 +132,23 @@ def _positions(chunks: str) -> str:
 def all_hits(text: str, specs) -> str:
     """Matches of several patterns with 1-based ``line`` and ``col``: array<array<struct<text,line,col>>>.
 
-    Each spec is (pattern, gate, scope). ``gate`` is a cheap condition without which the pattern cannot
+    Each spec is (pattern, gate, scope, whole). ``gate`` is a cheap condition without which the pattern cannot
     match, '' for none. ``scope`` is a prefix of ``text`` known to hold every match
     (see the ``upto_*`` cuts); it keeps lazy patterns linear when their closing part is missing.
+    ``whole``, if given, is the pattern that counts; ``pattern`` then also matches where it fails, up to where it
+    can be tried again, so that no stretch is walked twice.
 
     The position arithmetic is one expression applied to all patterns, which keeps plans small.
     """
 
-    def find(pattern, gate, scope):
+    def find(pattern, gate, scope, whole=None):
+        good = lambda found: "cast(NULL AS array<boolean>)" if whole is None else transform(found, lambda t: matches(t, _all(whole)))
+
         def split(body):
             return let(
                 f"regexp_extract_all({body}, {q(pattern)}, 0)",
                 lambda found: f"if(size({found}) > 0, "
-                f"{struct(texts=found, pieces=f'split({body}, {q(pattern)}, -1)')}, NULL)",
+                f"{struct(texts=found, pieces=f'split({body}, {q(pattern)}, -1)', good=good(found))}, NULL)",
             )
 
         out = split(text) if scope is None else let(scope, split)
@@ -140,20 +162,28 @@ def all_hits(text: str, specs) -> str:
         )
         placed = struct(text="t", line="p.nl + 1", col="p.tail + 1")
         hits = f"zip_with({texts}, {_positions(chunks)}, (t, p) -> {placed})"
-        return f"if({found} IS NULL, {NO_HITS}, {hits})"
+        kept = f"filter({hits}, (h, i) -> {found}.good IS NULL OR get({found}.good, i))"
+        return f"if({found} IS NULL, {NO_HITS}, {kept})"
 
     found = [find(*spec) for spec in specs]
     return transform(f"array({', '.join(found)})", place)
 
 
-def hits(text: str, pattern: str, gate: str = "", scope: str | None = None) -> str:
+def _all(pattern: str) -> str:
+    return rf"\A(?:{pattern})\z"
+
+
+def hits(text: str, pattern: str, gate: str = "", scope: str | None = None, whole: str | None = None) -> str:
     """All matches of one pattern: array<struct<text,line,col>>."""
-    return f"get({all_hits(text, [(pattern, gate, scope)])}, 0)"
+    return f"get({all_hits(text, [(pattern, gate, scope, whole)])}, 0)"
 
 
-def count(text: str, pattern: str, gate: str = "", scope: str | None = None) -> str:
-    """Number of matches, without their positions."""
-    n = f"regexp_count({text if scope is None else scope}, {q(pattern)})"
+def count(text: str, pattern: str, gate: str = "", scope: str | None = None, whole: str | None = None) -> str:
+    """Number of matches, without their positions; see :func:`all_hits`."""
+    body = text if scope is None else scope
+    n = f"regexp_count({body}, {q(pattern)})"
+    if whole is not None:
+        n = f"size(filter(regexp_extract_all({body}, {q(pattern)}, 0), t -> {matches('t', _all(whole))}))"
     return f"if({gate}, {n}, 0)" if gate else n
 
 

@@ -16,7 +16,7 @@ from codewarden.functions import regex as rx
 from codewarden.functions.regex import js
 from codewarden.functions.sql import keep, let, q, struct, transform
 from codewarden.operators import ai_detect
-from codewarden.operators.ai_detect import Pattern
+from codewarden.operators.ai_detect import LAZY, LINE, Pattern
 from codewarden.schemas import VIOLATION, VIOLATION_FIELDS, Sql, violation
 
 # Rules, patterns, radii, messages and suggestions of the audit.
@@ -47,12 +47,20 @@ COMPLEX = [
     r"\.map\([\s\S]*?\.filter\([\s\S]*?\.reduce",
     r"try\s*\{[\s\S]*?catch[\s\S]*?finally",
 ]
+#: The same as what has to stand in order, each searched in one pass.
+COMPLEX_PARTS = [
+    [rx.called("for", r"\s*\{"), rx.called("for")],
+    [rx.called("if", r"\s*\{"), rx.called("if", r"\s*\{"), "if"],
+    [r"\.map\(", r"\.filter\(", r"\.reduce"],
+    [r"try\s*\{", "catch", "finally"],
+]
 EXPLAINED = r"//\s*(?:This|The|Explanation|Logic|Algorithm|Purpose|Why)"
 PLACEHOLDER_PATTERNS = [
     Pattern(r"//\s*TODO:", True, ("todo:",)),
     Pattern(r"//\s*FIXME:", True, ("fixme:",)),
-    Pattern(r"//\s*Add your.*here", True, ("add your", "here")),
-    Pattern(r"//\s*Implementation.*here", True, ("implementation", "here")),
+    Pattern(r"//\s*Add your.*here", True, ("add your", "here"), steps=LINE.format(r"//\s*Add your", "here", "//")),
+    Pattern(r"//\s*Implementation.*here", True, ("implementation", "here"),
+            steps=LINE.format(r"//\s*Implementation", "here", "//")),
     Pattern(r"//\s*Your code here", True, ("your code here",)),
     Pattern(r"/\*\s*TODO[\s\S]*?\*/", True, ("/*", "todo"), tail="*/"),
 ]
@@ -66,14 +74,21 @@ RISKS = [
     (Pattern(r"password", True, ("password",)), "Password handling"),
 ]
 SLOW = [
-    (Pattern(r"for\s*\([^)]*\)\s*\{[\s\S]*?for\s*\([^)]*\)", requires=("for",)), "Nested loops"),
-    (Pattern(r"\.forEach\s*\([\s\S]*?\.forEach", requires=(".forEach",)), "Nested forEach operations"),
-    (Pattern(r"setTimeout\s*\([\s\S]*?setTimeout", requires=("setTimeout",)), "Multiple setTimeout calls"),
-    (Pattern(r"new\s+RegExp\s*\(.*\)", requires=("RegExp",)), "RegExp construction in loop"),
+    # up to the last parenthesis, so that every inner loop's header has one
+    (Pattern(r"for\s*\([^)]*\)\s*\{[\s\S]*?for\s*\([^)]*\)", requires=("for",), tail=")", steps=(
+        r"for\s*\([^)]*+(?:\)\s*\{(?:[\s\S]*?for\s*\([^)]*\)|[\s\S]*+))?")), "Nested loops"),
+    (Pattern(r"\.forEach\s*\([\s\S]*?\.forEach", requires=(".forEach",), steps=LAZY.format(
+        r"\.forEach\s*\(", r"\.forEach")), "Nested forEach operations"),
+    (Pattern(r"setTimeout\s*\([\s\S]*?setTimeout", requires=("setTimeout",), steps=LAZY.format(
+        r"setTimeout\s*\(", "setTimeout")), "Multiple setTimeout calls"),
+    (Pattern(r"new\s+RegExp\s*\(.*\)", requires=("RegExp",), steps=LINE.format(
+        r"new\s+RegExp\s*\(", r"\)", "new")), "RegExp construction in loop"),
     (Pattern(r"JSON\.parse\s*\([\s\S]*?JSON\.stringify", requires=("JSON.parse", "JSON.stringify"),
              tail="JSON.stringify"), "Inefficient JSON operations"),
 ]
 HAS_FUNCTION = r"function|const.*=.*=>"
+#: The same with one search per line.
+FUNCTION_ON_LINE = r"function|(?<!.)(?>.*?const)(?>.*?=).*?=>"
 HANDLES_ERRORS = r"(try\s*\{|catch\s*\(|throw\s+new\s+Error)"
 SUGGEST = {
     HUMAN_COMMENTS: 'Add comments like "// Reviewed by: [Name]" or "// @human-verified" to indicate '
@@ -169,7 +184,7 @@ def _windows(rule: str, applies, condition: str, v) -> str:
 
 
 def _complexity() -> str:
-    is_complex = lambda w: "(" + " OR ".join(rx.matches(w, js(p)) for p in COMPLEX) + ")"
+    is_complex = lambda w: "(" + " OR ".join(rx.in_order(w, parts) for parts in COMPLEX_PARTS) + ")"
     return _windows(
         COMPLEXITY_COMMENTS, is_complex,
         lambda w: f"{is_complex(w)} AND NOT {rx.matches(w, js(EXPLAINED))}",
@@ -178,7 +193,7 @@ def _complexity() -> str:
 
 
 def _error_handling() -> str:
-    has_function = lambda w: rx.matches(w, js(HAS_FUNCTION))
+    has_function = lambda w: rx.matches(w, js(FUNCTION_ON_LINE))
     return _windows(
         ERROR_HANDLING, has_function,
         lambda w: f"{has_function(w)} AND NOT {rx.matches(w, js(HANDLES_ERRORS))}",

@@ -39,7 +39,11 @@ EVIDENCE_DEFAULT = 100
 class Pattern:
     """``requires``: literals the match must contain, in lower case where case is ignored;
     ``tail``: the literal its lazy part runs to;
-    ``first``: the letters it can start with."""
+    ``first``: the letters it can start with;
+    ``steps``: the pattern with what to skip where it fails. Behind a head without its tail no later head
+    up to the end (of the line) has one either, so all of that is skipped and not walked again; a line is skipped
+    only up to the last place where a head that ends in another line can begin;
+    ``check``: tells what ``steps`` has found from what it has skipped, if the pattern itself is slow at that."""
 
     regex: str
     ignore_case: bool = False
@@ -48,6 +52,8 @@ class Pattern:
     extra: int = 0
     closes: bool = False
     first: str = ""
+    steps: str = ""
+    check: str = ""
 
     @property
     def rx(self) -> str:
@@ -59,7 +65,10 @@ class Pattern:
         return rx.contains_all(lowered if self.ignore_case else "content", self.requires)
 
     def spec(self, lowered: str) -> tuple:
-        return (self.rx, self.gate(lowered), self.scope("content"))
+        scope = self.scope("content")
+        if self.steps:
+            return (js(self.steps, self.ignore_case), self.gate(lowered), scope, js(self.check, self.ignore_case) if self.check else self.rx)
+        return (self.rx, self.gate(lowered), scope)
 
     def scope(self, content: str) -> str | None:
         if self.tail is None:
@@ -68,6 +77,10 @@ class Pattern:
             content, self.tail, self.extra)
 
 
+# Steps of a head and the first tail behind it, and of a head and the last tail on its line ({2}: how a head begins).
+LAZY = r"{0}(?:[\s\S]*?{1}|[\s\S]*+)"
+LINE = r"{0}(?:.*{1}|.*(?={2})|.*)"
+
 # The detection patterns.
 COMMENTS = [
     Pattern(r"/\*\*\s*\n\s*\*\s*.*\s*\n\s*\*\s*@param.*\s*\n\s*\*\s*@returns.*\s*\n\s*\*/",
@@ -87,7 +100,8 @@ NAMING = [
 ]
 STRUCTURE = [
     Pattern(r"try\s*\{[\s\S]*?\}\s*catch\s*\(\s*error?\s*\)\s*\{\s*console\.(log|error)",
-            requires=("try", "catch", "console."), tail="console.", extra=5),
+            requires=("try", "catch", "console."), steps=LAZY.format(
+                r"try\s*\{", r"\}\s*catch\s*\(\s*error?\s*\)\s*\{\s*console\.(?:log|error)")),
     Pattern(r"(?:let|const|var)\s+(result|data|response|output|input|temp|item|element|value|obj|arr)\s*=",
             first="lcv"),
     Pattern(r"if\s*\(\s*!\s*\w+\s*\)\s*\{[\s\S]*?return", requires=("if", "return"), tail="return"),
@@ -97,15 +111,19 @@ STRUCTURE = [
 IMPORTS = [
     Pattern(r"import\s+\*\s+as\s+\w+\s+from", requires=("import", "from")),
     Pattern(r"""import\s+\{[\s\S]*?\}\s+from\s+['"`][./]*utils""", requires=("import", "utils"),
-            tail="utils"),
-    Pattern(r"""import.*path.*from\s+['"`]path['"`]""", requires=("import", "path", "from")),
+            steps=LAZY.format(r"import\s+\{", r"""\}\s+from\s+['"`][./]*utils""")),
+    Pattern(r"""import.*path.*from\s+['"`]path['"`]""", requires=("import", "path", "from"),
+            steps=r"""import(?:(?>.*?path).*from\s+['"`]path['"`]|.*)""",
+            check=r"""import(?>.*?path).*from\s+['"`]path['"`]"""),
 ]
 ERROR_HANDLING = [
     Pattern(r"catch\s*\(\s*(?:error?|err?|e)\s*\)\s*\{\s*throw\s+new\s+Error",
             requires=("catch", "throw")),
     Pattern(r"catch\s*\(\s*(?:error?|err?|e)\s*\)\s*\{\s*console\.error.*return",
-            requires=("catch", "console.error", "return")),
-    Pattern(r"if\s*\(\s*!.*\)\s*throw\s+new\s+Error\(", requires=("if", "throw", "Error(")),
+            requires=("catch", "console.error", "return"), steps=LINE.format(
+                r"catch\s*\(\s*(?:error?|err?|e)\s*\)\s*\{\s*console\.error", "return", "catch")),
+    Pattern(r"if\s*\(\s*!.*\)\s*throw\s+new\s+Error\(", requires=("if", "throw", "Error("),
+            steps=LINE.format(r"if\s*\(\s*!", r"\)\s*throw\s+new\s+Error\(", "if")),
 ]
 DOCUMENTATION = [
     Pattern(r"/\*\*[\s\S]*?@example[\s\S]*?\*/", requires=("/**", "@example"), tail="@example",
@@ -117,8 +135,9 @@ DOCUMENTATION = [
 ]
 SIGNATURES = [
     Pattern(r"function\s+\w+\s*\([^)]*\)\s*\{[\s\S]*?//\s*Implementation",
-            requires=("function", "Implementation"), tail="Implementation"),
-    Pattern(r"//\s*Add your.*here", requires=("Add your",)),
+            requires=("function", "Implementation"),
+            steps=r"function\s+\w+\s*\([^)]*+(?:\)\s*\{(?:[\s\S]*?//\s*Implementation|[\s\S]*+))?"),
+    Pattern(r"//\s*Add your.*here", requires=("Add your",), steps=LINE.format(r"//\s*Add your", "here", "//")),
     Pattern(r"//\s*Your code here", requires=("Your code here",)),
     Pattern(r"//\s*Implementation goes here", requires=("Implementation goes here",)),
     Pattern(r"(?:let|const|var)\s+(config|options|settings|params|args)\s*=\s*\{", first="lcv"),
