@@ -727,6 +727,7 @@ SESSIONS = [
 ]
 ORACLE["debounce_sessions"] = with_(SESSIONS, "SELECT path, first_ts, last_ts, session_end, n, last_event FROM sess")
 ORACLE["stream_debounce"] = with_(SESSIONS, "SELECT path, first_ts, last_ts, session_end, n, last_event FROM sess")
+ORACLE["stream_debounce_live"] = ORACLE["stream_debounce"]
 
 
 def log_ctes():

@@ -19,7 +19,7 @@ from codewarden.sources import code_files, corpus, logs, profile, storage
 from codewarden.sources import rules as rule_source
 from codewarden.sources.analysis_log import AnalysisLog
 from codewarden.sources.file_table import FileTable
-from codewarden.streaming import changes, monitor
+from codewarden.streaming import changes, debounce, monitor
 
 AS_OF = "2024-06-01"
 GAP_SECONDS = 1800
@@ -841,10 +841,17 @@ def _scratch(spark: SparkSession) -> str:
     return f"{monitor.checkpoint_root(spark, default)}/{uuid.uuid4().hex}"
 
 
+def _as_changes(raw: DataFrame) -> DataFrame:
+    return raw.selectExpr(f"{corpus.file_path('user_id')} AS path", "cast(ts AS timestamp) AS ts", "event_type")
+
+
+def _read_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _as_changes(corpus.table(spark, d, "events"))
+
+
 def _change_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = corpus.table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return raw.selectExpr(f"{corpus.file_path('user_id')} AS path", "cast(ts AS timestamp) AS ts", "event_type")
+    return _as_changes(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
 @query
@@ -858,6 +865,26 @@ def stream_debounce(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{out}/sessions")
 
 
+@query
+def stream_debounce_live(spark, d):
+    """The same bursts from a stream that goes on, closed by timers once no change comes any more."""
+    out = _scratch(spark)
+    stream = debounce.live_sessions(_change_stream(spark, d), GAP_SECONDS, quiet_seconds=1)
+    changed = _read_changes(spark, d).count()
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
+        "path", f"{out}/sessions").trigger(processingTime="1 second").start()
+    try:
+        closed = 0
+        while closed < changed:
+            if run.awaitTermination(1):
+                raise RuntimeError("the stream ended before its bursts were closed")
+            if storage.exists(spark, f"{out}/sessions/_spark_metadata"):
+                closed = spark.read.schema(stream.schema).parquet(f"{out}/sessions").agg(F.sum("n")).first()[0] or 0
+    finally:
+        run.stop()
+    return spark.read.schema(stream.schema).parquet(f"{out}/sessions")
+
+
 @query
 def stream_monitor(spark, d):
     """The whole monitor on the change stream: debounce, analyse changed files, append to the log."""
