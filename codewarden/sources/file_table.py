@@ -67,14 +67,20 @@ class FileTable:
             return reader.parquet(self.root)
         return reader.parquet(*folders) if folders else spark.createDataFrame([], schema)
 
-    def select(self, paths: DataFrame) -> DataFrame:
-        """The files named in ``paths`` (column path) that exist; reads their buckets' folders only."""
+    def select(self, paths: DataFrame, before: int | None = None) -> DataFrame:
+        """The files named in ``paths`` (column path) that exist; reads their buckets' folders only.
+
+        With ``before`` as they were before that version.
+        """
         spark = paths.sparkSession
         wanted = paths.select("path").distinct().select("path", self._bucket())
         # at most as many numbers as there are buckets
         numbers = sorted(r["bucket"] for r in wanted.select("bucket").distinct().collect())
         folders = [f for f in (f"{self.root}/bucket={n}" for n in numbers) if storage.exists(spark, f)]
-        found = self._read(spark, folders).join(wanted, ["bucket", "path"], "left_semi")
+        rows = self._read(spark, folders)
+        if before is not None:
+            rows = rows.where(F.col("version") < before)
+        found = rows.join(wanted, ["bucket", "path"], "left_semi")
         newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("version")))
         return found.withColumn("__newest", newest).where("__newest = 1 AND content IS NOT NULL").select(*_names(self.columns))
 
