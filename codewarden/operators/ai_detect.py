@@ -321,8 +321,15 @@ def above(detected: DataFrame, threshold: float = scoring.LIKELY_AI) -> DataFram
     return detected.where(F.col("confidence") >= threshold)
 
 
-def report(detected: DataFrame) -> DataFrame:
-    """Files by falling confidence (then path)."""
+def report(detected: DataFrame, folder: str | None = None) -> DataFrame:
+    """Files by falling confidence (then path).
+
+    A global sort looks at its input twice, for the ranges first. With ``folder`` the results, which are small, are
+    written there before, so that the contents are searched once.
+    """
+    if folder is not None:
+        detected.write.mode("overwrite").parquet(folder)
+        detected = detected.sparkSession.read.schema(detected.schema).parquet(folder)
     return detected.orderBy(F.desc("confidence"), "path")
 
 

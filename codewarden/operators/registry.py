@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
-from codewarden.functions.sql import transform
+from codewarden.functions.sql import q, transform
 from codewarden.schemas import RULES, Sql, violation
 
 
@@ -39,6 +40,32 @@ def register_rule(rule_id: str, category: str, severity: str, findings: Callable
     _RULES[rule_id] = RegisteredRule(rule_id, category, severity, build)
 
 
+def sql_check(spark: SparkSession, name: str, body: str) -> Callable[[], str]:
+    """A check as a SQL function of the session's catalog, for :func:`register_rule`.
+
+    ``body`` is an expression over ``path`` and ``content`` that gives array<struct<line:int, message:string>>;
+    the optimizer puts it in the place of the call, so it runs with the other rules in the file's row.
+    """
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(path STRING, content STRING) "
+              f"RETURNS ARRAY<STRUCT<line: INT, message: STRING>> RETURN {body}")
+    return lambda: f"{name}(path, content)"
+
+
+def table_check(spark: SparkSession, name: str, handler: type) -> None:
+    """A check that no expression covers as a table function of the catalog: ``handler.eval(path, content)``
+    yields (line, message)."""
+    spark.udtf.register(name, udtf(handler, returnType="line int, message string"))
+
+
+def table_rule(files: DataFrame, name: str, rule_id: str, category: str, severity: str) -> DataFrame:
+    """(path, rule, category, severity, line, message) rows of a registered table function over files."""
+    view = f"files_of_{name}"
+    files.select("path", "content").createOrReplaceTempView(view)
+    return files.sparkSession.sql(
+        f"SELECT f.path, {q(rule_id)} AS rule, {q(category)} AS category, {q(severity)} AS severity, t.line, t.message "
+        f"FROM {view} f, LATERAL {name}(f.path, f.content) t")
+
+
 def unregister_rule(rule_id: str) -> None:
     _RULES.pop(rule_id, None)
 

@@ -55,13 +55,23 @@ def select_code_files(
 ) -> DataFrame:
     """Files with a code extension outside ignored folders. Both tests read ``path`` only.
 
-    ``max_files`` keeps the first so many paths in order, as the learning command does.
+    ``max_files`` keeps the first so many paths in order, as the learning command does. Which these are is
+    found among the paths; contents are read for the chosen files only, and not sorted.
     """
     wanted = ", ".join(q(e) for e in extensions)
     kept = files.where(
         f"{text.extname('path')} IN ({wanted}) AND NOT ({is_ignored('path', policy, root)})"
     )
-    return kept if max_files is None else kept.orderBy("path").limit(max_files)
+    if max_files is None:
+        return kept
+    # at most max_files rows, a number that the caller states
+    first = kept.select("path").orderBy("path").limit(max_files)
+    return first if kept.columns == ["path"] else kept.join(F.broadcast(first.distinct()), "path", "left_semi")
+
+
+def watched_folders(files: DataFrame) -> DataFrame:
+    """The folders that hold ``files``, each once; '' is the root."""
+    return files.selectExpr(f"{text.dirname('path')} AS folder").distinct()
 
 
 def _listed(spark: SparkSession, system: FileSystem, root: str) -> DataFrame:

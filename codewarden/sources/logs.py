@@ -151,11 +151,23 @@ def violation_reports(analyzed: DataFrame) -> DataFrame:
     return analyzed.where("size(violations) > 0").selectExpr("path", f"array_join({lines}, '\\n') AS entry")
 
 
-def write_text_log(entries: DataFrame, path: str, column: str) -> None:
-    """Append a text rendering; entries with a ``date`` go to one folder per day."""
-    kept = [c for c in ("date",) if c in entries.columns]
-    writer = entries.select(*kept, F.col(column).alias("value")).write.mode("append")
-    (writer.partitionBy(*kept) if kept else writer).text(path)
+def write_text_log(entries: DataFrame, path: str, column: str, batch: int | None = None) -> None:
+    """Append a text rendering; entries with a ``date`` go to one folder per day.
+
+    Spark moves a task's lines into place when the task is committed, so a task that is repeated leaves none twice.
+    With ``batch`` the lines go to a folder of their own, and writing the batch again replaces them.
+    """
+    rows = entries.select(*[c for c in ("date",) if c in entries.columns], F.col(column).alias("value"))
+    if batch is not None:
+        rows = rows.withColumn("batch", F.lit(batch))
+    folders = [c for c in rows.columns if c != "value"]
+    writer = rows.write.mode("append" if batch is None else "overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(*folders) if folders else writer).text(path)
+
+
+def read_text_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text log, with its folders as columns."""
+    return spark.read.text(path)
 
 
 def summary_report(stats: DataFrame, files_watched: int | None = None) -> DataFrame:

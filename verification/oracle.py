@@ -194,6 +194,12 @@ IMP_EXT = f"CASE WHEN {ext('p')} <> '' THEN 'explicit' ELSE 'implicit' END"
 ORACLE["scan_code_files"] = with_([PATHS], " UNION ALL ".join(
     selected(p, f"'{p}' AS policy, path") for p in _POLICY))
 ORACLE["scan_js_files"] = with_([PATHS], "SELECT path FROM code WHERE path LIKE '%.js'")
+ORACLE["scan_first_files"] = with_([CODE], "SELECT path, length(content)::INT AS n_chars FROM (" + selected("learn") + ") ORDER BY path LIMIT 100")
+ORACLE["watched_folders"] = with_([PATHS, ("p", selected("watch", "path"))], f"SELECT DISTINCT {DIR} AS folder FROM p")
+ORACLE["registry_checks"] = with_([CODE, ("f", selected("drift")), ("lines", """
+SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS k FROM f""")], """
+SELECT path, 'custom/long-line' AS rule, k AS line, 'Line has ' || length(line) || ' characters' AS message FROM lines WHERE length(line) > 120
+UNION ALL SELECT path, 'custom/trailing-blank', k, 'Line ends in a blank' FROM lines WHERE ends_with(line, ' ')""")
 ORACLE["scan_file_cap"] = with_([PATHS], selected("learn", "path") + " ORDER BY path LIMIT 1000")
 
 _SEC = "doc_id % 4 <> 0"
@@ -208,6 +214,9 @@ _RULE_ROWS = (
 )
 ORACLE["rules_flatten"] = with_([_RULE_ROWS], "SELECT * FROM flat")
 ORACLE["rules_lookup"] = with_([_RULE_ROWS], "SELECT doc_id, rule_id, severity FROM flat WHERE enabled AND category = 'security'")
+ORACLE["rule_by_id"] = with_([_RULE_ROWS], "SELECT doc_id, rule_id, severity, enabled FROM flat WHERE rule_id = 'performance/no-sync-fs'")
+ORACLE["rules_history"] = with_([_RULE_ROWS], """SELECT TIMESTAMP '2024-01-20 00:00:00' AS ts, '1.' || doc_id % 3 AS version,
+(SELECT count(*) FROM flat) AS rules_count FROM documents""")
 ORACLE["rules_validate"] = with_([_RULE_ROWS], """
 SELECT doc_id, NULL::VARCHAR AS rule_id, 'error' AS level, 'Missing required metadata field: name' AS message
 FROM documents WHERE doc_id % 5 = 4
@@ -324,6 +333,8 @@ ORACLE["learned_profile"] = with_(profile_ctes(), """SELECT * REPLACE (coalesce(
 coalesce(array_to_string(folders, ','), '') AS folders) FROM prof""")
 
 
+ORACLE["profile_roundtrip"] = ORACLE["learned_incremental"] = ORACLE["learned_profile"]
+
 # --- organizational rules -----------------------------------------------------------------------
 
 _RULES = {
@@ -676,6 +687,7 @@ count(*) FILTER (WHERE v.category = 'quality') AS nq, count(*) FILTER (WHERE v.c
 count(*) FILTER (WHERE v.rule = 'require-unit-tests') AS nt, count(*) FILTER (WHERE v.rule = 'require-complexity-comments') AS nc
 FROM afiles a LEFT JOIN av v USING (path) GROUP BY a.path""")
 ORACLE["audit_score"] = with_([*audit_ctes(), AREP], "SELECT path, round(confidence, 6) AS confidence, n_violations, score FROM arep")
+ORACLE["audit_worst"] = with_([*audit_ctes(), AREP], "SELECT path, n_violations, score FROM arep ORDER BY score, path LIMIT 10")
 ORACLE["audit_recommendations"] = with_([*audit_ctes(), AREP], f"""SELECT path, coalesce(nullif(concat_ws('; ',
 CASE WHEN confidence > 0.8 THEN {s(ai_audit.ADVICE_HIGH_CONFIDENCE)} END, CASE WHEN nh > 0 THEN {s(ai_audit.ADVICE_HIGH_SEVERITY)} END,
 CASE WHEN ns > 0 THEN {s(ai_audit.ADVICE_SECURITY)} END, CASE WHEN nt > 0 THEN {s(ai_audit.ADVICE_TESTS)} END,
@@ -713,6 +725,8 @@ FROM conf c JOIN dscored d USING (path) LEFT JOIN mv m USING (path) GROUP BY c.p
 
 ORACLE["analysis_merged"] = with_(merged_ctes(), """SELECT path, insights, round(confidence, 6) AS confidence, drift_score, total_issues, severity,
 n_audit, n_drift, n_rule FROM ana WHERE total_issues > 0 OR insights <> ''""")
+ORACLE["analysis_toggles"] = with_(merged_ctes(), """SELECT 'ai' AS part, path, n_audit AS n, true AS has_ai, false AS has_drift FROM ana
+UNION ALL SELECT 'drift', path, n_drift, false, true FROM ana UNION ALL SELECT 'rules', path, n_rule, false, false FROM ana""")
 ORACLE["analysis_with_sections"] = with_(merged_ctes(excepted=False, only=None), "SELECT path, total_issues AS n, severity, n_audit FROM ana")
 ORACLE["highest_severity"] = with_(merged_ctes(), "SELECT path, severity FROM ana")
 ORACLE["violations_by_severity"] = with_(merged_ctes(), "SELECT a.path, " + ", ".join(
@@ -751,6 +765,7 @@ ORACLE["daily_log"] = with_(log_ctes(), """SELECT ts::DATE AS date, ts, file, st
 CASE WHEN length(b) >= 25 THEN b ELSE rpad(b, 25, ' ') END || ' | ' || CASE WHEN total_issues > 99 THEN total_issues::VARCHAR ELSE lpad(total_issues::VARCHAR, 3, ' ') END ||
 ' violations | ' || rpad(severity, 8, ' ') || ' ' || CASE WHEN insights <> '' THEN '[AI]' ELSE '' END AS line
 FROM (SELECT *, string_split(file, '/')[-1] AS b FROM lg WHERE event = 'file_analyzed')""")
+ORACLE["text_log_written"] = f"SELECT date, line FROM ({ORACLE['daily_log']})"
 ORACLE["log_retention"] = with_(log_ctes(), "SELECT ts::DATE AS date, count(*) AS n FROM lg WHERE ts::DATE >= DATE '2024-01-13' GROUP BY 1")
 ORACLE["recent_analysis"] = with_(log_ctes(), f"SELECT file, ts, total_issues FROM {last_n(10)} WHERE event = 'file_analyzed'")
 ORACLE["recent_activity"] = with_([*log_ctes(), _RECENT], "SELECT file, ts, total_issues, severity FROM recent")

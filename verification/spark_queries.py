@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from codewarden.functions import naming, scoring, text
 from codewarden.functions.sql import q
-from codewarden.operators import ai_audit, ai_detect, drift, learn, org_rules, review
+from codewarden.operators import ai_audit, ai_detect, drift, learn, org_rules, registry, review
 from codewarden.plans import activity, analysis
 from codewarden.schemas import explode_violations
 from codewarden.sources import code_files, corpus, logs, profile, storage
 from codewarden.sources import rules as rule_source
 from codewarden.sources.analysis_log import AnalysisLog
 from codewarden.sources.file_table import FileTable
+from codewarden.sources.learned_counts import LearnedCounts
 from codewarden.streaming import changes, debounce, monitor
 
 AS_OF = "2024-06-01"
@@ -92,6 +93,18 @@ def scan_file_cap(spark, d):
     return code_files.select_code_files(paths, "learn", max_files=1000)
 
 
+@query
+def scan_first_files(spark, d):
+    """The learning command with a cap of 100 files: their paths and contents' lengths."""
+    first = code_files.select_code_files(corpus.code_files(spark, d).select("path", "content"), "learn", max_files=100)
+    return first.selectExpr("path", "length(content) AS n_chars")
+
+
+@query
+def watched_folders(spark, d):
+    return code_files.watched_folders(files(spark, d, "watch"))
+
+
 def _configs(spark, d):
     return rule_source.parse_config(corpus.rule_configs(spark, d), keep_cols=["doc_id"])
 
@@ -120,6 +133,46 @@ def rules_lookup(spark, d):
     return enabled.select("doc_id", "rule_id", "severity")
 
 
+@query
+def rule_by_id(spark, d):
+    flat = rule_source.rules_of(_configs(spark, d), ["doc_id"])
+    return rule_source.rule_by_id(flat, "performance/no-sync-fs").select("doc_id", "rule_id", "severity", "enabled")
+
+
+@query
+def rules_history(spark, d):
+    """A history row per configuration, with the number of rules that were loaded."""
+    config = _configs(spark, d)
+    flat = rule_source.rules_of(config, ["doc_id"])
+    return rule_source.history_entry(config, flat, "2024-01-20 00:00:00")
+
+
+@query
+def registry_checks(spark, d):
+    """User-defined checks beside the built-in ones: a SQL function and a table function."""
+    rule_id = "custom/long-line"
+    check = registry.sql_check(spark, "long_lines", "filter(transform(split(content, '\\\\n', -1), (l, i) -> "
+                               "named_struct('line', i + 1, 'message', concat('Line has ', length(l), ' characters'))), "
+                               "(f, i) -> length(split(content, '\\\\n', -1)[i]) > 120)")
+    registry.register_rule(rule_id, "custom", "low", check)
+    try:
+        source = unprofiled(spark, d, "drift")
+        found = org_rules.check(source, rules(spark).unionByName(registry.registered_rule_rows(spark)), only=[rule_id])
+        rows = explode_violations(found).select("path", "rule", "line", "message")
+    finally:
+        registry.unregister_rule(rule_id)
+
+    class TrailingBlanks:
+        def eval(self, path: str, content: str):
+            for k, line in enumerate(content.split("\n"), 1):
+                if line.endswith(" "):
+                    yield k, "Line ends in a blank"
+
+    registry.table_check(spark, "trailing_blanks", TrailingBlanks)
+    blanks = registry.table_rule(source, "trailing_blanks", "custom/trailing-blank", "custom", "info")
+    return rows.unionByName(blanks.select("path", "rule", "line", "message"))
+
+
 @query
 def exceptions_normalised(spark, d):
     return exceptions(spark, d)
@@ -343,10 +396,9 @@ def learn_comments(spark, d):
     return _counts(spark, d, "comments")
 
 
-@query
-def learned_profile(spark, d):
+def _profile_columns(profiles):
     r = "recommendations"
-    return learned(spark, d).selectExpr(
+    return profiles.selectExpr(
         "confidence", f"{r}.naming.variables", f"{r}.naming.functions", f"{r}.naming.constants",
         f"{r}.naming.files", f"{r}.imports.style AS import_style",
         f"{r}.imports.extensions AS import_extensions",
@@ -358,6 +410,34 @@ def learned_profile(spark, d):
     )
 
 
+@query
+def learned_profile(spark, d):
+    return _profile_columns(learned(spark, d))
+
+
+@query
+def profile_roundtrip(spark, d):
+    """The learned profile, saved and loaded."""
+    path = f"{_scratch(spark)}/profile"
+    profile.save_profile(learned(spark, d), path)
+    return _profile_columns(profile.load_profile(spark, path))
+
+
+@query
+def learned_incremental(spark, d):
+    """The profile from counts that followed the change of every file named in the change stream."""
+    source, out = files(spark, d, "learn"), _scratch(spark)
+    edited = corpus.changes(spark, d).select("path").distinct()
+    # before its change a file was something else
+    before = source.join(edited.withColumn("edited", F.lit(True)), "path", "left").selectExpr(
+        "path", "if(edited, concat('let old_name = 1; // ', upper(path)), content) AS content")
+    table = FileTable.create(before, f"{out}/files", FILE_BUCKETS)
+    counts = LearnedCounts(f"{out}/counts")
+    counts.add(table.all(spark), 0)
+    counts.follow(table, source.join(edited, "path", "left_semi"), 1)
+    return _profile_columns(counts.profile(spark))
+
+
 @query
 def top_libraries(spark, d):
     return learn.top_keys(_counts(spark, d, "imports"), "libraries")
@@ -482,7 +562,7 @@ def ai_above_threshold(spark, d):
 @query
 def ai_files_ranked(spark, d):
     likely = ai_detect.detect(files(spark, d)).where("is_likely_ai")
-    return ai_detect.report(likely).selectExpr("path", _CONFIDENCE)
+    return ai_detect.report(likely, f"{_scratch(spark)}/likely").selectExpr("path", _CONFIDENCE)
 
 
 @query
@@ -576,6 +656,12 @@ def audit_score(spark, d):
     return _audit_report(spark, d).selectExpr("path", _CONFIDENCE, "n_violations", "score")
 
 
+@query
+def audit_worst(spark, d):
+    """The ten files with the lowest scores."""
+    return ai_audit.worst_first(_audit_report(spark, d)).limit(10).select("path", "n_violations", "score")
+
+
 @query
 def audit_recommendations(spark, d):
     return _audit_report(spark, d).selectExpr("path", "array_join(recommendations, '; ') AS recommendations")
@@ -661,6 +747,19 @@ def analysis_merged(spark, d):
     )
 
 
+@query
+def analysis_toggles(spark, d):
+    """The analysis with one part switched on at a time."""
+    source = profiled(spark, d, "watch")
+    parts = {
+        "ai": analysis.analyze(source, drift_detection=False), "drift": analysis.analyze(source, ai=False),
+        "rules": analysis.analyze(source, rules(spark), exceptions(spark, d), ai=False, drift_detection=False),
+    }
+    out = [rows.selectExpr(f"{q(part)} AS part", "path", "size(violations) AS n", "ai IS NOT NULL AS has_ai",
+                           "drift_score IS NOT NULL AS has_drift") for part, rows in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query
 def analysis_with_sections(spark, d):
     rows = analysis.analyze(profiled(spark, d, "watch"), rules(spark), sections=audit_sections(spark, d))
@@ -711,6 +810,16 @@ def daily_log(spark, d):
     return logs.daily_lines(log(spark, d).where("event = 'file_analyzed'")).select("date", "ts", "file", "line")
 
 
+@query
+def text_log_written(spark, d):
+    """The daily text log as written and read back; the second writing replaces the first."""
+    path = f"{_scratch(spark)}/daily"
+    lines = logs.daily_lines(written_log(spark, d).entries(spark))
+    for _ in range(2):
+        logs.write_text_log(lines, path, "line", batch=0)
+    return logs.read_text_log(spark, path).selectExpr("date", "value AS line")
+
+
 @query
 def context_log(spark, d):
     return logs.context_entries(log(spark, d))
