@@ -39,6 +39,9 @@ SIZE = 400
 #: Bytes of the k-grams among which anchors are chosen.
 GRAM = 32
 CHUNK = 32
+#: Bytes of text whose windows are held at once, and slices whose chunks are counted together.
+SLICE_BYTES = 1_000_000
+SLICES = 4
 _SIDE = CHUNK - 1
 _U = np.uint64
 _PLACE = _U((1 << 28) - 1)
@@ -116,9 +119,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, _Anchors]]:
-    for a, b in wordhash.slices(batch, "text"):
+    for a, b in wordhash.slices(batch, "text", SLICE_BYTES):
         part = batch.slice(a, b - a)
         yield part, _Anchors(*wordhash.text_bytes(part.column("text")), size)
+        pa.default_memory_pool().release_unused()
 
 
 def _side_hash(sides: np.ndarray) -> np.ndarray:
@@ -128,6 +132,14 @@ def _side_hash(sides: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(core: np.ndarray, side: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of every distinct chunk, in their order, and the sums of ``n``."""
+    order = np.lexsort((side, core))
+    ranked = core[order], side[order]
+    first = np.flatnonzero(np.r_[True, (ranked[0][1:] != ranked[0][:-1]) | (ranked[1][1:] != ranked[1][:-1])][:len(core)])
+    return order[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def anchors(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tag and anchor of every run of windows."""
 
@@ -143,9 +155,20 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _chunk_rows(rows: DataFrame, size: int, places: bool) -> DataFrame:
-    """Chunks with a shared anchor: their places, or what they hold (once per slice, counted)."""
+    """Chunks with a shared anchor: their places, or what they hold (once per some slices, counted)."""
+
+    def counted(slices):
+        core, side, n, sides = (np.concatenate(x) for x in zip(*slices, strict=True))
+        first, n = _distinct(core, side, n)
+        held = np.ascontiguousarray(sides[first])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(core[first].view(np.int64)), pa.array(side[first].view(np.int64)), pa.array(n, pa.int64()),
+             pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(
+                 np.arange(len(first) + 1, dtype=np.int32) * np.int32(2 * CHUNK)), pa.py_buffer(held)])],
+            names=["core", "side", "n", "held"])
 
     def run(batches):
+        slices = []
         for batch in batches:
             for part, found in _slices(batch, size):
                 shared = np.unique(np.concatenate([np.zeros(0, np.int64), part.column("anchors").flatten().to_numpy(
@@ -159,16 +182,13 @@ def _chunk_rows(rows: DataFrame, size: int, places: bool) -> DataFrame:
                          pa.array(start - found.offsets[text], pa.int64()), pa.array(core.view(np.int64)),
                          pa.array(side.view(np.int64))], names=["doc_id", "tag", "at", "core", "side"])
                     continue
-                order = np.lexsort((side, core))
-                core, side = core[order], side[order]
-                first = np.flatnonzero(np.r_[True, (core[1:] != core[:-1]) | (side[1:] != side[:-1])][:len(core)])
-                n = np.diff(np.r_[first, len(core)])
-                held = np.ascontiguousarray(sides[order][first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(core[first].view(np.int64)), pa.array(side[first].view(np.int64)), pa.array(n, pa.int64()),
-                     pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(
-                         np.arange(len(first) + 1, dtype=np.int32) * np.int32(2 * CHUNK)), pa.py_buffer(held)])],
-                    names=["core", "side", "n", "held"])
+                first, n = _distinct(core, side, np.ones(len(core), dtype=np.int64))
+                slices.append((core[first], side[first], n, sides[first]))
+                if len(slices) == SLICES:
+                    yield counted(slices)
+                    slices = []
+        if slices:
+            yield counted(slices)
 
     schema = "doc_id long, tag long, at long, core long, side long" if places else "core long, side long, n long, held binary"
     return rows.mapInArrow(run, schema)
