@@ -10,8 +10,11 @@ The global order of n-grams is cut into fragments, and each fragment is handled
    n-gram in common in their rare prefixes, at places that leave enough room (prefix, length and positional
    filter). First every class is compared with the most central member of each n-gram's group, which joins
    large groups of near copies without forming their pairs; then pairs are formed only between
-   different components, or, where links are counted, of all sets.
-4. A pair's overlap is counted fragment by fragment and summed, on 64-bit hashes of whole n-grams.
+   different components. A pair's overlap is counted by fragments and summed, on 64-bit hashes of whole n-grams.
+4. Links are counted within components, which hold them all. Their sets are dealt into tiles, and a task gets two
+   tiles, cuts their n-grams into the fragments of the order, counts each fragment's overlaps of all pairs as a product
+   of two matrices, adds the products up, and returns a number of links per set. Pairs are no rows: what is moved grows with
+   sets times tiles.
 
 Sets, links and components stay distributed. Fragments are as many as ``spark.sql.shuffle.partitions``,
 so they grow in number with the corpus, not in size.
@@ -35,8 +38,10 @@ from codewarden.llm import wordhash
 from codewarden.llm.common import on_workers, saved, sized, stored
 from codewarden.llm.components import components
 
-#: Fragments in which a pair's overlap is counted.
+#: Fragments of the n-gram order in which a pair's overlap is counted (a power of two).
 PAIR_FRAGMENTS = 8
+#: Sets and n-grams of a tile, and the columns of a matrix.
+TILE_SETS, TILE_GRAMS, COLUMNS = 1024, 2_000_000, 4096
 _U = np.uint64
 
 
@@ -149,8 +154,8 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k1": classes, "shared": np.bincount(at, shared).astype(np.int64)})
 
 
-def _shared_in_fragment(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """How many n-grams of a class other classes hold too, for classes that share at least half of theirs."""
+def _shared_in_fragment(rows: pd.DataFrame, buckets: int, half: bool) -> pd.DataFrame:
+    """How many n-grams of a class other classes hold too; with ``half`` for classes that share at least half of theirs."""
     def whole(column, kind):
         return np.concatenate([np.frombuffer(x, kind) for x in rows[column]])
 
@@ -166,7 +171,7 @@ def _shared_in_fragment(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     shared |= np.minimum.reduceat(record, starts) < 0
     shared = np.repeat(shared, np.diff(np.r_[starts, len(grams)]))
     found = np.bincount(record[shared & (record >= 0)], minlength=len(classes)) + inside
-    some = 2 * found >= counts + inside
+    some = 2 * found >= counts + inside if half else found > 0
     # copies of a class in several blocks count once
     out = pd.Series(found[some]).groupby(classes[some]).max()
     return _packed(out.index.to_numpy(np.int64), out.to_numpy(np.int64), buckets)
@@ -176,10 +181,10 @@ def _linked(a, b, both, percent: int):
     return 100 * both >= percent * (a + b - both)
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, every: bool = False) -> DataFrame:
+def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between class representatives that connect all classes that any links connect.
 
-    With ``every`` all links, each once and with the smaller representative first.
+    Also the sets (doc_id, n, parts) of all that may have links, cut into fragments of the n-gram order.
     ``sets`` is the saved result of :func:`document_sets`, without rows that have no id or no n-gram.
     """
     spark = docs.sparkSession
@@ -188,13 +193,13 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, ev
     shared = (
         _fragment_rows(docs, words, fragments).repartition(fragments, "fragment")
         .groupBy("fragment").applyInPandas(
-            lambda rows: _shared_in_fragment(rows, fragments), "bucket long, classes binary, shared binary")
+            lambda rows: _shared_in_fragment(rows, fragments, percent >= 50), "bucket long, classes binary, shared binary")
         .groupBy("bucket").applyInPandas(_summed, "k1 long, shared long")
     )
-    # a fragment of which a class shares less than half is not told; with at most (1 - t) n n-grams missing
-    # in all, such fragments hide as many shared ones at the most
-    able = saved(classes.join(shared, "k1").where(
-        100 * F.col("shared") >= (2 * percent - 100) * F.col("n")).select(
+    # from half on, a fragment of which a class shares less than half is not told; with at most (1 - t) n n-grams
+    # missing in all, such fragments hide as many shared ones at the most
+    least = 2 * percent - 100 if percent >= 50 else percent
+    able = saved(classes.join(shared, "k1").where(100 * F.col("shared") >= least * F.col("n")).select(
         F.col("rep").alias("doc_id"), "k1", "k2"))
 
     # the sets of the classes that may link, cut down to the n-grams that two of them hold
@@ -208,7 +213,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, ev
     held = held.where(100 * F.size("held") >= percent * F.col("n"))
     held = held.withColumn("held", F.sort_array("held"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1)), lambda f: F.filter(
-        F.transform("held", lambda x: x["gram"]), lambda g: F.pmod(g, F.lit(PAIR_FRAGMENTS)) == f))
+        F.transform("held", lambda x: x["gram"]), lambda g: F.shiftrightunsigned(g, 65 - PAIR_FRAGMENTS.bit_length()) == f))
     # prefix: with more than n - ceil(t n) of its rarest n-grams missing, a set cannot link
     rare = F.slice("held", F.lit(1), F.greatest(
         F.floor((100 - percent) * F.col("n") / 100) + 1 - F.col("n") + F.size("held"), F.lit(0)).cast("int"))
@@ -248,11 +253,8 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, ev
                    .select(F.col("doc_id").alias("node"), "p.pivot", "p.with_pivot"))
 
     # what may still link two components
-    if every:
-        labelled = prefix.select("doc_id", "n", "gram", "at", F.col("doc_id").alias("label"))
-    else:
-        labelled = prefix.join(components(first), F.col("doc_id") == F.col("node"), "left").select(
-            "doc_id", "n", "gram", "at", F.coalesce("label", "doc_id").alias("label"))
+    labelled = prefix.join(components(first), F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", "n", "gram", "at", F.coalesce("label", "doc_id").alias("label"))
     labelled = saved(labelled.join(pivots, F.col("doc_id") == F.col("node"), "left").drop("node"))
     mixed = saved(labelled.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(
         "l < h").select("gram"))
@@ -272,30 +274,100 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, ev
         & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))))
     pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("n_a").alias("na"),
                          F.col("doc_id_b").alias("b"), F.col("n_b").alias("nb")).distinct()
-    found = first.union(links(overlaps(pairs)))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if every else found
+    return first.union(links(overlaps(pairs))), held.select("doc_id", "n", "parts")
+
+
+def _overlaps(x: list[list[np.ndarray]], y: list[list[np.ndarray]]) -> np.ndarray:
+    """Overlaps of all sets of ``x`` with all of ``y``, each given as its fragments: counted by fragment, and summed."""
+    total = np.zeros((len(x), len(y)), dtype=np.float32)
+    for f in range(PAIR_FRAGMENTS):
+        sides = []
+        for sets in (x, y):
+            parts = [s[f] for s in sets]
+            sides.append((np.concatenate([*parts, np.zeros(0, np.int64)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
+        both = np.intersect1d(sides[0][0], sides[1][0])
+        at = [np.searchsorted(both, grams) for grams, _ in sides]
+        here = [np.flatnonzero(np.append(both, 0)[a] == grams) if len(both) else np.zeros(0, np.int64)
+                for a, (grams, _) in zip(at, sides, strict=True)]
+        for start in range(0, len(both), COLUMNS):
+            product = []
+            for k in range(2):
+                some = here[k][(at[k][here[k]] >= start) & (at[k][here[k]] < start + COLUMNS)]
+                matrix = np.zeros((total.shape[k], min(COLUMNS, len(both) - start)), dtype=np.float32)
+                matrix[sides[k][1][some], at[k][some] - start] = 1
+                product.append(matrix)
+            total += product[0] @ product[1].T
+    return total
+
+
+def _tile_links(percent: int):
+    """Numbers of linked rows of the sets of one pair of tiles, or of some components of one tile each."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, found = [], []
+        rows = rows.sort_by([("component", "ascending"), ("tile", "ascending")])
+        component = rows.column("component").to_numpy()
+        edges = [*np.flatnonzero(np.r_[True, component[1:] != component[:-1]]).tolist(), len(component)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            part = rows.slice(low, high - low)
+            sets = [[np.asarray(p, dtype=np.int64) for p in parts] for parts in part.column("parts").to_pylist()]
+            tile, doc, n, times = (part.column(c).to_numpy() for c in ("tile", "doc_id", "n", "rows"))
+            cut = int(np.searchsorted(tile, tile[0], "right"))
+            # a pair of different tiles, or one tile with itself
+            x, y = (slice(0, cut), slice(cut, None)) if part.column("other")[0].as_py() != part.column("one")[0].as_py() else (slice(None),) * 2
+            both = _overlaps(sets[x], sets[y])
+            linked = _linked(n[x][:, None], n[y][None, :], both, percent) & (doc[x][:, None] != doc[y][None, :])
+            ids.append(doc[x])
+            found.append(linked @ times[y])
+            if x != y:
+                ids.append(doc[y])
+                found.append(linked.T @ times[x])
+        return pa.table({"doc_id": np.concatenate(ids), "others": np.concatenate(found).astype(np.int64)})
+
+    return lambda rows: run(rows)
+
+
+def link_numbers(sets: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, others): for each set in a component how many rows of other sets it is linked with.
+
+    ``sets``: doc_id, n, parts; ``labels``: node, label; ``sizes``: doc_id, rows.
+    """
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = sets.join(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("component")), "doc_id")
+    placed = stored(placed.join(sizes, "doc_id"), "placed")
+    grams = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.size(p))
+    tiles = placed.groupBy("component").agg(F.greatest(
+        F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum(grams) / TILE_GRAMS)).cast("int").alias("tiles"))
+    dealt = placed.join(saved(tiles), "component").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    # every tile meets every tile of its component once, itself included; small components share tasks
+    dealt = dealt.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    unit = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component"))
+    dealt = dealt.select(
+        "component", "doc_id", "n", "rows", "parts", "tile", unit.alias("unit"), (F.col("tiles") == 1).alias("small"),
+        F.least("tile", "meets").alias("one"), F.greatest("tile", "meets").alias("other"))
+    counted = dealt.groupBy("small", "unit", "one", "other").applyInArrow(_tile_links(percent), "doc_id long, others long")
+    return counted.groupBy("doc_id").agg(F.sum("others").alias("others"))
 
 
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id of equal sets), component_id, n_links.
 
-    ``n_links`` is the number of other rows that the row is linked with, copies included. It needs all pairs
-    of a group of near copies; without ``count_links`` it is left out, and they are not formed.
+    ``n_links`` is the number of other rows that the row is linked with, copies included; without ``count_links`` it
+    is left out.
     """
     on_workers(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     every = saved(document_sets(docs, words))
     sets = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = saved(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")))
-    found = saved(similar_links(docs, sets, words, percent, every=count_links))
-    labels = components(found)
+    found, cut = similar_links(docs, sets, words, percent)
+    labels = components(saved(found))
     named = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
         "k1", "k2", "class_id", F.coalesce("label", "class_id").alias("component_id"), "rows")
     if count_links:
-        sizes = classes.select(F.col("class_id").alias("b"), F.col("rows").alias("others"))
-        others = found.union(found.select("b", "a")).join(sizes, "b").groupBy(F.col("a").alias("one")).agg(
-            F.sum("others").alias("others"))
+        sizes = classes.select(F.col("class_id").alias("doc_id"), "rows")
+        others = link_numbers(cut, labels, sizes, percent).withColumnRenamed("doc_id", "one")
         named = named.join(others, F.col("class_id") == F.col("one"), "left").select(
             "k1", "k2", "class_id", "component_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     named = saved(named)

@@ -152,3 +152,36 @@ def test_rows_of_one_id_are_scored_apart(spark):
         scores = sorted(r.score for r in got if r.doc_id == shared)
         assert len(scores) == 4 and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(scores, want))
     assert want[0] < want[-1] - 5
+
+
+def test_links_below_half(spark):
+    shared = " ".join(f"s{k}" for k in range(90))
+    rows = [(k, " ".join([*(f"x{k}_{j}" for j in range(55)), shared, *(f"y{k}_{j}" for j in range(55))])) for k in range(3)]
+    found = jaccard.join_similar(docs(spark, rows), words=5, percent=25).collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in found} == {(0, 0, 2), (1, 0, 2), (2, 0, 2)}
+    assert {r.component_id for r in jaccard.join_similar(docs(spark, rows), words=5, percent=30).collect()} == {0, 1, 2}
+
+
+def test_links_over_several_tiles():
+    draw = random.Random(8)
+    import numpy as np
+
+    fragments = jaccard.PAIR_FRAGMENTS
+    sets = [sorted(draw.sample(range(-2**62, 2**62, 2**55), 90)) for _ in range(40)]
+    cut = [[np.array([g for g in s if ((g % 2**64) >> 61) == f], dtype=np.int64) for f in range(fragments)] for s in sets]
+    got = jaccard._overlaps(cut[:15], cut[15:])
+    for i, a in enumerate(sets[:15]):
+        for j, b in enumerate(sets[15:]):
+            assert got[i, j] == len(set(a) & set(b))
+
+
+def test_many_near_copies_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_SETS", 7)
+    rows = copies()
+    want = linked(rows, 4, 85)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    for r in jaccard.join_similar(docs(spark, rows), words=4, percent=85).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+        near = sum(1 for j, s in sets.items() if j != r.doc_id and s and sets[r.doc_id]
+                   and 100 * len(s & sets[r.doc_id]) >= 85 * len(s | sets[r.doc_id]))
+        assert r.n_links == near
