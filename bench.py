@@ -13,9 +13,17 @@ from tests.session import local_session
 HEADLINE = [
     "learned_profile", "compliance_summary", "compliance_by_folder", "drift_summary", "ai_confidence",
     "ai_indicators", "audit_score", "analysis_merged", "debounce_sessions", "violation_trend", "ai_files_ranked",
+    "analysis_log", "recent_violations", "stream_monitor",
 ]
 
 
+def calibration() -> float:
+    """Seconds of a fixed loop, to compare machines between rounds."""
+    start = time.time()
+    sum(k * k % 7 for k in range(20_000_000))
+    return round(time.time() - start, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8)))
@@ -28,7 +36,7 @@ def main() -> None:
             seconds[name] = round(time.time() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "queries": seconds, "calibration_sec": calibration(), "sf": os.path.basename(sf_dir.rstrip("/")),
     }), flush=True)
     spark.stop()
 
