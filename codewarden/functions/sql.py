@@ -53,3 +53,14 @@ def keep(xs: str, condition) -> str:
 
 def struct(**fields) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def leading(xs: str, before) -> str:
+    """How many entries of a sorted array stand before a place, by binary search.
+
+    ``before`` tells of an entry whether it does; it must hold for a first part of the array and not behind it.
+    """
+    at, step = f"v{next(_names)}", f"v{next(_names)}"
+    steps = array(2**k for k in range(30, -1, -1))
+    return (f"aggregate({steps}, 0, ({at}, {step}) -> if({at} + {step} <= size({xs}) "
+            f"AND {before(f'get({xs}, {at} + {step} - 1)')}, {at} + {step}, {at}))")

@@ -1,9 +1,11 @@
 """Audit rules for files that look AI-written.
 
-One pass over the contents yields small candidate rows: what was found, on which line, and how near an
-AI section it must be to count. Sections are spread to the lines they cover, at most one row per file
-and line, so "within k lines" is an equi-join on (path, line): contents are not shuffled, no pairs of
-candidates and sections are formed, and one file with very many sections is spread over its lines.
+One pass over the contents yields small candidates: what was found, on which line, and how near an AI
+section it must be to count. A file's sections are counted per line and travel to its row as one sorted
+array, by an equi-join on the path. The nearest section of a candidate is found by binary search, and the rules
+that look at the lines around a section look there only. What follows is done in the row, so no
+pairs of candidates and sections are formed. Where the sections are too many to be broadcast, the join moves the candidates,
+and the contents of those files alone that look AI-written and in which a rule about lines can apply.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from codewarden.functions import naming, scoring, text
 from codewarden.functions import regex as rx
 from codewarden.functions.regex import js
-from codewarden.functions.sql import keep, let, q, struct, transform
+from codewarden.functions.sql import keep, leading, let, q, struct, transform
 from codewarden.operators import ai_detect
 from codewarden.operators.ai_detect import LAZY, LINE, Pattern
 from codewarden.schemas import VIOLATION, VIOLATION_FIELDS, Sql, violation
@@ -33,7 +35,6 @@ RULES = [
     PERFORMANCE_REVIEW, ERROR_HANDLING,
 ]
 NEAR = {UNIT_TESTS: 5, CONSISTENT_NAMING: 3, SECURITY_REVIEW: 3, PERFORMANCE_REVIEW: 5}
-WIDEST = 5
 REVIEWED = [
     Pattern(r"//\s*Reviewed by:", True, ("reviewed by:",)),
     Pattern(r"//\s*Human verified:", True, ("human verified:",)),
@@ -122,14 +123,15 @@ COPY_BLOCK = 10_000
 IN_FILE = -1
 ALWAYS = -2
 
-_CANDIDATE = f"struct<ord:int,at:int,radius:int,name:string,v:{VIOLATION}>"
+_CANDIDATE = f"struct<ord:int,at:int,radius:int,name:string,copies:bigint,v:{VIOLATION}>"
 _NO_CANDIDATES = f"cast(array() AS array<{_CANDIDATE}>)"
+_MARKS = "array<struct<line:int,n:bigint>>"
 
 
-def _candidate(rule: str, at: str, radius, v: str, name: str = "NULL") -> str:
+def _candidate(rule: str, at: str, radius, v: str, name: str = "NULL", copies: str = "1") -> str:
     return struct(
-        ord=str(RULES.index(rule) + 1), at=f"cast({at} AS int)",
-        radius=f"cast({q(radius)} AS int)", name=f"cast({name} AS string)", v=v,
+        ord=str(RULES.index(rule) + 1), at=f"cast({at} AS int)", radius=f"cast({q(radius)} AS int)",
+        name=f"cast({name} AS string)", copies=f"cast({copies} AS bigint)", v=v,
     )
 
 
@@ -165,40 +167,51 @@ def _unit_tests(functions: str) -> str:
     return f"if({text.is_audit_test('path')}, {_NO_CANDIDATES}, {found})"
 
 
-def _windows(rule: str, applies, condition: str, v) -> str:
-    """Lines whose window of five lines before and after satisfies a condition.
+def _is_complex(content: str) -> str:
+    return "(" + " OR ".join(rx.in_order(content, parts) for parts in COMPLEX_PARTS) + ")"
 
-    The window is a part of the file, so a file without any match of the required pattern is skipped.
-    """
-    flagged = let("split(content, '\\n', -1)", lambda lines: transform(
-        f"sequence(1, size({lines}) + 4)",
-        lambda n: let(
-            f"array_join(slice({lines}, greatest({n} - 4, 1), {n} + 6 - greatest({n} - 4, 1)), '\\n')",
-            lambda w: f"if({condition(w)}, {n}, NULL)",
-        ),
-    ))
-    found = transform(
-        keep(flagged, lambda n: f"{n} IS NOT NULL"), lambda n: _candidate(rule, n, 0, v(n))
-    )
-    return f"if({applies('content')}, {found}, {_NO_CANDIDATES})"
 
+def _has_function(content: str) -> str:
+    return rx.matches(content, js(FUNCTION_ON_LINE))
 
-def _complexity() -> str:
-    is_complex = lambda w: "(" + " OR ".join(rx.in_order(w, parts) for parts in COMPLEX_PARTS) + ")"
-    return _windows(
-        COMPLEXITY_COMMENTS, is_complex,
-        lambda w: f"{is_complex(w)} AND NOT {rx.matches(w, js(EXPLAINED))}",
-        lambda n: _violation(COMPLEXITY_COMMENTS, "documentation", "medium", q(COMPLEX_MESSAGE), n),
-    )
 
+#: Rules over the five lines before and after a section: what a window, and so the file, must have; what it must not
+#: have; the violation at a line.
+_AROUND = {
+    COMPLEXITY_COMMENTS: (_is_complex, EXPLAINED, lambda n: _violation(
+        COMPLEXITY_COMMENTS, "documentation", "medium", q(COMPLEX_MESSAGE), n)),
+    ERROR_HANDLING: (_has_function, HANDLES_ERRORS, lambda n: _violation(
+        ERROR_HANDLING, "organizational", "medium", q(ERROR_MESSAGE), n)),
+}
+
+
+def _body(rules) -> str:
+    """The content of a file in which one of the rules can find something around a section, else null."""
+    some = [_AROUND[r][0]("content") for r in rules if r in _AROUND]
+    return f"if({' OR '.join(some)}, content, NULL)" if some else "cast(NULL AS string)"
 
-def _error_handling() -> str:
-    has_function = lambda w: rx.matches(w, js(FUNCTION_ON_LINE))
-    return _windows(
-        ERROR_HANDLING, has_function,
-        lambda w: f"{has_function(w)} AND NOT {rx.matches(w, js(HANDLES_ERRORS))}",
-        lambda n: _violation(ERROR_HANDLING, "organizational", "medium", q(ERROR_MESSAGE), n),
-    )
+
+def _around(rules) -> str:
+    """Candidates of the section lines in ``marks`` with the lines around them in ``body``, one for each copy of a section."""
+    chosen = [r for r in rules if r in _AROUND]
+
+    def window(lines, n):
+        return f"array_join(slice({lines}, greatest({n} - 4, 1), {n} + 6 - greatest({n} - 4, 1)), '\\n')"
+
+    def found(rule, w, m):
+        needs, lacks, v = _AROUND[rule]
+        hit = _candidate(rule, ALWAYS, None, v(f"{m}.line"), copies=f"{m}.n")
+        return f"if({needs(w)} AND NOT {rx.matches(w, js(lacks))}, {hit}, NULL)"
+
+    def at_marks(lines):
+        inside = keep("marks", lambda m: f"{m}.line BETWEEN 1 AND size({lines}) + 4")
+        return transform(inside, lambda m: let(
+            window(lines, f"{m}.line"), lambda w: f"array({', '.join(found(r, w, m) for r in chosen)})"))
+
+    if not chosen:
+        return _NO_CANDIDATES
+    each = let("split(body, '\\n', -1)", at_marks)
+    return f"if(body IS NULL OR size(marks) = 0, {_NO_CANDIDATES}, array_compact(flatten({each})))"
 
 
 def _placeholders(groups: str) -> str:
@@ -251,14 +264,12 @@ _PLACED = {
         _specs([p for p, _ in SLOW]),
         _reviews(PERFORMANCE_REVIEW, "performance", "medium", PERFORMANCE_MESSAGE, SLOW)),
 }
-_WHOLE = {
-    HUMAN_COMMENTS: _human_comments, COMPLEXITY_COMMENTS: _complexity, ERROR_HANDLING: _error_handling,
-}
+_WHOLE = {HUMAN_COMMENTS: _human_comments}
 
 
 def candidates(rules) -> str:
-    """SQL text over (path, content, profile): candidate array of the given rules, in rule order."""
-    return let("lower(content)", lambda lowered: _candidates(rules, lowered))
+    """SQL text over (path, content, profile): candidate array of those rules that need no section's lines, in rule order."""
+    return let("lower(content)", lambda lowered: _candidates([r for r in rules if r not in _AROUND], lowered))
 
 
 def _candidates(rules, lowered: str) -> str:
@@ -280,46 +291,60 @@ def _candidates(rules, lowered: str) -> str:
     return let(rx.all_hits("content", specs), listed) if specs else listed("NULL")
 
 
-def covered_lines(sections: DataFrame) -> DataFrame:
-    """(path, at, delta, here): lines near a section, its distance and the sections on that very line.
-
-    ``at`` = IN_FILE marks a file that has sections at all.
-    """
-    around = (
-        f"concat(array({IN_FILE}), if(line + {WIDEST} < 1, array(), "
-        f"sequence(greatest(line - {WIDEST}, 1), line + {WIDEST})))"
-    )
+def section_lines(sections: DataFrame) -> DataFrame:
+    """(path, marks): the lines of a file's sections in order, each with its number of sections."""
     return (
-        sections.selectExpr("path", "line", f"explode({around}) AS at")
-        .groupBy("path", "at")
-        .agg(F.min(F.abs(F.col("at") - F.col("line"))).alias("delta"),
-             F.count_if(F.col("at") == F.col("line")).alias("here"))
+        sections.where("line IS NOT NULL").groupBy("path", "line").agg(F.count("*").alias("n"))
+        .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "n"))).alias("marks"))
     )
 
 
+def _distance(at: str) -> str:
+    """How far the nearest section's line is, null without sections."""
+    return let(leading("marks", lambda m: f"{m}.line < {at}"), lambda i: (
+        f"least(cast(get(marks, {i}).line AS bigint) - {at}, {at} - cast(get(marks, {i} - 1).line AS bigint))"))
+
+
+def _kept(found: str) -> str:
+    """Those of the candidates that sections are near to, as array<struct<idx,c>>; a file's functions without tests as one."""
+    near = lambda c: (f"({c}.at = {ALWAYS} OR ({c}.at = {IN_FILE} AND size(marks) > 0) "
+                      f"OR coalesce({_distance(f'{c}.at')} <= {c}.radius, false))")
+    placed = keep(f"transform({found}, (c, i) -> {struct(idx='i', c='c')})", lambda x: near(f"{x}.c"))
+    is_test = f"x.c.v.rule <=> {q(UNIT_TESTS)}"
+
+    def one(tests):
+        names = f"array_join(transform({tests}, x -> coalesce(x.c.name, '')), ', ')"
+        first = f"get({tests}, 0)"
+        fields = {f: f"{first}.c.v.{f}" for f in VIOLATION_FIELDS} | {"message": f"concat({first}.c.v.message, {names})"}
+        c = struct(**{f: f"{first}.c.{f}" for f in ("ord", "at", "radius", "name", "copies")}, v=struct(**fields))
+        return f"if(size({tests}) = 0, {tests}, array({struct(idx=f'{first}.idx', c=c)}))"
+
+    return let(placed, lambda p: f"concat(filter({p}, x -> NOT ({is_test})), {let(f'filter({p}, x -> {is_test})', one)})")
+
+
 def _scored(files: DataFrame, responses: DataFrame | None, rules) -> DataFrame:
-    """path, confidence, candidates of likely-AI files; other files have null candidates."""
-    found = candidates(rules)
+    """path, confidence, candidates and body of likely-AI files; other files have null candidates."""
+    found, body = candidates(rules), _body(rules)
+    likely = f"confidence >= {q(scoring.LIKELY_AI)}"
     if responses is None:
         counted = files.selectExpr("path", "content", "profile", f"{ai_detect.counts()} AS counts")
         rated = counted.selectExpr(
             "path", "content", "profile", f"{ai_detect.confidence('counts')} AS confidence"
         )
         # an if() rather than a filter: a filter would be pushed below and count everything twice
-        likely = f"confidence >= {q(scoring.LIKELY_AI)}"
-        return rated.selectExpr("path", "confidence", f"if({likely}, {found}, NULL) AS found")
+        return rated.selectExpr(
+            "path", "confidence", f"if({likely}, {found}, NULL) AS found", f"if({likely}, {body}, NULL) AS body")
     model = ai_detect.model_answers(responses).groupBy("path").agg(
         F.sum(F.size("reasons")).alias("model_n"),
         F.sum(F.size("reasons") * F.col("confidence")).alias("model_sum"),
     )
-    counted = files.selectExpr("path", f"{ai_detect.counts()} AS counts", f"{found} AS found")
+    counted = files.selectExpr("path", f"{ai_detect.counts()} AS counts", f"{found} AS found", f"{body} AS body")
     joined = counted.join(model, "path", "left").fillna({"model_n": 0, "model_sum": 0.0})
     rated = joined.selectExpr(
-        "path", "found", f"{ai_detect.confidence('counts', 'model_n', 'model_sum')} AS confidence"
+        "path", "found", "body", f"{ai_detect.confidence('counts', 'model_n', 'model_sum')} AS confidence"
     )
     return rated.selectExpr(
-        "path", "confidence", f"if(confidence >= {q(scoring.LIKELY_AI)}, found, NULL) AS found"
-    )
+        "path", "confidence", f"if({likely}, found, NULL) AS found", f"if({likely}, body, NULL) AS body")
 
 
 def findings(
@@ -336,42 +361,20 @@ def findings(
     if sections is None:
         chosen = [r for r in chosen if r == PLACEHOLDERS]
     marker = struct(
-        ord="0", at=str(ALWAYS), radius="cast(NULL AS int)", name="cast(NULL AS string)",
+        ord="0", at=str(ALWAYS), radius="cast(NULL AS int)", name="cast(NULL AS string)", copies="1L",
         v=f"cast(NULL AS {VIOLATION})",
     )
     scored = _scored(files, responses, chosen)
-    listed = f"if(found IS NULL, {_NO_CANDIDATES}, concat(array({marker}), found))"
-    rows = scored.selectExpr("path", "confidence", f"posexplode({listed}) AS (pos, c)").selectExpr(
-        "path", "confidence", "pos", "c.*"
-    )
     if sections is None:
-        kept = rows.withColumn("here", F.lit(1))
+        scored = scored.withColumn("marks", F.lit(None))
     else:
-        near = covered_lines(sections)
-        kept = rows.join(near, ["path", "at"], "left").where(
-            f"at = {ALWAYS} OR (at = {IN_FILE} AND delta IS NOT NULL) "
-            "OR (radius > 0 AND delta <= radius) OR (radius = 0 AND here > 0)"
-        )
-    # Function candidates of a file become one violation; the line rules count every section of the
-    # line, so copies of a section are counted, not multiplied out. Partitioning by path once serves this grouping and
-    # the per-file ordering and scoring that follow.
-    is_test = f"v.rule <=> {q(UNIT_TESTS)}"
-    grouped = (
-        kept.repartition("path")
-        .withColumn("slot", F.expr(f"if({is_test}, -1, pos)"))
-        .groupBy("path", "ord", "slot")
-        .agg(
-            F.max("confidence").alias("confidence"), F.min("pos").alias("idx"),
-            F.first("v").alias("v"), F.max(F.expr("if(radius = 0, here, 1)")).alias("copies"),
-            F.expr(f"array_sort(collect_list(struct(pos, name)) FILTER (WHERE {is_test}))").alias("names"),
-        )
-    )
-    names = "array_join(transform(names, n -> coalesce(n.name, '')), ', ')"
-    message = f"if({is_test}, concat(v.message, {names}), v.message) AS message"
-    return grouped.selectExpr(
-        "path", "confidence", "ord", "idx", "cast(copies AS bigint) AS copies",
-        *[message if f == "message" else f"v.{f} AS {f}" for f in VIOLATION_FIELDS],
-    )
+        scored = scored.join(section_lines(sections), "path", "left")
+    scored = scored.withColumn("marks", F.expr(f"coalesce(cast(marks AS {_MARKS}), cast(array() AS {_MARKS}))"))
+    listed = f"cast(concat(array({marker}), found, {_around(chosen)}) AS array<{_CANDIDATE}>)"
+    kept = scored.selectExpr(
+        "path", "confidence", f"inline(if(found IS NULL, array(), {_kept(listed)}))")
+    return kept.selectExpr(
+        "path", "confidence", "c.ord", "idx", "c.copies", *[f"c.v.{f} AS {f}" for f in VIOLATION_FIELDS])
 
 
 def _repeat(rows: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import naming, scoring, text
-from codewarden.functions.regex import contains, matches
-from codewarden.functions.sql import array, keep, let, q, struct, transform
+from codewarden.functions.regex import SPACE, contains, matches, newlines
+from codewarden.functions.sql import array, keep, leading, let, q, struct, transform
 from codewarden.operators.registry import registered_rules
 from codewarden.schemas import NO_VIOLATIONS, VIOLATION, Sql, violation
 
@@ -68,21 +68,33 @@ def _feature_folders(rule: str) -> str:
 def _first_lines(hits: str, found) -> str:
     """Bind a function giving the line where a hit's text first occurs anywhere in the file.
 
-    That is the first hit of the same text, unless the text also begins a longer hit or follows a name
-    that ends in a keyword; only then the file itself is searched.
+    A text occurs where a hit begins with it. The one other place is the end of a hit whose name ends in a
+    keyword, with another name behind it. These are sorted by text once; the texts that begin with one text
+    stand side by side, so its first line is the least of that stretch, found by binary search. All stretches
+    together are no longer than the texts.
     """
 
+    def overlapping(h):
+        behind = f"regexp_extract_all(content, {q(f'{text.VARIABLE}(?=({SPACE}+{text.NAME})?)')}, 2)"
+        keyword = f"regexp_extract(x.text, {q('(let|const|var)$')}, 1)"
+        spot = struct(text=f"concat({keyword}, b)", line=f"x.line + {newlines('x.text')}")
+        return f"filter(zip_with({h}, {behind}, (x, b) -> if({keyword} <> '' AND b <> '', {spot}, NULL)), s -> s IS NOT NULL)"
+
+    def by_text(h):
+        spots = transform(h, lambda x: struct(text=f"{x}.text", line=f"{x}.line"))
+        chained = f"exists({h}, x -> {matches('x.text', '(?:let|const|var)$')})"
+        every = f"array_sort(if({chained}, concat({spots}, {overlapping(h)}), {spots}))"
+        return let(every, lambda e: f"filter({e}, (s, i) -> i = 0 OR get({e}, i - 1).text <> s.text)")
+
+    def first(spots):
+        # no name goes on with a tilde or anything behind it
+        end = leading(spots, lambda other: f"{other}.text < concat(s.text, '~')")
+        least = f"array_min(transform(slice({spots}, i + 1, {end} - i), o -> o.line))"
+        return f"transform({spots}, (s, i) -> {struct(text='s.text', line=least)})"
+
     def bind(h):
-        texts = f"transform({h}, x -> x.text)"
-        sorted_texts = f"array_sort(array_distinct({texts}))"
-        longer = let(sorted_texts, lambda o: f"filter({o}, (t, i) -> startswith(coalesce(get({o}, i + 1), ''), t))")
-        known = struct(
-            texts=texts, longer=longer, chained=f"exists({h}, x -> {matches('x.text', '(?:let|const|var)$')})"
-        )
-        return let(known, lambda k: found(h, lambda t: (
-            f"if({k}.chained OR array_contains({k}.longer, {t}), {text.line_at('content', t)}, "
-            f"get({h}, cast(array_position({k}.texts, {t}) AS int) - 1).line)"
-        )))
+        return let(let(by_text(h), first), lambda firsts: found(h, lambda t: (
+            f"get({firsts}, {leading(firsts, lambda other: f'{other}.text < {t}')}).line")))
 
     return let(hits, bind)
 
