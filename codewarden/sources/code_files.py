@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from codewarden.functions import text
 from codewarden.functions.regex import matches
 from codewarden.functions.sql import q
+from codewarden.sources.storage import checkpointed
 
 # Scanned extensions and ignored folder names.
 EXTENSIONS = [".js", ".ts", ".jsx", ".tsx"]
 IGNORED_PARTS = ["node_modules", ".git", "dist", "build"]
 IGNORED_NAMES = ["node_modules", ".git", "dist", "build", ".next", ".nuxt", "coverage"]
 
+#: Tasks that list folders, for each core.
+TASKS_A_CORE = 4
+
 POLICIES = ("none", "learn", "compliance", "drift", "watch")
 
 
@@ -74,24 +78,51 @@ def watched_folders(files: DataFrame) -> DataFrame:
     return files.selectExpr(f"{text.dirname('path')} AS folder").distinct()
 
 
-def _listed(spark: SparkSession, system: FileSystem, root: str) -> DataFrame:
-    """All files below ``root``, hidden ones too: path (relative), size, mtime. Each of its folders is a task's row."""
+def _file_system(directory: str) -> tuple[FileSystem, str]:
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", directory) is None:
+        return LocalFileSystem(), os.path.abspath(directory)
+    # Hadoop's names of the store that others call s3
+    return FileSystem.from_uri(re.sub("^s3[an]:", "s3:", directory))
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it: 134217728, 134217728b, 128m, 128MB."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
+def _listed(spark: SparkSession, system: FileSystem, root: str, policy: str, directory: str) -> DataFrame:
+    """All files below ``root``, hidden ones too: path (relative), size, mtime.
+
+    The tree is walked once, level by level: a level's folders are dealt out to tasks, and what they hold is kept by
+    a checkpoint. Folders that the policy ignores are not opened. One folder is listed by one task.
+    """
 
-    def walk(batches):
+    def list_folders(batches):
         for batch in batches:
-            for folder, deep in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = [x for x in system.get_file_info(FileSelector(folder, recursive=deep)) if x.is_file]
+            for folder in batch.column("path").to_pylist():
+                found = system.get_file_info(FileSelector(f"{root}/{folder}" if folder else root))
+                found = [x for x in found if x.type in (FileType.File, FileType.Directory)]
                 yield pa.RecordBatch.from_pydict({
                     "path": pa.array([x.path[len(root):].lstrip("/") for x in found], pa.string()),
+                    "folder": pa.array([x.type == FileType.Directory for x in found], pa.bool_()),
                     "size": pa.array([x.size for x in found], pa.int64()),
-                    "micros": pa.array([x.mtime_ns // 1000 for x in found], pa.int64()),
+                    "micros": pa.array([x.mtime_ns // 1000 if x.is_file else None for x in found], pa.int64()),
                 })
 
-    folders = [x.path for x in system.get_file_info(FileSelector(root)) if x.type == FileType.Directory]
-    tasks = [(root, False), *[(f, True) for f in folders]]
-    spread = spark.createDataFrame(tasks, "folder string, deep boolean").repartition(len(tasks))
-    return spread.mapInArrow(walk, "path string, size long, micros long").selectExpr(
-        "path", "size", "timestamp_micros(micros) AS mtime")
+    entry = "path string, folder boolean, size long, micros long"
+    opened = f"folder AND NOT ({is_ignored("concat(path, '/')", policy, directory)})"
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    levels, folders, n = [], spark.createDataFrame([("",)], "path string"), 1
+    while n:
+        level = folders.repartition(min(n, tasks)).mapInArrow(list_folders, entry)
+        levels.append(level := checkpointed(level))
+        folders = level.where(opened).select("path")
+        n = folders.count()
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.where("NOT folder").selectExpr("path", "size", "timestamp_micros(micros) AS mtime")
 
 
 def scan_code_files(
@@ -104,12 +135,12 @@ def scan_code_files(
     """Read a directory tree, one row per file: path (relative to the directory), content, mtime.
 
     Spark's own file sources hide names that begin with ``_`` or ``.``; here only the policy decides. Files
-    are listed and chosen by path, and their paths dealt out before tasks read the contents.
+    are listed and chosen by path, and their paths dealt out, by as many bytes as Spark gives to a task that reads
+    files, before tasks read the contents.
     """
-    local = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", directory) is None
-    system, root = (LocalFileSystem(), os.path.abspath(directory)) if local else FileSystem.from_uri(directory)
+    system, root = _file_system(directory)
     chosen = select_code_files(
-        _listed(spark, system, root), policy, extensions, root=directory, max_files=max_files)
+        _listed(spark, system, root, policy, directory), policy, extensions, root=directory, max_files=max_files)
 
     def read(batches):
         for batch in batches:
@@ -121,7 +152,7 @@ def scan_code_files(
                     ["path", "content", "mtime"])
 
     size = chosen.agg(F.sum("size")).first()[0] or 0
-    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    part = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // part))
     files = chosen.select("path", "mtime").repartition(tasks).mapInArrow(read, "path string, content binary, mtime timestamp")
     return files.selectExpr("path", "make_valid_utf8(cast(content AS string)) AS content", "mtime")

@@ -377,6 +377,50 @@ def test_scan_keeps_hidden_names(spark, tmp_path):
     assert code_files.scan_code_files(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_scan_walks_a_tree_once_and_in_many_tasks(spark, tmp_path, monkeypatch):
+    tree = tmp_path / "tree"
+    for i in range(60):
+        folder = tree / "one" / f"part{i % 20}" / f"deep{i}"
+        folder.mkdir(parents=True)
+        (folder / "a.js").write_text(str(i))
+        ignored = tree / "one" / "node_modules" / f"p{i}"
+        ignored.mkdir(parents=True)
+        (ignored / "x.js").write_text("")
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    class Listing:
+        """Notes each folder that a task lists."""
+
+        def get_file_info(self, selector):
+            import os
+            import uuid
+
+            from pyarrow.fs import LocalFileSystem
+            from pyspark import TaskContext
+
+            (opened / uuid.uuid4().hex).write_text(f"{os.path.relpath(selector.base_dir, tree)} {TaskContext.get().taskAttemptId()}")
+            return LocalFileSystem().get_file_info(selector)
+
+        def open_input_stream(self, path, compression=None):
+            from pyarrow.fs import LocalFileSystem
+
+            return LocalFileSystem().open_input_stream(path, compression=compression)
+
+    monkeypatch.setattr(code_files, "_file_system", lambda directory: (Listing(), str(tree)))
+    got = code_files.scan_code_files(spark, str(tree))
+    assert sorted(int(r.content) for r in got.collect()) == list(range(60))
+    assert got.count() == 60
+    notes = [n.read_text().rsplit(" ", 1) for n in opened.iterdir()]
+    # the root, "one", its parts, their folders; nothing ignored, nothing twice
+    assert len(notes) == len({n for n, _ in notes}) == 1 + 1 + 20 + 60
+    assert len({task for _, task in notes}) > 10
+
+
+def test_sizes_as_settings_write_them():
+    assert [code_files._bytes(x) for x in ("134217728", "7b", "16m", "1 GB")] == [134217728, 7, 16 << 20, 1 << 30]
+
+
 def test_threshold_does_not_copy_the_patterns(spark):
     files = spark.createDataFrame([("a.js", "var a = 1; // x")], "path string, content string")
 
