@@ -15,6 +15,12 @@ scores its tokens and sends partial sums per document. All sums are exact and al
 Fragments are as many as ``spark.sql.shuffle.partitions``. A frequent word's tokens are summed per
 block before they travel, as one count per context and document.
 
+What travels is small numbers, compressed by byte planes. A fragment knows a document by its block and its place
+there only; the block's ids go to one of its fragments, and the fragments' sums of a block meet
+in one task. A block goes by its partition and a digest of its rows, so ``docs`` must give its rows in the same order
+when a task is repeated, as the scan of a table does; sums that do not belong together are told by the counts of
+end tokens and raise an error.
+
 Defined cases: a null or empty text is one end token; a row without id is held out; repeated rows are
 trained on as often as they come, and scored each; an empty table gives an empty result. Other columns
 than id and text are not read.
@@ -22,11 +28,13 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,23 +53,40 @@ SINGLY = 32
 BLOCK_BYTES = 4_000_000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
-_BLOBS = ["words", "word_pairs", "contexts", "pair_context", "pair_entries", "entry_row", "entry_count", "ids", "tags", "flags"]
+_BLOBS = ["words", "word_pairs", "contexts", "pair_context", "pair_entries", "entry_row", "entry_count", "training"]
+#: A block: its partition, digest and number of rows; and, in one of its rows only, the ids and which are missing.
+_BLOCK = "part int, block long, n int, ids binary, unnamed binary"
+_CONTEXT_BITS = 40
 
 
 def _part(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
 
 
+def _shrink(values: np.ndarray) -> bytes:
+    """Numbers, compressed by byte planes: small ones in wide types take little."""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _grown(packed: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    if not len(packed):
+        return np.zeros(0, dtype=kind)
+    packed = pa.py_buffer(packed) if isinstance(packed, bytes) else packed
+    size = int(np.frombuffer(packed, "<u8", 1)[0])
+    planes = np.frombuffer(pa.decompress(packed.slice(8), size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pack(contexts: np.ndarray) -> bytes:
-    """40-bit values in five bytes each."""
-    return np.ascontiguousarray(contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """40-bit values as steps from each to the next."""
+    return _shrink(np.diff(contexts, prepend=_U(0)) & _U((1 << _CONTEXT_BITS) - 1))
 
 
 def _unpack(packed: bytes | pa.Buffer) -> np.ndarray:
-    values = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(values), 8), dtype=np.uint8)
-    out[:, :5] = values
-    return out.view("<u8").ravel()
+    return np.cumsum(_grown(packed, "<u8"), dtype=np.uint64) & _U((1 << _CONTEXT_BITS) - 1)
 
 
 def is_training(doc_id) -> bool:
@@ -70,7 +95,9 @@ def is_training(doc_id) -> bool:
 
 def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
     """Packed tokens by fragment of their word; see _BLOBS for the arrays of a row."""
-    schema = pa.schema([("fragment", pa.int64()), *[(c, pa.binary()) for c in _BLOBS]])
+    schema = pa.schema([
+        ("fragment", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()),
+        ("unnamed", pa.binary()), *[(c, pa.binary()) for c in _BLOBS]])
 
     def block(part):
         # a function of its own, so that a block's arrays go before the next one is made
@@ -98,11 +125,13 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
         entries = np.diff(np.r_[pair, len(key)])
         pair_word, pair_context = np.divmod(key[pair], len(vocabulary) + 1)
         ids = part.column("doc_id").to_pylist()
-        flags = np.array([(2 if i is None else 0) | is_training(i) for i in ids], dtype=np.uint8)
+        unnamed = np.packbits([i is None for i in ids])
+        training = np.packbits([is_training(i) for i in ids])
         numbers = np.array([0 if i is None else i for i in ids], dtype="<i8")
-        # tells rows of one id apart: sums of a text's tokens, each mixed with its place
-        place = np.arange(len(tokens), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-        tags = np.add.reduceat(wordhash.mix(tokens ^ wordhash.mix(place + _U(1))), starts).astype("<u8")
+        digest = hashlib.blake2b(digest_size=8)
+        for values in (tokens, starts, numbers, unnamed):
+            digest.update(np.ascontiguousarray(values).data)
+        me = (TaskContext.get().partitionId(), int.from_bytes(digest.digest(), "little", signed=True), n)
         edge = np.searchsorted(_part(vocabulary[pair_word], fragments), np.arange(fragments + 1))
         first = np.r_[pair, len(key)]
         rows = []
@@ -113,12 +142,13 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
             ws, per_word = np.unique(pair_word[x:y], return_counts=True)
             cs, at = np.unique(pair_context[x:y], return_inverse=True)
             mine = slice(first[x], first[y])
-            docs_here, local = np.unique(row[mine], return_inverse=True)
-            blobs = [vocabulary[ws].astype("<u8"), per_word.astype("<u4"), np.frombuffer(_pack(known[cs]), np.uint8),
-                     at.astype("<u2" if len(cs) < 65536 else "<u4"), entries[x:y].astype("<u4"),
-                     local.astype("<u2" if len(docs_here) < 65536 else "<u4"), count[mine].astype("<u4"),
-                     numbers[docs_here], tags[docs_here], flags[docs_here]]
-            rows.append((f, *[v.tobytes() for v in blobs]))
+            places, entered, rows_of, counts = (
+                _shrink(v.astype("<u4")) for v in (at, entries[x:y], row[mine], count[mine]))
+            blobs = [_shrink(vocabulary[ws].astype("<u8")), _shrink(per_word.astype("<u4")), _pack(known[cs]),
+                     places, entered, rows_of, counts, training.tobytes()]
+            rows.append([f, *me, b"", b"", *blobs])
+        # every block has end tokens, so it has rows
+        rows[me[1] % len(rows)][4:6] = _shrink(numbers), unnamed.tobytes()
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -128,7 +158,8 @@ def _blocks(docs: DataFrame, fragments: int) -> DataFrame:
                 yield block(batch.slice(a, b - a))
                 pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "fragment long, " + ", ".join(f"{c} binary" for c in _BLOBS))
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"fragment long, {_BLOCK}, " + ", ".join(f"{c} binary" for c in _BLOBS))
 
 
 def _uniform(words: np.ndarray, contexts: np.ndarray, sweep: int, step: int) -> np.ndarray:
@@ -185,10 +216,10 @@ class _Fragment:
 
     def __init__(self, rows: pa.Table):
         pa.default_memory_pool().release_unused()
-        # views of Arrow's own memory: a copy as Python bytes would double a fragment
+        # views of Arrow's own memory, opened one block at a time
         columns = [[x.as_buffer() for x in rows.column(c)] for c in _BLOBS]
-        self.blocks = [dict(zip(_BLOBS, r, strict=True)) for r in zip(*columns, strict=True)]
-        self.words = _union(np.frombuffer(b["words"], "<u8") for b in self.blocks)
+        self.blocks = [dict(zip([*_BLOBS, "n"], r, strict=True)) for r in zip(*columns, rows.column("n").to_pylist(), strict=True)]
+        self.words = _union(_grown(b["words"], "<u8") for b in self.blocks)
         self.contexts = _union(_unpack(b["contexts"]) for b in self.blocks)
         pairs = _union(map(self._keys, self.blocks))
         self.pairs = [np.searchsorted(pairs, self._keys(b)).astype(np.int32) for b in self.blocks]
@@ -197,7 +228,7 @@ class _Fragment:
         del pairs
         for block, at in zip(self.blocks, self.pairs, strict=True):
             entries, row, count = self.entries(block)
-            seated = (self.column(block, "flags", "u1") & 1)[row] * count
+            seated = np.unpackbits(np.frombuffer(block["training"], np.uint8))[row] * count
             # a pair stands once in a block, with at least one entry
             self.customers[at] += np.add.reduceat(seated, np.cumsum(entries) - entries)
         self.customers = self.customers.astype(np.int32)
@@ -205,31 +236,26 @@ class _Fragment:
         self.context_count = np.bincount(self.context, self.customers, len(self.contexts)).astype(np.int64)
         self.n, self.known = int(self.word_count.sum()), int((self.word_count > 0).sum())
 
-    @staticmethod
-    def column(block: dict, name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(block[name], kind)
-
     def _keys(self, block: dict) -> np.ndarray:
         """A block's pairs as numbers: place of the word, then of the context."""
-        word = np.searchsorted(self.words, self.column(block, "words", "<u8"))
+        word = np.searchsorted(self.words, _grown(block["words"], "<u8"))
         context = np.searchsorted(self.contexts, _unpack(block["contexts"]))
-        at = self.column(block, "pair_context", "<u2" if len(context) < 65536 else "<u4")
-        return np.repeat(word, self.column(block, "word_pairs", "<u4")) * len(self.contexts) + context[at]
+        at = _grown(block["pair_context"], "<u4")
+        return np.repeat(word, _grown(block["word_pairs"], "<u4")) * len(self.contexts) + context[at]
 
-    def entries(self, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def entries(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A block's entries per pair, and each entry's row in the block and count."""
-        kind = "<u2" if block["ids"].size // 8 < 65536 else "<u4"
-        return (self.column(block, "pair_entries", "<u4").astype(np.int64), self.column(block, "entry_row", kind),
-                self.column(block, "entry_count", "<u4").astype(np.int64))
+        return (_grown(block["pair_entries"], "<u4").astype(np.int64), _grown(block["entry_row"], "<u4"),
+                _grown(block["entry_count"], "<u4").astype(np.int64))
 
     def per_row(self, *of_pair: np.ndarray):
-        """For each block its rows' sums of every given value of the pairs."""
+        """For each block the rows of it that are here, their tokens, and their sums of every given value of the pairs."""
         for block, at in zip(self.blocks, self.pairs, strict=True):
             entries, row, count = self.entries(block)
-            yield [np.bincount(row, np.repeat(v[at], entries) * count, block["ids"].size // 8) for v in of_pair]
-
-    def all_of(self, name: str, kind: str) -> np.ndarray:
-        return np.concatenate([self.column(b, name, kind) for b in self.blocks])
+            tokens = np.bincount(row, count, block["n"])
+            here = np.flatnonzero(tokens)
+            yield [here, tokens[here], *[np.bincount(row, np.repeat(v[at], entries) * count, block["n"])[here] for v in of_pair]]
 
     def unseated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What stands before the first sweep, one table for every dish; as :meth:`sweep` returns it."""
@@ -261,10 +287,9 @@ class _Sums:
     def __init__(self, rows: pd.DataFrame):
         # each row has the contexts of one receiver, in their order
         rows = rows.sort_values("to")
-        self.customers = np.frombuffer(b"".join(rows["customers"]), "<u8")
-        self.tables = np.frombuffer(b"".join(rows["tables"]), "<u8")
+        self.customers, self.tables = (np.concatenate([_grown(x, "<u8") for x in rows[c]]) for c in ("customers", "tables"))
         #: Customers and tables of the words in the parent restaurant.
-        self.own = np.frombuffer(b"".join(rows["own"]), "<i8").reshape(2, -1)
+        self.own = np.concatenate([_grown(x, "<i8") for x in rows["own"]]).reshape(2, -1)
         self.n, self.known, self.sent, self.above = (int(rows[c].iloc[0]) for c in _TOTALS)
         #: The parent's weight of any word, from the base.
         self.base = (PARENT_STRENGTH + PARENT_DISCOUNT * self.above) / (self.known + 1)
@@ -289,15 +314,15 @@ def _send(step: int, fragments: int):
         else:
             tables, sent, above = fragment.sweep(step - 1, _Sums(received.to_pandas()))
         me = key[0].as_py()
-        own = np.stack([sent, above]).astype("<i8").tobytes()
+        own = _shrink(np.concatenate([sent, above]).astype("<i8"))
         sizes = np.bincount(fragment.context, tables, len(fragment.contexts)).astype("<u4")
         customers = fragment.context_count.astype("<u4")
         edge = np.searchsorted(_part(fragment.contexts << _U(24), fragments), np.arange(fragments + 1))
         out = []
         for g in range(fragments):
             mine = slice(edge[g], edge[g + 1])
-            out.append((step, me, g, _pack(fragment.contexts[mine]), customers[mine].tobytes() if step == 0 else b"",
-                        sizes[mine].tobytes(), own if g == me else b"", fragment.n, fragment.known, int(sent.sum()), int(above.sum())))
+            out.append((step, me, g, _pack(fragment.contexts[mine]), _shrink(customers[mine]) if step == 0 else b"",
+                        _shrink(sizes[mine]), own if g == me else b"", fragment.n, fragment.known, int(sent.sum()), int(above.sum())))
         names = [c.split()[0] for c in _PARTS.split(", ")]
         return pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
@@ -312,10 +337,10 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum([0, *map(len, contexts)])
     out = rows[["step", "fragment", "to", "own"]].copy()
     for c in ("customers", "tables"):
-        parts = np.concatenate([np.frombuffer(x, "<u4") for x in rows[c]])
+        parts = np.concatenate([_grown(x, "<u4") for x in rows[c]])
         if len(parts):
             sums = np.bincount(at, parts, len(known)).astype("<u8")
-            out[c] = [sums[at[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out[c] = [_shrink(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         else:
             out[c] = [b""] * len(rows)
     for c in _TOTALS:
@@ -323,7 +348,13 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _score(rows: pa.Table, received: pa.Table) -> pa.Table:
+#: A fragment's sums for the rows of a block that are there.
+_SCORED = {"rows": "<u4", "counted": "<u4", "known": "<u4", "ends": "<u4", "base": "<f8", "score": "<f8"}
+_SCORES = f"fragment long, {_BLOCK}, total long, " + ", ".join(f"{c} binary" for c in _SCORED)
+_RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(key: tuple, rows: pa.Table, received: pa.Table) -> pa.Table:
     fragment = _Fragment(rows)
     sums = {step: _Sums(part) for step, part in received.to_pandas().groupby("step")}
     total = sums[0]
@@ -339,14 +370,35 @@ def _score(rows: pa.Table, received: pa.Table) -> pa.Table:
     base = np.log10((fragment.word_count + 0.1) / (total.n + 0.1 * (total.known + 1)))
     known, ends = (fragment.word_count > 0), fragment.words == END
 
-    sums = list(fragment.per_row(np.ones(len(score)), known[fragment.word], ends[fragment.word], base[fragment.word], score))
-    counted, knew, ended, plain, scored = (np.concatenate(x) for x in zip(*sums, strict=True))
-    unnamed = (fragment.all_of("flags", "u1") & 2) > 0
+    sent = [[_shrink(v.astype(kind)) for v, kind in zip(values, _SCORED.values(), strict=True)]
+            for values in fragment.per_row(known[fragment.word], ends[fragment.word], base[fragment.word], score)]
+    return pa.table({
+        "fragment": pa.array([key[0].as_py()] * len(sent), pa.int64()),
+        **{c: rows.column(c) for c in ("part", "block", "n", "ids", "unnamed")},
+        "total": pa.array([total.n] * len(sent), pa.int64()),
+        **{c: pa.array([x[i] for x in sent], pa.binary()) for i, c in enumerate(_SCORED)}})
+
+
+def _put_together(parts: pa.Table) -> pa.Table:
+    """The rows of a block from its fragments' sums; equal blocks of a partition have been added up."""
+    parts = parts.sort_by("fragment")
+    n = parts.column("n")[0].as_py()
+    sums = {c: np.zeros(n) for c in list(_SCORED)[1:]}
+    for part in parts.select(list(_SCORED)).to_pylist():
+        at = _grown(part["rows"], "<u4")
+        for c, values in sums.items():
+            values[at] += _grown(part[c], _SCORED[c])
+    named = [x for x in zip(parts.column("ids").to_pylist(), parts.column("unnamed").to_pylist(), strict=True) if x[0]]
+    copies = len(named)
+    if not copies or (sums["ends"] != copies).any():
+        raise ValueError("a repeated task got other rows, or got them in another order: write docs to a table first")
+    ids, unnamed = _grown(named[0][0], "<i8"), np.unpackbits(np.frombuffer(named[0][1], np.uint8), count=n).astype(bool)
+    whole = {c: np.tile(np.rint(sums[c] / copies).astype(np.int64), copies) for c in ("counted", "known")}
     return pa.table({
-        "doc_id": pa.array(fragment.all_of("ids", "<i8"), mask=unnamed),
-        "tag": fragment.all_of("tags", "<u8").view(np.int64), "n": counted.astype(np.int64),
-        "known": knew.astype(np.int64), "ends": ended.astype(np.int64), "base": plain, "score": scored,
-        "total": np.full(len(unnamed), total.n)})
+        "doc_id": pa.array(np.tile(ids, copies), mask=np.tile(unnamed, copies)),
+        "n_tokens": whole["counted"], "n_known": whole["known"],
+        "train_tokens": np.full(n * copies, parts.column("total")[0].as_py(), dtype=np.int64),
+        "base_score": np.tile(sums["base"] / copies, copies), "score": np.tile(sums["score"] / copies, copies)})
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,14 +417,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     needed = steps[0]
     for step in range(max(1, SWEEPS - SAMPLES), SWEEPS + 1):
         needed = needed.unionByName(steps[step])
-    parts = tokens.groupBy("fragment").cogroup(needed.groupBy("fragment")).applyInArrow(
-        _score, "doc_id long, tag long, n long, known long, ends long, base double, score double, total long")
-    summed = parts.groupBy("doc_id", "tag").agg(
-        *[F.sum(c).alias(c) for c in ("n", "known", "ends", "base", "score")], F.max("total").alias("total"))
-    # equal rows have been added up; each has one end
-    each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("ends").cast("int"))))
+    parts = tokens.groupBy("fragment").cogroup(needed.groupBy("fragment")).applyInArrow(_score, _SCORES)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
-    return each.select(
-        "doc_id", held.alias("held_out"), F.expr("n div ends").alias("n_tokens"), F.expr("known div ends").alias("n_known"),
-        F.col("total").alias("train_tokens"), (F.col("base") / F.col("ends")).alias("base_score"),
-        (F.col("score") / F.col("ends")).alias("score"))
+    return parts.groupBy("part", "block").applyInArrow(_put_together, _RESULT).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
