@@ -7,7 +7,8 @@ draws, several samples are kept, and a token's probability is the mean of the sa
 probabilities; a text's score is the sum of their logarithms.
 
 How it is spread: tokens go once to fragments by their own word, as packed blocks of (word, context,
-document). A fragment holds all customers of its words. Before the first sweep and after every sweep it sends each
+document). A fragment holds all customers of its words. It opens its blocks twice: to count its pairs (word, context),
+which the sweeps work on, and to score. Before the first sweep and after every sweep it sends each
 context's partial tables to the fragment of that context, which adds them up and sends the sums back, with
 the parent restaurant's totals; the next sweep seats with them. With the sums of the kept sweeps the fragment
 scores its tokens and sends partial sums per document. All sums are exact and all draws are functions of
@@ -208,10 +209,57 @@ def _union(parts) -> np.ndarray:
 
 
 class _Fragment:
-    """The customers of a fragment's words by pair (word, context).
+    """The customers of a fragment's words by pair (word, context), pairs in the order of word and context."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, customers: np.ndarray):
+        self.words, self.contexts = words, contexts
+        self.word, self.context = (x.astype(np.int32) for x in np.divmod(pairs, max(1, len(contexts))))
+        self.customers = customers.astype(np.int64)
+        self.word_count = np.bincount(self.word, self.customers, len(words)).astype(np.int64)
+        self.context_count = np.bincount(self.context, self.customers, len(contexts)).astype(np.int64)
+        self.n, self.known = int(self.word_count.sum()), int((self.word_count > 0).sum())
+
+    def packed(self) -> list[bytes]:
+        per_word = np.bincount(self.word, minlength=len(self.words))
+        return [_shrink(self.words), _shrink(per_word.astype("<u4")), _pack(self.contexts),
+                _shrink(self.context.astype("<u4")), _shrink(self.customers.astype("<u8"))]
+
+    @classmethod
+    def unpacked(cls, rows: pa.Table) -> _Fragment:
+        words, per_word, contexts, context, customers = (rows.column(c)[0].as_buffer() for c in _PAIR_BLOBS)
+        words, contexts = _grown(words, "<u8"), _unpack(contexts)
+        pairs = np.repeat(np.arange(len(words)), _grown(per_word, "<u4")) * len(contexts) + _grown(context, "<u4")
+        return cls(words, contexts, pairs, _grown(customers, "<u8"))
+
+    def unseated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What stands before the first sweep, one table for every dish; as :meth:`sweep` returns it."""
+        tables = (self.customers > 0).astype(np.int32)
+        return tables, np.bincount(self.word, tables, len(self.words)).astype(np.int64), (self.word_count > 0).astype(np.int32)
+
+    def sweep(self, number: int, before: _Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A sweep given the sums of the one before: tables of each pair, and each word's customers and
+        tables in the parent restaurant."""
+        if number == 0:
+            parent = (self.word_count + 0.1) / (before.n + 0.1 * (before.known + 1))
+        else:
+            parent = before.parent(*before.own)
+        several = np.flatnonzero(self.customers > 1)
+        word, context = self.word[several], self.context[several]
+        mass = (STRENGTH + DISCOUNT * before.tables)[context] * parent[word]
+        tables = (self.customers > 0).astype(np.int32)
+        tables[several] = seat(self.customers[several], mass, DISCOUNT, self.words[word], self.contexts[context], number)
+        sent = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+        above = (sent > 0).astype(np.int32)
+        some = np.flatnonzero(sent > 1)
+        above[some] = seat(sent[some], np.full(len(some), before.base), PARENT_DISCOUNT, self.words[some], self.words[some], number)
+        return tables, sent, above
+
 
-    Entries (pair, row) stay in the blocks that they came in; only pairs are put together, so a word
-    that most documents have takes the room of its contexts.
+class _Opened(_Fragment):
+    """A fragment with the blocks that its tokens came in.
+
+    Entries (pair, row) stay in their blocks; only pairs are put together, so a word that most documents have takes
+    the room of its contexts.
     """
 
     def __init__(self, rows: pa.Table):
@@ -219,29 +267,25 @@ class _Fragment:
         # views of Arrow's own memory, opened one block at a time
         columns = [[x.as_buffer() for x in rows.column(c)] for c in _BLOBS]
         self.blocks = [dict(zip([*_BLOBS, "n"], r, strict=True)) for r in zip(*columns, rows.column("n").to_pylist(), strict=True)]
-        self.words = _union(_grown(b["words"], "<u8") for b in self.blocks)
-        self.contexts = _union(_unpack(b["contexts"]) for b in self.blocks)
-        pairs = _union(map(self._keys, self.blocks))
-        self.pairs = [np.searchsorted(pairs, self._keys(b)).astype(np.int32) for b in self.blocks]
-        self.word, self.context = (x.astype(np.int32) for x in np.divmod(pairs, len(self.contexts)))
-        self.customers = np.zeros(len(pairs), dtype=np.int64)
-        del pairs
+        words = _union(_grown(b["words"], "<u8") for b in self.blocks)
+        contexts = _union(_unpack(b["contexts"]) for b in self.blocks)
+        pairs = _union(self._keys(b, words, contexts) for b in self.blocks)
+        self.pairs = [np.searchsorted(pairs, self._keys(b, words, contexts)).astype(np.int32) for b in self.blocks]
+        customers = np.zeros(len(pairs), dtype=np.int64)
         for block, at in zip(self.blocks, self.pairs, strict=True):
             entries, row, count = self.entries(block)
             seated = np.unpackbits(np.frombuffer(block["training"], np.uint8))[row] * count
             # a pair stands once in a block, with at least one entry
-            self.customers[at] += np.add.reduceat(seated, np.cumsum(entries) - entries)
-        self.customers = self.customers.astype(np.int32)
-        self.word_count = np.bincount(self.word, self.customers, len(self.words)).astype(np.int64)
-        self.context_count = np.bincount(self.context, self.customers, len(self.contexts)).astype(np.int64)
-        self.n, self.known = int(self.word_count.sum()), int((self.word_count > 0).sum())
+            customers[at] += np.add.reduceat(seated, np.cumsum(entries) - entries)
+        super().__init__(words, contexts, pairs, customers)
 
-    def _keys(self, block: dict) -> np.ndarray:
+    @staticmethod
+    def _keys(block: dict, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """A block's pairs as numbers: place of the word, then of the context."""
-        word = np.searchsorted(self.words, _grown(block["words"], "<u8"))
-        context = np.searchsorted(self.contexts, _unpack(block["contexts"]))
+        word = np.searchsorted(words, _grown(block["words"], "<u8"))
+        context = np.searchsorted(contexts, _unpack(block["contexts"]))
         at = _grown(block["pair_context"], "<u4")
-        return np.repeat(word, _grown(block["word_pairs"], "<u4")) * len(self.contexts) + context[at]
+        return np.repeat(word, _grown(block["word_pairs"], "<u4")) * len(contexts) + context[at]
 
     @staticmethod
     def entries(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,28 +301,14 @@ class _Fragment:
             here = np.flatnonzero(tokens)
             yield [here, tokens[here], *[np.bincount(row, np.repeat(v[at], entries) * count, block["n"])[here] for v in of_pair]]
 
-    def unseated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What stands before the first sweep, one table for every dish; as :meth:`sweep` returns it."""
-        tables = (self.customers > 0).astype(np.int32)
-        return tables, np.bincount(self.word, tables, len(self.words)).astype(np.int64), (self.word_count > 0).astype(np.int32)
 
-    def sweep(self, number: int, before: _Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A sweep given the sums of the one before: tables of each pair, and each word's customers and
-        tables in the parent restaurant."""
-        if number == 0:
-            parent = (self.word_count + 0.1) / (before.n + 0.1 * (before.known + 1))
-        else:
-            parent = before.parent(*before.own)
-        several = np.flatnonzero(self.customers > 1)
-        word, context = self.word[several], self.context[several]
-        mass = (STRENGTH + DISCOUNT * before.tables)[context] * parent[word]
-        tables = (self.customers > 0).astype(np.int32)
-        tables[several] = seat(self.customers[several], mass, DISCOUNT, self.words[word], self.contexts[context], number)
-        sent = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
-        above = (sent > 0).astype(np.int32)
-        some = np.flatnonzero(sent > 1)
-        above[some] = seat(sent[some], np.full(len(some), before.base), PARENT_DISCOUNT, self.words[some], self.words[some], number)
-        return tables, sent, above
+#: A fragment's pairs without their documents: all that the sweeps need.
+_PAIR_BLOBS = ["words", "word_pairs", "contexts", "pair_context", "customers"]
+
+
+def _pairs_of(key: tuple, rows: pa.Table) -> pa.Table:
+    return pa.table({"fragment": pa.array([key[0].as_py()], pa.int64()),
+                     **{c: pa.array([x], pa.binary()) for c, x in zip(_PAIR_BLOBS, _Opened(rows).packed(), strict=True)}})
 
 
 class _Sums:
@@ -308,15 +338,15 @@ def _send(step: int, fragments: int):
     """A fragment's part of every context's tables, after a sweep or (step 0) before the first; with the fragment's totals."""
 
     def run(key: tuple, rows: pa.Table, received: pa.Table | None = None) -> pa.Table:
-        fragment = _Fragment(rows)
+        fragment = _Fragment.unpacked(rows)
         if step == 0:
             tables, sent, above = fragment.unseated()
         else:
             tables, sent, above = fragment.sweep(step - 1, _Sums(received.to_pandas()))
         me = key[0].as_py()
         own = _shrink(np.concatenate([sent, above]).astype("<i8"))
-        sizes = np.bincount(fragment.context, tables, len(fragment.contexts)).astype("<u4")
-        customers = fragment.context_count.astype("<u4")
+        sizes = np.bincount(fragment.context, tables, len(fragment.contexts)).astype("<u8")
+        customers = fragment.context_count.astype("<u8")
         edge = np.searchsorted(_part(fragment.contexts << _U(24), fragments), np.arange(fragments + 1))
         out = []
         for g in range(fragments):
@@ -337,7 +367,7 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum([0, *map(len, contexts)])
     out = rows[["step", "fragment", "to", "own"]].copy()
     for c in ("customers", "tables"):
-        parts = np.concatenate([_grown(x, "<u4") for x in rows[c]])
+        parts = np.concatenate([_grown(x, "<u8") for x in rows[c]])
         if len(parts):
             sums = np.bincount(at, parts, len(known)).astype("<u8")
             out[c] = [_shrink(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -355,7 +385,7 @@ _RESULT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_sco
 
 
 def _score(key: tuple, rows: pa.Table, received: pa.Table) -> pa.Table:
-    fragment = _Fragment(rows)
+    fragment = _Opened(rows)
     sums = {step: _Sums(part) for step, part in received.to_pandas().groupby("step")}
     total = sums[0]
     chance = np.zeros(len(fragment.word))
@@ -406,11 +436,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = on_workers(docs.sparkSession)
     fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # read by every step below and for the scores: one shuffle, which Spark uses again
+    # read for the pairs and for the scores, and the pairs by every step below: two shuffles, which Spark uses again
     tokens = _blocks(docs, fragments).repartition(fragments, "fragment")
+    pairs = tokens.groupBy("fragment").applyInArrow(
+        _pairs_of, "fragment long, " + ", ".join(f"{c} binary" for c in _PAIR_BLOBS)).repartition(fragments, "fragment")
     steps = []
     for step in range(SWEEPS + 1):
-        rows = tokens.groupBy("fragment")
+        rows = pairs.groupBy("fragment")
         if step:
             rows = rows.cogroup(steps[-1].groupBy("fragment"))
         steps.append(rows.applyInArrow(_send(step, fragments), _PARTS).groupBy("to").applyInPandas(_add, _SUMS))
