@@ -64,6 +64,10 @@ NOTICES = [
 ]
 
 
+#: Added to a start, which may lie before the text, in a number of 32 bits.
+_ZERO = 1 << 31
+
+
 def vocabulary(templates: list[Template]) -> list[str]:
     return sorted({w for t in templates for w in t.words.split()})
 
@@ -119,8 +123,11 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
     hits = F.array_compact(F.transform("__words", lambda w, i: F.when(
         w.isin(anchors), F.struct(w.alias("w"), i.alias("i")))))
     df = df.withColumn("__hits", hits)
+    # template and start in one number: Spark finds distinct numbers by hashing, distinct structs by comparing all with all
     starts = F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.transform(
-        F.element_at(lists, h["w"]), lambda a: F.struct(a["t"].alias("t"), (h["i"] - a["p"]).alias("s"))))))
+        F.element_at(lists, h["w"]), lambda a: F.shiftleft(a["t"].cast("long"), 32) + (h["i"] - a["p"] + F.lit(_ZERO))))))
+    starts = F.transform(starts, lambda x: F.struct(
+        F.shiftright(x, 32).cast("int").alias("t"), (x.bitwiseAND(F.lit((1 << 32) - 1)) - _ZERO).cast("int").alias("s")))
     df = df.withColumn("__starts", F.when(F.size("__hits") > 0, starts)).drop("__hits")
 
     texts = _literal([t.words.split() for t in templates])

@@ -1,5 +1,6 @@
 """The operators in DataFrame functions: against plain versions, and on awkward input."""
 
+import time
 import pytest
 
 from codewarden.llm import chat, decontaminate, license_index, line_dedup, pii, quality_hosts
@@ -199,3 +200,20 @@ def test_near_items_without_their_rarest_words(spark):
     assert got[1] == (["1", "2", "4"], []) and got[2] == (["1", "4"], [])
     assert got[3] == (["1"], []) and got[4] == ([], []) and got[5] == (["1"], [])
     assert not any(a or b for i, (a, b) in got.items() if i >= 100)
+
+
+def test_licenses_of_very_many_mentions(spark):
+    """Twice the mentions take about twice the time, and each is found once at its place."""
+    def run(n):
+        table = docs(spark, [(1, "mit license and cc by " * n)])
+        begun = time.perf_counter()
+        found = license_index.find_licenses(table).select("licenses").first()["licenses"]
+        return time.perf_counter() - begun, sorted((m["start"], m["label"]) for m in found)
+
+    run(100)
+    run(20_000)
+    short, _ = run(20_000)
+    long, found = run(40_000)
+    assert found == sorted([(5 * i, "mit") for i in range(40_000)] + [(5 * i + 3, "cc-by") for i in range(40_000)])
+    # with the square of the mentions it would be four times
+    assert long < 3 * short + 2
