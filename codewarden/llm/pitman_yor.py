@@ -445,7 +445,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         rows = pairs.groupBy("fragment")
         if step:
             rows = rows.cogroup(steps[-1].groupBy("fragment"))
-        steps.append(rows.applyInArrow(_send(step, fragments), _PARTS).groupBy("to").applyInPandas(_add, _SUMS))
+        sums = rows.applyInArrow(_send(step, fragments), _PARTS).groupBy("to").applyInPandas(_add, _SUMS)
+        # a shuffle of its own, so that the next sweep and the scores read the same sums
+        steps.append(sums.repartition(fragments, "fragment"))
     needed = steps[0]
     for step in range(max(1, SWEEPS - SAMPLES), SWEEPS + 1):
         needed = needed.unionByName(steps[step])
