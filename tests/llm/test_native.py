@@ -1,6 +1,7 @@
 """The operators in DataFrame functions: against plain versions, and on awkward input."""
 
 import time
+
 import pytest
 
 from codewarden.llm import chat, decontaminate, license_index, line_dedup, pii, quality_hosts
