@@ -27,10 +27,13 @@ def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
 
 
 def changed_files(files: DataFrame | FileTable, sessions: DataFrame) -> DataFrame:
-    """Files named in a batch of sessions. A file table opens their buckets only; a plain table is scanned."""
+    """Files named in a batch of sessions. A file table opens their buckets only; a plain table is scanned.
+
+    Changed files often stand together in the table, so they are dealt out by path before they are analysed.
+    """
     if isinstance(files, FileTable):
         return files.select(sessions)
-    return files.join(sessions.select("path").distinct(), "path", "left_semi")
+    return files.join(sessions.select("path").distinct(), "path", "left_semi").repartition("path")
 
 
 def analyze_sessions(
@@ -43,8 +46,10 @@ def analyze_sessions(
         learn.with_profile(files, learned), rules, exceptions,
         drift_detection=learned is not None, **options,
     )
-    rows = sessions.select("path", F.col("session_end").alias("ts")).join(analyzed, "path")
-    return analysis.as_events(rows)
+    # the entry of a file is made once, however many sessions it has
+    entries = analysis.as_events(analyzed, "cast(NULL AS timestamp)")
+    ends = sessions.select(F.col("path").alias("file"), F.col("session_end").alias("ts"))
+    return ends.join(entries.drop("ts"), "file").select(*entries.columns)
 
 
 class Lifecycle(StreamingQueryListener):

@@ -14,6 +14,7 @@ from codewarden.sources.analysis_log import AnalysisLog
 from codewarden.sources.file_table import FileTable
 from codewarden.streaming import changes, monitor
 from tests.test_streaming import T0, at, write_changes
+from verification import spark_queries
 
 FILES = "path string, content string, size int"
 
@@ -164,3 +165,28 @@ def test_status_lists_recent_activity(spark):
     assert [r.file for r in status.recent] == [f"f{d}.js" for d in range(18, 28)]
     assert status.recent[-1].total_issues == 0 and status.is_running and status.files_analyzed == 20
     assert at(0) == T0
+
+
+def test_changed_files_that_stand_together_are_dealt_out(spark):
+    table = files(spark, 400).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = monitor.changed_files(table, table.where("size < 40").select("path"))
+        assert got.count() == 40 and got.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_written_log_learns_once(spark, tmp_path, monkeypatch):
+    calls, profiled = [], learn.learn(files(spark, 20))
+    monkeypatch.setattr(spark_queries, "learned", lambda s, d: calls.append(d) or profiled)
+    monkeypatch.setattr(spark_queries, "_scratch", lambda s: str(tmp_path))
+    monkeypatch.setattr(spark_queries, "files", lambda s, d, policy: files(s, 20))
+    monkeypatch.setattr(spark_queries, "exceptions", lambda s, d: None)
+    bursts = files(spark, 3).selectExpr("path", "timestamp '2024-01-01 00:00:00' AS session_end").union(
+        files(spark, 1).selectExpr("path", "timestamp '2024-01-01 00:00:05'"))
+    monkeypatch.setattr(spark_queries, "debounced", lambda s, d: bursts)
+    assert spark_queries.saved_profile(spark, str(tmp_path)).collect() == profiled.collect()
+    assert len(calls) == 1
+    entries = spark_queries.written_log(spark, str(tmp_path)).entries(spark)
+    assert sorted(r.file for r in entries.collect()) == ["src/f0.js", "src/f0.js", "src/f1.js", "src/f2.js"]
