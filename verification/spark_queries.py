@@ -695,10 +695,11 @@ def debounced(spark, d):
     return changes.sessions(corpus.changes(spark, d), GAP_SECONDS)
 
 
-def _events(spark, d):
+def _events(spark, d, conventions=None):
     bursts = debounced(spark, d)
     source = monitor.changed_files(files(spark, d, "watch"), bursts)
-    return monitor.analyze_sessions(bursts, source, rules(spark), exceptions(spark, d), learned(spark, d))
+    conventions = learned(spark, d) if conventions is None else conventions
+    return monitor.analyze_sessions(bursts, source, rules(spark), exceptions(spark, d), conventions)
 
 
 def log(spark, d):
@@ -709,12 +710,16 @@ _WRITTEN: dict[tuple[str, str], AnalysisLog] = {}
 
 
 def written_log(spark, d) -> AnalysisLog:
-    """The log of the given tables as a monitor keeps it: written once per application, read by the queries below."""
+    """The log of the given tables as a monitor keeps it: written once per application, read by the queries below.
+
+    The profile is learned once, saved beside the log and used for its entries.
+    """
     key = spark.sparkContext.applicationId, d
     log = _WRITTEN.get(key)
     if log is None or not storage.exists(spark, f"{log.root}/summary/batch=0"):
         log = AnalysisLog(f"{_scratch(spark)}/log")
-        log.write_batch(_events(spark, d), 0)
+        profile.save_profile(learned(spark, d), f"{log.root}/profile")
+        log.write_batch(_events(spark, d, profile.load_profile(spark, f"{log.root}/profile")), 0)
         times = log.daily(spark).agg(F.min("first_ts"), F.max("last_ts")).first()
         if times[0] is not None:
             log.add_lifecycle(spark, "monitor_started", times[0])
@@ -729,10 +734,7 @@ def recent_log(spark, d):
 
 def saved_profile(spark, d):
     """The learned profile, saved beside the written log and loaded again."""
-    path = f"{written_log(spark, d).root}/profile"
-    if not storage.exists(spark, path):
-        profile.save_profile(learned(spark, d), path)
-    return profile.load_profile(spark, path)
+    return profile.load_profile(spark, f"{written_log(spark, d).root}/profile")
 
 
 @query
