@@ -109,7 +109,7 @@ def is_blank(content: str) -> str:
 # What to search in ``content`` for each kind of identifier: (pattern, gate, scope).
 VARIABLES = (VARIABLE, "", None)
 CONSTANTS = (CONSTANT, contains("content", "const"), None)
-IMPORTS = (IMPORT, rx.contains_all("content", ["import", "from"]), None)
+IMPORTS = (IMPORT, rx.may_contain("content", ["import", "from"]), None)
 FUNCTIONS = {k: (p, "", None) for k, p in FUNCTION.items()}
 
 
@@ -170,7 +170,7 @@ def export_style(content: str) -> str:
     """named / default / mixed, null without exports."""
     found = struct(
         named=f"{contains(content, 'export')} AND {matches(content, NAMED_EXPORT)}",
-        default=f"{rx.contains_all(content, ['export', 'default'])} AND {matches(content, DEFAULT_EXPORT)}",
+        default=f"{rx.may_contain(content, ['export', 'default'])} AND {matches(content, DEFAULT_EXPORT)}",
     )
     return let(found, lambda f: case([
         (f"{f}.named AND {f}.default", "'mixed'"), (f"{f}.named", "'named'"), (f"{f}.default", "'default'"),

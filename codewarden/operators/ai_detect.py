@@ -62,7 +62,7 @@ class Pattern:
 
     def gate(self, lowered: str) -> str:
         """Condition without which the pattern cannot match; ``lowered`` is the lower-cased content."""
-        return rx.contains_all(lowered if self.ignore_case else "content", self.requires)
+        return rx.may_contain(lowered if self.ignore_case else "content", self.requires)
 
     def spec(self, lowered: str) -> tuple:
         scope = self.scope("content")
@@ -235,7 +235,7 @@ def _counts(lowered: str) -> str:
     ]
     fields["comment_pattern"] = " + ".join(comment)
     names = transform(
-        f"regexp_extract_all(content, {q(text.FUNCTION['detect'])}, 0)",
+        f"regexp_extract_all(content, {q(rx.quick(text.FUNCTION['detect']))}, 0)",
         lambda m: text.function_name(m, "detect"),
     )
     fields["naming_pattern"] = f"size({keep(names, _named_like_ai)})"

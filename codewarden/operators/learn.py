@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import naming, text
-from codewarden.functions.regex import contains
+from codewarden.functions.regex import contains, quick
 from codewarden.functions.sql import case, keep, let, q, struct, transform
 from codewarden.schemas import PROFILE
 
@@ -39,7 +39,7 @@ def _entry(section: str, field: str, key: str, n: str = "1") -> str:
 
 
 def _names(content: str, name, pattern: str) -> str:
-    return transform(f"regexp_extract_all({content}, {q(pattern)}, 0)", name)
+    return transform(f"regexp_extract_all({content}, {q(quick(pattern))}, 0)", name)
 
 
 def _styles(names: str, field: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import naming, scoring, text
-from codewarden.functions.regex import SPACE, contains, matches, newlines
+from codewarden.functions.regex import SPACE, contains, matches, newlines, quick
 from codewarden.functions.sql import array, keep, leading, let, q, struct, transform
 from codewarden.operators.registry import registered_rules
 from codewarden.schemas import NO_VIOLATIONS, VIOLATION, Sql, violation
@@ -75,7 +75,7 @@ def _first_lines(hits: str, found) -> str:
     """
 
     def overlapping(h):
-        behind = f"regexp_extract_all(content, {q(f'{text.VARIABLE}(?=({SPACE}+{text.NAME})?)')}, 2)"
+        behind = f"regexp_extract_all(content, {q(f'{quick(text.VARIABLE)}(?=({SPACE}+{text.NAME})?)')}, 2)"
         keyword = f"regexp_extract(x.text, {q('(let|const|var)$')}, 1)"
         spot = struct(text=f"concat({keyword}, b)", line=f"x.line + {newlines('x.text')}")
         return f"filter(zip_with({h}, {behind}, (x, b) -> if({keyword} <> '' AND b <> '', {spot}, NULL)), s -> s IS NOT NULL)"

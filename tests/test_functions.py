@@ -202,3 +202,20 @@ def test_scores_stay_in_range(evaluate):
     got = evaluate([{"n": n} for n in (0, 1, 5, 500)], rule=scoring.rule_score(vs), drift=scoring.drift_score(vs))
     assert [g["rule"] for g in got] == [100, 80, 0, 0]
     assert [g["drift"] for g in got] == [100.0, 80.0, 0.0, 0.0]
+
+
+def test_searched_patterns_match_what_the_plain_ones_do(evaluate):
+    content = ("outlet x; constlet y; vonst a; cet b; lar c; function f(; const const = (; let g = async (a) => 1;\nvar data = {\n"
+               "let config = {}\nfunctionfunction h() {}; const k = function () {}")
+    for p in [text.VARIABLE, *text.FUNCTION.values(), *[p.rx for p in [ai_detect.STRUCTURE[1], ai_detect.SIGNATURES[-1]]]]:
+        assert rx.quick(p) != p and not rx.quick(p).startswith("(?=")
+        got = evaluate([{"content": content}], h=rx.hits("content", p), n=rx.count("content", p))[0]
+        assert [(h["text"], h["line"], h["col"]) for h in got["h"]] == python_hits(p, content) and got["n"] == len(got["h"])
+    assert rx.quick(text.IMPORT) == text.IMPORT
+
+
+def test_gates_look_for_rare_characters_and_hold_wherever_the_literals_do(evaluate):
+    for kind, patterns in {"comment": ai_detect.COMMENTS, **ai_detect.EVERY_MATCH}.items():
+        for p in patterns:
+            assert evaluate([{"content": " ".join(p.requires)}], g=p.gate("content") or "true")[0]["g"], kind
+    assert rx.may_contain("c", ["todo:", "implement"]) == "contains(c, 'plement') AND contains(c, 'do:')"
