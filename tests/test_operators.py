@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from codewarden.operators import ai_audit, ai_detect, drift, learn, org_rules, r
 from codewarden.plans import activity, analysis
 from codewarden.schemas import ANALYSIS_LOG, EXCEPTIONS, explode_violations
 from codewarden.sources import code_files, logs, profile, rules
+from verification import spark_queries
 
 BAD = "var user_name = 1;\n// eval is bad\neval(user_name);\nfetch('/x');\nel.innerHTML = user_name;\n"
 GOOD = "import a from './a.js';\nexport const itemCount = 1;\n"
@@ -429,3 +431,12 @@ def test_threshold_does_not_copy_the_patterns(spark):
 
     detected = ai_detect.detect(files)
     assert patterns(ai_detect.above(detected)) == patterns(detected)
+
+
+def test_long_lines_take_time_by_the_text_not_by_its_square(spark, monkeypatch):
+    content = "\n".join(["x" * 121, "short"] * 20_000)
+    monkeypatch.setattr(spark_queries, "unprofiled", lambda s, d, policy: learn.with_profile(files_of(s, a_DOT_js=content), None))
+    start = time.time()
+    rows = spark_queries.registry_checks(spark, "").where("rule = 'custom/long-line'").orderBy("line").collect()
+    assert time.time() - start < 60 and len(rows) == 20_000
+    assert (rows[1].line, rows[1].message) == (3, "Line has 121 characters")

@@ -151,9 +151,9 @@ def rules_history(spark, d):
 def registry_checks(spark, d):
     """User-defined checks beside the built-in ones: a SQL function and a table function."""
     rule_id = "custom/long-line"
-    check = registry.sql_check(spark, "long_lines", "filter(transform(split(content, '\\\\n', -1), (l, i) -> "
-                               "named_struct('line', i + 1, 'message', concat('Line has ', length(l), ' characters'))), "
-                               "(f, i) -> length(split(content, '\\\\n', -1)[i]) > 120)")
+    check = registry.sql_check(spark, "long_lines", "transform(filter(transform(split(content, '\\\\n', -1), (l, i) -> "
+                               "named_struct('line', i + 1, 'n', length(l))), x -> x.n > 120), x -> "
+                               "named_struct('line', x.line, 'message', concat('Line has ', x.n, ' characters')))")
     registry.register_rule(rule_id, "custom", "low", check)
     try:
         source = unprofiled(spark, d, "drift")
