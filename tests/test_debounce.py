@@ -3,6 +3,8 @@
 import random
 import time
 
+import pandas as pd
+
 from codewarden.streaming import changes, debounce
 from tests.test_streaming import CASES, SESSION, bursts, events, write_changes
 
@@ -68,3 +70,65 @@ def test_changes_out_of_order_over_batches_are_all_kept(spark, tmp_path):
     want = bursts(changes.sessions(events(spark, newer + older), 1.0))
     late = bursts(events(spark, [("a.js", 100.2)]).selectExpr("path", "ts AS first_ts", "ts AS last_ts", "1L AS n"))
     assert sorted((r.path, r.first_ts, r.last_ts, r.n) for r in got) == sorted(want + late)
+
+
+class _Bucket:
+    """The state of one bucket, with a clock set by hand."""
+
+    held = timeout = None
+    now = 0
+
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+    hasTimedOut = property(lambda self: self.timeout is not None and self.timeout < self.now)
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.held = value
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = self.now + ms
+
+    def remove(self):
+        self.held = self.timeout = None
+
+
+def test_files_of_a_bucket_keep_their_own_times(monkeypatch):
+    monkeypatch.setattr(debounce, "_MERGED_ROWS", 3)
+    draw, state, step = random.Random(3), _Bucket(), debounce._debounced(4, 100)
+    columns = ["path", "first", "last", "n", "last_event", "bucket"]
+    waiting, came, got, want = {}, {}, [], []
+    for now in range(0, 6000, 30):
+        state.now = now
+        rows = [(draw.choice("abcde"), t, t, 1, draw.choice(["x", "y", None]), 0)
+                for t in (draw.randrange(60) for _ in range(draw.randrange(9) if now < 5000 and draw.random() < 0.3 else 0))]
+        for path, *part, _ in rows:
+            waiting.setdefault(path, []).append(tuple(part))
+            came[path] = now
+        if rows or state.hasTimedOut:
+            timed_out = state.hasTimedOut and not rows
+            if not timed_out:
+                state.timeout = None
+            batches = [] if timed_out else [pd.DataFrame(rows[:2], columns=columns), pd.DataFrame(rows[2:], columns=columns)]
+            for out in step((0,), iter(b for b in batches if len(b)), state):
+                got += [(now, *r) for r in out[["path", "first", "last", "n"]].itertuples(index=False, name=None)]
+            for path in [p for p in waiting if came[p] + 100 <= now]:
+                want += [(now, path, *b[:3]) for b in debounce.merged(waiting.pop(path), 4)]
+    assert not waiting and state.held is None
+    assert len({r[0] for r in got}) > 10 and sorted(got) == sorted(want)
+
+
+def test_state_grows_with_buckets_not_with_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(debounce, "BUCKETS", 4)
+    rows = [(f"f{k}.js", t) for k in range(40) for t in (0, 0.5, 100)]
+    write_changes(tmp_path / "changes", "1.json", rows)
+    run = start(spark, tmp_path, 1.0)
+    try:
+        got = until(spark, tmp_path / "out", lambda found: sum(r.n for r in found) >= len(rows))
+        held = [o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]]
+    finally:
+        run.stop()
+    assert 0 < max(held) <= 4
+    assert sorted((r.path, r.first_ts, r.last_ts, r.n) for r in got) == bursts(changes.sessions(events(spark, rows), 1.0))
