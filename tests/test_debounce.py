@@ -1,12 +1,14 @@
 """Bursts by timers: the same as on a table, nothing lost when changes come late or the source goes idle."""
 
 import random
+import signal
 import time
 
 import pandas as pd
 
 from codewarden.streaming import changes, debounce
 from tests.test_streaming import CASES, SESSION, bursts, events, write_changes
+from verification import spark_queries
 
 
 def until(spark, folder, enough, seconds=120):
@@ -132,3 +134,21 @@ def test_state_grows_with_buckets_not_with_files(spark, tmp_path, monkeypatch):
         run.stop()
     assert 0 < max(held) <= 4
     assert sorted((r.path, r.first_ts, r.last_ts, r.n) for r in got) == bursts(changes.sessions(events(spark, rows), 1.0))
+
+
+def test_changes_without_file_or_time_are_not_waited_for(spark, tmp_path):
+    def late(*_):
+        raise TimeoutError("the query waits for changes that no burst has")
+
+    spark.sql("""SELECT * FROM VALUES (1L, timestamp'2024-01-01 00:00:00', 7L, 'view', 1.0D, ''),
+        (2L, timestamp'2024-01-01 00:10:00', 7L, NULL, 1.0D, ''), (3L, timestamp'2024-01-01 00:00:00', NULL, 'view', 1.0D, ''),
+        (4L, NULL, 7L, 'view', 1.0D, '') AS e(event_id, ts, user_id, event_type, value, props)""").toPandas().convert_dtypes().to_parquet(
+        tmp_path / "events.parquet", coerce_timestamps="us")
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(120)
+    try:
+        got = spark_queries.stream_debounce_live(spark, str(tmp_path)).collect()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert [r.n for r in got] == [2]

@@ -981,7 +981,7 @@ def stream_debounce_live(spark, d):
     """The same bursts from a stream that goes on, closed by timers once no change comes any more."""
     out = _scratch(spark)
     stream = debounce.live_sessions(_change_stream(spark, d), GAP_SECONDS, quiet_seconds=1)
-    changed = _read_changes(spark, d).count()
+    changed = _read_changes(spark, d).where("path IS NOT NULL AND ts IS NOT NULL").count()
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
         "path", f"{out}/sessions").trigger(processingTime="1 second").start()
     try:
