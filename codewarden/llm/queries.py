@@ -44,10 +44,12 @@ def op1_weak_supervision_pii(spark, d):
 @query
 def op7_repeated_passages(spark, d):
     out = repeats.remove_repeats(table(spark, d, "documents"))
-    lengths = F.transform("spans", lambda s: s["end"] - s["start"])
-    removed = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      sha(F.col("kept")).alias("kept_sha256"))
+
+    def covered(spans):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+    return out.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      sha(F.col("kept")).alias("kept_sha256"), covered("passages").alias("n_passage_words"))
 
 
 @query

@@ -99,5 +99,14 @@ def repeats(rows, size):
     return out
 
 
+def passage_words(rows, size):
+    """doc_id -> words inside windows of ``size`` words that another row has"""
+    texts = [(i, white_words(t)) for i, t in rows]
+    windows = [{tuple(ws[s:s + size]) for s in range(len(ws) - size + 1)} for _, ws in texts]
+    counts = Counter(w for held in windows for w in held)
+    return {i: len({k for s in range(len(ws) - size + 1) if counts[tuple(ws[s:s + size])] > 1 for k in range(s, s + size)})
+            for i, ws in texts}
+
+
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 10 == 0

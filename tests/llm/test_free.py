@@ -7,7 +7,7 @@ from collections import Counter
 import public_tokenizers
 
 from codewarden.llm import jaccard, packing, pitman_yor, repeats
-from tests.llm.brute import LOWER, WHITE, held_out, linked, shingles
+from tests.llm.brute import LOWER, WHITE, held_out, linked, passage_words, shingles
 from tests.llm.brute import repeats as plain_repeats
 from tests.llm.test_pipeline import check_packing
 
@@ -140,6 +140,36 @@ def test_repeats(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_that_other_documents_have(spark):
+    draw = random.Random(12)
+    own = (f"own{k}" for k in range(10**6))
+
+    def words(n):
+        return [next(own) for _ in range(n)]
+
+    # of few bytes: below the 400 that are removed
+    passages = [[draw.choice("abcdefg") + str(draw.randrange(9)) for _ in range(n)] for n in (51, 52, 58, 70, 130)]
+    texts = [words(draw.randrange(40)) + p + words(draw.randrange(40)) for p in passages for _ in range(4)]
+    # a passage cut at either end, or with a word changed; one that only its own document has, whole and cut
+    long = passages[-1]
+    texts += [words(3) + long[a:b] + words(3) for a, b in ((0, 50), (0, 51), (40, 97), (10, 61), (79, 130), (81, 130))]
+    texts += [[*long[:k], "other", *long[k + 1:]] for k in (50, 51, 65, 79, 80)]
+    twice = words(60)
+    texts += [twice + words(2) + twice + words(2) + twice[3:56], words(200), passages[2] + words(1) + passages[2][1:]]
+    joined = [draw.choice((" ", "\n", " \t")).join(t) for t in texts]
+    rows = list(enumerate([*joined, "", None, " ", "é" * 3000, "z " * 60, "z " * 50]))
+    want = passage_words(rows, 51)
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    assert {i: sum(s["end"] - s["start"] for s in r["passages"]) for i, r in got.items()} == want
+    assert all(want[i] >= 51 and not got[i]["spans"] for i in range(12)) and sum(w > 0 for w in want.values()) < len(rows) - 8
+    assert passage_words(rows, 24) == {
+        r["doc_id"]: sum(s["end"] - s["start"] for s in r["passages"])
+        for r in repeats.remove_repeats(docs(spark, rows), words=24).collect()}
+    # rows of one id are documents of their own
+    same = repeats.remove_repeats(docs(spark, [(1, " ".join(twice)), (1, " ".join(twice)), (None, "q " * 99)])).collect()
+    assert sorted(sum(s["end"] - s["start"] for s in r["passages"]) for r in same) == [0, 60, 60]
+
+
 def test_rows_of_one_id_are_scored_apart(spark):
     training = [i for i in range(60) if not held_out(i)]
     unseen = [i for i in range(400) if held_out(i)]
